@@ -45,7 +45,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_minutes(spark: SparkSession, d: str) -> DataFrame:
     msgs = messages(table(spark, d, "telemetry"), "ts_event_ms", "ts_ingest_ms", *late.INPUT)
-    cols = [f"round({c.split()[0]}, 6) AS {c.split()[0]}" for c in late.MEASURES.split(", ")]
+    cols = [f"round({c.split()[0]}, 9) AS {c.split()[0]}" for c in late.MEASURES.split(", ")]
     return late.late_minutes(msgs).selectExpr("vin", "minute_start_ms", "on_time", "correcting", "lost", "first_published_ms", "last_corrected_ms", "sample_count", *cols)
 
 
@@ -91,13 +91,13 @@ SELECT vin, minute AS minute_start_ms, CAST(count(*) FILTER (WHERE lag <= 30000)
   CAST(count(*) FILTER (WHERE lag > 30000 AND live) AS INTEGER) AS correcting, CAST(count(*) FILTER (WHERE NOT live) AS INTEGER) AS lost,
   CASE WHEN count(*) FILTER (WHERE lag <= 30000) > 0 THEN minute + 90000 END AS first_published_ms,
   max(ts_ingest_ms) FILTER (WHERE lag > 30000 AND live) AS last_corrected_ms, CAST(count(*) FILTER (WHERE live) AS INTEGER) AS sample_count,
-  round(min(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 6) AS soc_min_pct, round(max(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 6) AS soc_max_pct,
-  round(avg(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 6) AS soc_avg_pct,
-  CASE WHEN bool_or(live) THEN round(coalesce(avg(CAST(speed_kmh AS DOUBLE)) FILTER (WHERE live), 0), 6) END AS speed_avg_kmh,
-  round(max(odo_km) FILTER (WHERE live) - min(odo_km) FILTER (WHERE live), 6) AS distance_km,
-  round(avg(CAST(pack_voltage_v AS DOUBLE) * CAST(pack_current_a AS DOUBLE)) FILTER (WHERE live) / 60000, 6) AS energy_kwh,
-  round(avg(CAST(charge_power_kw AS DOUBLE)) FILTER (WHERE live) / 60, 6) AS charge_kwh_grid, round(CAST(max(pack_temp_max_c) FILTER (WHERE live) AS DOUBLE), 6) AS temp_max_c,
-  CAST(max(cell_v_max_mv - cell_v_min_mv) FILTER (WHERE live) AS DOUBLE) AS imbalance_max_mv, round(CAST(min(isolation_kohm) FILTER (WHERE live) AS DOUBLE), 6) AS isolation_min_kohm
+  round(min(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 9) AS soc_min_pct, round(max(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 9) AS soc_max_pct,
+  round(avg(CAST(soc_pct AS DOUBLE)) FILTER (WHERE live), 9) AS soc_avg_pct,
+  CASE WHEN bool_or(live) THEN round(coalesce(avg(CAST(speed_kmh AS DOUBLE)) FILTER (WHERE live), 0), 9) END AS speed_avg_kmh,
+  round(max(odo_km) FILTER (WHERE live) - min(odo_km) FILTER (WHERE live), 9) AS distance_km,
+  round(avg(CAST(pack_voltage_v AS DOUBLE) * CAST(pack_current_a AS DOUBLE)) FILTER (WHERE live) / 60000, 9) AS energy_kwh,
+  round(avg(CAST(charge_power_kw AS DOUBLE)) FILTER (WHERE live) / 60, 9) AS charge_kwh_grid, round(CAST(max(pack_temp_max_c) FILTER (WHERE live) AS DOUBLE), 9) AS temp_max_c,
+  CAST(max(cell_v_max_mv - cell_v_min_mv) FILTER (WHERE live) AS DOUBLE) AS imbalance_max_mv, round(CAST(min(isolation_kohm) FILTER (WHERE live) AS DOUBLE), 9) AS isolation_min_kohm
 FROM ok GROUP BY vin, minute""",
     "p5_found": "SELECT log_offset FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin, seq ORDER BY log_offset) > 1",
     "p5_kept": "SELECT log_offset FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin, seq ORDER BY log_offset) = 1",
