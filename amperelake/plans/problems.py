@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amperelake.common import cut, messages, table
-from amperelake.operators import late, rolling, seen, sessions
+from amperelake.operators import late, rolling, seen, sessions, spikes
 
 MESSAGES_SQL = "(SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin, seq ORDER BY log_offset) = 1)"
 
@@ -43,6 +43,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_sessions(spark, d).select("vin", "start_ms", "end_ms")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    msgs = messages(table(spark, d, "telemetry"), "soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw")
+    minutes = rolling.current_minutes(table(spark, d, "rollup1m"), "isolation_min_kohm")
+    return spikes.wrong_telemetry(msgs).unionByName(spikes.wrong_rollup(minutes))
+
+
 def p4_minutes(spark: SparkSession, d: str) -> DataFrame:
     msgs = messages(table(spark, d, "telemetry"), "ts_event_ms", "ts_ingest_ms", *late.INPUT)
     cols = [f"round({c.split()[0]}, 9) AS {c.split()[0]}" for c in late.MEASURES.split(", ")]
@@ -78,7 +84,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.trailing_totals(minutes).where("minutes = 0").select("vin", "day_ist", "span_days")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p4_found, p4_minutes, p5_found, p5_kept, p6_found, p6_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p4_found, p4_minutes, p5_found, p5_kept, p6_found, p6_totals)}
 
 SQL = {
     "p1_found": f"SELECT vin, start_ms, end_ms FROM ({SESSIONS_SQL})",
