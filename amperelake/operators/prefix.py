@@ -30,14 +30,14 @@ def blocked_running(df: DataFrame, key: str, block: str, order: list, sums: dict
     )
     past = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        F.col(key).alias("_k"),
-        F.col(block).alias("_b"),
+        F.col(key).alias("__key"),
+        F.col(block).alias("__block"),
         *(F.coalesce(F.sum(f"_c_{n}").over(past), F.lit(0)).alias(f"_c_{n}") for n in sums),
         *(F.max(f"_c_{n}").over(past).alias(f"_c_{n}") for n in latest),
     )
-    joined = local.join(carry, (F.col(key) == F.col("_k")) & (F.col(block) == F.col("_b")))
+    joined = local.join(carry, (F.col(key) == F.col("__key")) & (F.col(block) == F.col("__block")))
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.col(f"_c_{n}"))
     for n in latest:
         joined = joined.withColumn(n, F.coalesce(n, f"_c_{n}"))
-    return joined.drop("_k", "_b", *(f"_c_{n}" for n in (*sums, *latest)))
+    return joined.drop("__key", "__block", *(f"_c_{n}" for n in (*sums, *latest)))

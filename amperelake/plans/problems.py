@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amperelake.common import cut, messages, table
-from amperelake.operators import late, rolling, seen, sessions, spikes
+from amperelake.operators import late, rolling, seen, sessions, spikes, units
 
 MESSAGES_SQL = "(SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin, seq ORDER BY log_offset) = 1)"
 
@@ -49,6 +49,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.wrong_telemetry(msgs).unionByName(spikes.wrong_rollup(minutes))
 
 
+def p3_units(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_units(table(spark, d, "oem_raw"), table(spark, d, "telemetry"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.other_units(p3_units(spark, d))
+
+
 def p4_minutes(spark: SparkSession, d: str) -> DataFrame:
     msgs = messages(table(spark, d, "telemetry"), "ts_event_ms", "ts_ingest_ms", *late.INPUT)
     cols = [f"round({c.split()[0]}, 9) AS {c.split()[0]}" for c in late.MEASURES.split(", ")]
@@ -84,7 +92,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.trailing_totals(minutes).where("minutes = 0").select("vin", "day_ist", "span_days")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p4_found, p4_minutes, p5_found, p5_kept, p6_found, p6_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p3_found, p3_units, p4_found, p4_minutes, p5_found, p5_kept, p6_found, p6_totals)}
 
 SQL = {
     "p1_found": f"SELECT vin, start_ms, end_ms FROM ({SESSIONS_SQL})",
