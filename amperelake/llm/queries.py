@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from amperelake.common import cut, table
-from amperelake.llm import packing, tokens
+from amperelake.llm import abuse, packing, tokens
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +24,18 @@ def p8_certificate(spark: SparkSession, d: str) -> DataFrame:
     return packing.certificate(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p8_containers, p8_certificate)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    model = abuse.fit_labels(table(spark, d, "review_label"))
+    return abuse.scored(table(spark, d, "documents"), model, "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where(f"score >= {abuse.FOUND}").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p9_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p8_containers, p8_certificate, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
