@@ -1 +1 @@
-
+"""Readers, decoders and writers."""
