@@ -22,7 +22,7 @@ def daily_partials(messages: DataFrame) -> DataFrame:
         F.sum(td).alias("td_sum"), F.count(td).alias("td_n"), F.max(td).alias("td_max"), F.regr_slope(td, x).alias("td_slope"),
         F.sum(imb).alias("imb_sum"), F.count(imb).alias("imb_n"), F.max(imb).alias("imb_max"),
         F.min(F.col("isolation_kohm").cast("double")).alias("iso_min"), F.sum(F.col("isolation_kohm").cast("double")).alias("iso_sum"),
-        F.sum((~F.col("hv_interlock_ok")).cast("int")).alias("open_n"), F.sum(flap).alias("flaps"),
+        F.sum((~F.col("hv_interlock_ok")).cast("int")).alias("open_n"), F.sum(F.coalesce(flap, F.lit(0))).alias("flaps"),
         F.min(F.col("aux_12v_v").cast("double")).alias("aux_min"), F.sum(F.col("aux_12v_v").cast("double")).alias("aux_sum"),
         F.sum(soc).alias("soc_sum"), F.sum((soc > 80).cast("int")).alias("soc_high"),
         F.min(F.when(F.size("dtc") > 0, F.col("ts_event_ms"))).alias("first_dtc"),
@@ -33,7 +33,7 @@ def trailing_features(daily: DataFrame, days: int = 3, horizon_days: int = 7) ->
     """One row per vehicle-day with messages: features of the `days` local days up to it, `label` whether a fault code comes
     within `horizon_days` after it, `lead_h` to it. Days after the vehicle's first code are left out, so nothing of the future is used.
     """
-    num = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    num = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")
     d = daily.withColumn("_d", num)
     w = Window.partitionBy("vin").orderBy("_d").rangeBetween(-(days - 1), 0)
     first = F.min("first_dtc").over(Window.partitionBy("vin"))

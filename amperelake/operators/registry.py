@@ -23,10 +23,11 @@ def latest(changes: DataFrame, key: str, order: list[str], deleted: Column | Non
 def enrich(events: DataFrame, registry: DataFrame, key: str = "vin", cols: tuple[str, ...] = ("tenant_id", "fleet_id", "depot_id")) -> DataFrame:
     """`events` with registry columns; tenant "" and `registered` false where the vehicle is unknown.
 
+    Columns of `events` that have one of these names are replaced; repeated events stay repeated; a null key is unknown.
     The registry is broadcast only if its counted rows allow; otherwise AQE splits a hot vehicle's rows in the join.
     """
     side = cut(registry.select(key, *cols))
-    out = events.join(maybe_broadcast(side.withColumn("registered", F.lit(True))), key, "left")
+    out = events.drop("registered", *cols).join(maybe_broadcast(side.withColumn("registered", F.lit(True))), key, "left")
     out = out.withColumn("registered", F.coalesce("registered", F.lit(False)))
     return out.withColumn("tenant_id", F.coalesce("tenant_id", F.lit(""))) if "tenant_id" in cols else out
 

@@ -72,7 +72,7 @@ def trapezoid(df: DataFrame, max_gap_ms: int = 300_000) -> DataFrame:
     }).drop("prev_ts_event_ms", "prev_pack_voltage_v", "prev_pack_current_a")
 
 
-def held(df: DataFrame, condition: Column, hold_ms: int, clear_ms: int, ts: str = "ts_event_ms", tie: str = "seq", key: str = "vin") -> DataFrame:
+def held(df: DataFrame, condition: Column, hold_ms: int | Column, clear_ms: int | Column, ts: str = "ts_event_ms", tie: str = "seq", key: str = "vin") -> DataFrame:
     """Alert transitions: FIRING once `condition` has held over samples for `hold_ms`, RESOLVED once it has been off for `clear_ms`.
 
     Result: key, at_ms, state, start_ms (first sample of the condition's run). A run of samples with one outcome is long

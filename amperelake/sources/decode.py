@@ -80,26 +80,33 @@ def _number(k: Column) -> Column:
 
 def _json(raw: DataFrame, paths: dict[str, str], unit: Callable[[str, Column], Column], clock: Callable[[Column], Column], seconds: bool) -> DataFrame:
     r = records(raw)
-    top = F.schema_of_variant("record")
-    bad, absent, value = F.lit(False), F.lit(False), {}
+    keep = [c for c in r.columns if c not in NAMES]
+    got = [F.schema_of_variant("record").alias("_top")]
+    kind_of = {c: f"_k_{c}" for c in paths}
     for c, p in paths.items():
-        k = _kind(p)
-        there = F.coalesce(k.isNotNull(), F.lit(False))
+        t = "string" if c in TEXTS or (c == "ts_event_ms" and not seconds) else "boolean" if c == "hv_interlock_ok" else "array<string>" if c == "dtc" else "long" if c in WHOLE or c == "ts_event_ms" else "double"
+        got += [_kind(p).alias(kind_of[c]), F.try_variant_get("record", f"$.{p}", t).alias(f"_v_{c}")]
+    holder = paths["lat"].split(".")[0]
+    got.append(_kind(holder).alias("_holder"))
+    r = _once(r.select(*keep, F.struct(*got).alias("_x")), "_x", keep)
+    top = F.col("_top")
+    bad, absent, value = F.lit(False), F.lit(False), {}
+    for c in paths:
+        k, v = F.col(kind_of[c]), F.col(f"_v_{c}")
         if c in TEXTS or (c == "ts_event_ms" and not seconds):
-            ok, v = k == "STRING", F.try_variant_get("record", f"$.{p}", "string")
+            ok = k == "STRING"
         elif c == "hv_interlock_ok":
-            ok, v = k == "BOOLEAN", F.try_variant_get("record", f"$.{p}", "boolean")
+            ok = k == "BOOLEAN"
         elif c == "dtc":
-            ok, v = k.startswith("ARRAY"), F.coalesce(F.try_variant_get("record", f"$.{p}", "array<string>"), F.array().cast("array<string>"))
+            ok, v = k.startswith("ARRAY"), F.coalesce(v, F.array().cast("array<string>"))
         elif c in WHOLE or c == "ts_event_ms":
-            v = F.try_variant_get("record", f"$.{p}", "long")
             ok = (k == "BIGINT") & ((v >= 0) | F.lit(c == "ts_event_ms"))
         else:
-            ok, v = _number(k), F.try_variant_get("record", f"$.{p}", "double")
+            ok = _number(k)
         value[c] = v
-        bad = bad | (there & ~F.coalesce(ok, F.lit(False)))
+        bad = bad | (k.isNotNull() & ~F.coalesce(ok, F.lit(False)))
         if c not in OPTIONAL:
-            absent = absent | ~there
+            absent = absent | k.isNull()
     names = lambda table, c: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[value[c]]
     evt, charge = names(EVENTS, "evt"), names(CHARGES, "charge_state")
     ts = clock(value["ts_event_ms"])
@@ -108,9 +115,8 @@ def _json(raw: DataFrame, paths: dict[str, str], unit: Callable[[str, Column], C
         has = [value[c].isNotNull() for c in g]
         n = sum((h.cast("int") for h in has), F.lit(0))
         partial = partial | ((n > 0) & (n < len(g)))
-    holder = paths["lat"].split(".")[0]
-    partial = partial | (_kind(holder).isNotNull() & value["lat"].isNull() & value["lon"].isNull() & value["speed_kmh"].isNull())
-    vk = _kind(paths["schema_version"])
+    partial = partial | (F.col("_holder").isNotNull() & value["lat"].isNull() & value["lon"].isNull() & value["speed_kmh"].isNull())
+    vk = F.col(kind_of["schema_version"])
     reason = (
         F.when(F.col("body_reason").isNotNull(), F.col("body_reason"))
         .when(~top.startswith("OBJECT"), "SCHEMA")
@@ -119,14 +125,20 @@ def _json(raw: DataFrame, paths: dict[str, str], unit: Callable[[str, Column], C
         .when(bad | absent | evt.isNull() | charge.isNull() | ts.isNull() | partial, "SCHEMA")
     )
     out = {c: unit(c, value[c]) for c in paths} | {"evt": evt, "charge_state": charge, "ts_event_ms": ts}
-    return _shaped(r, out, reason).drop("record", "body_reason")
+    scratch = ["record", "body_reason", "_top", "_holder", *kind_of.values(), *(f"_v_{c}" for c in paths)]
+    return _shaped(r, out, reason, scratch)
+
+
+def _shaped(df: DataFrame, values: dict[str, Column], reason: Column, scratch: list[str] = ()) -> DataFrame:
+    keep = [c for c in df.columns if c not in NAMES and c != "reason" and c not in scratch]
+    typed = [values[n].cast(t).alias(n) for n, t in (c.split(" ") for c in CANONICAL)]
+    out = _once(df.select(*keep, F.struct(*typed, reason.alias("reason")).alias("_y")), "_y", keep)
+    return out.select(*keep, *(F.when(F.col("reason").isNull(), F.col(n)).alias(n) for n in NAMES), "reason")
 
 
-def _shaped(df: DataFrame, values: dict[str, Column], reason: Column) -> DataFrame:
-    df = df.withColumn("reason", reason)
-    typed = [F.when(F.col("reason").isNull(), values[n]).cast(t).alias(n) for n, t in (c.split(" ") for c in CANONICAL)]
-    keep = [c for c in df.columns if c not in NAMES and c != "reason"]
-    return df.select(*keep, *typed, "reason")
+def _once(df: DataFrame, struct: str, keep: list[str]) -> DataFrame:
+    """The fields of a struct as columns, computed once: later filters and projections are not moved into them."""
+    return df.select(*keep, F.inline(F.array(struct)))
 
 
 def decode_a(raw: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def decode_c(raw: DataFrame) -> DataFrame:
         .when(~words.rlike(r"^([0-9A-Fa-f]{4})*$"), "DTC_FORMAT")
     )
     out = value | {"vin": at["vin"], "hv_interlock_ok": at["hv_interlock_ok"] == "1", "dtc": dtcs_of_hex(words)}
-    return _shaped(r, out, reason).drop("_line", "_p")
+    return _shaped(r, out, reason, ["_line", "_p"])
 
 
 DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"oem_a": decode_a, "oem_b": decode_b, "oem_c": decode_c}
