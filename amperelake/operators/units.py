@@ -158,23 +158,23 @@ def _fit(rows: DataFrame, known: DataFrame, refs: DataFrame) -> Mixture:
 
     A histogram has at most a few thousand bins, the weights one histogram per firmware and field.
     """
-    base: dict[str, dict[int, float]] = {}
     written = rows.select("vin", *(F.when(F.col(f"{f}_u").isNotNull(), _common(f)).alias(f) for f in QUANTITIES))
-    for f, q in QUANTITIES.items():
-        src = known.select("vin", f).unionByName(written.select("vin", f)).where(F.col(f).isNotNull())
-        value = F.col(f) + q.shift
-        if f == "odometerMiles":
-            src, value = src.join(refs, "vin"), F.col(f) / F.col("ref")
-        z = src.where(value > 0).select(F.floor(F.log(value) / q.step).cast("int").alias("b")).groupBy("b").count()
-        base[f] = {r.b: float(r["count"]) for r in z.collect()}
+    common = known.select("vin", *QUANTITIES).unionByName(written).join(refs, "vin", "left")
+    place = {f: F.col(f) / F.col("ref") if f == "odometerMiles" else F.col(f) + q.shift for f, q in QUANTITIES.items()}
+    bins = [F.struct(F.lit(f).alias("f"), F.floor(F.log(F.when(place[f] > 0, place[f])) / q.step).cast("int").alias("b")) for f, q in QUANTITIES.items()]
+    got = common.select(F.inline(F.array(*bins))).where("b is not null").groupBy("f", "b").count().collect()
+    base: dict[str, dict[int, float]] = {f: {} for f in QUANTITIES}
+    for r in got:
+        base[r.f][r.b] = float(r["count"])
     mix = Mixture(base)
+    bare = []
     for f in QUANTITIES:
-        bare = rows.where(F.col(f"{f}_x").isNotNull() & F.col(f"{f}_u").isNull() & F.col("fw").isNotNull() & (F.col(f"{f}_x") != 0))
-        x = F.col(f"{f}_x")
-        pos = x / F.col("ref") if f == "odometerMiles" else x
-        got = bare.where(pos.isNotNull()).groupBy("fw", _bin(f, pos).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(pos).alias("x")).toPandas()
-        for fw, g in got.groupby("fw"):
-            mix.fit(fw, f, g["x"].to_numpy(float), np.ones(len(g)), g["n"].to_numpy(float))
+        x = F.when(F.col(f"{f}_u").isNull() & (F.col(f"{f}_x") != 0), F.col(f"{f}_x"))
+        x = x / F.col("ref") if f == "odometerMiles" else x
+        bare.append(F.struct(F.lit(f).alias("f"), _bin(f, x).alias("b"), x.alias("x")))
+    got = rows.where("fw is not null").select("fw", F.inline(F.array(*bare))).where("x is not null").groupBy("fw", "f", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x")).toPandas()
+    for (fw, f), g in got.sort_values(["fw", "f", "b"]).groupby(["fw", "f"]):
+        mix.fit(fw, f, g["x"].to_numpy(float), np.ones(len(g)), g["n"].to_numpy(float))
     return mix
 
 
