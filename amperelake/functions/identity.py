@@ -19,9 +19,9 @@ def vin_format_ok(vin: Column) -> Column:
 
 def vin_check_digit(vin: Column) -> Column:
     """The check digit that the other 16 places call for; null for vehicle numbers that are malformed."""
-    digits = F.translate(vin, VIN_LETTERS, VIN_DIGITS)
-    total = sum((F.substring(digits, i + 1, 1).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0))
-    rest = total % 11
+    digits = F.split(F.translate(vin, VIN_LETTERS, VIN_DIGITS), "")
+    weights = F.array(*map(F.lit, VIN_WEIGHTS))
+    rest = F.aggregate(F.zip_with(digits, weights, lambda d, w: F.coalesce(d.try_cast("int"), F.lit(0)) * w), F.lit(0), lambda a, x: a + x) % 11
     return F.when(vin_format_ok(vin), F.when(rest == 10, "X").otherwise(rest.cast("string")))
 
 

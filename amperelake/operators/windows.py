@@ -78,20 +78,19 @@ def held(df: DataFrame, condition: Column, hold_ms: int | Column, clear_ms: int
     Result: key, at_ms, state, start_ms (first sample of the condition's run). A run of samples with one outcome is long
     enough if a sample of it lies at least so long after its first (hold 0: the first sample; otherwise a later one). Of
     the runs that are long enough, in order, those that differ from the one before are the transitions, beginning with the
-    first that holds. So nothing is folded row by row: runs come from running sums over blocks, and only runs meet per key.
+    first that holds. So nothing is folded row by row: the start of each run is carried over blocks, and only runs meet per key.
     Rows where the condition is null are not evaluated.
     """
     r = df.withColumn("_on", condition.cast("int")).where(F.col("_on").isNotNull())
     r = previous(r, ["_on"], ts, tie, key)
-    r = running(r, {"_run": (F.col("prev__on").isNull() | (F.col("prev__on") != F.col("_on"))).cast("int")}, ts, tie, key)
-    runs = r.groupBy(key, "_run", "_on").agg(F.min(F.struct(ts, tie)).alias("_first"))
-    r = r.join(runs, [key, "_run", "_on"])
+    changed = F.col("prev__on").isNull() | (F.col("prev__on") != F.col("_on"))
+    r = carried(r, F.when(changed, F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"))), "_first", ts, tie, key)
     need = F.when(F.col("_on") == 1, hold_ms).otherwise(clear_ms)
-    first = (F.col(ts) == F.col("_first")[ts]) & (F.col(tie) == F.col("_first")[tie])
-    long = (F.col(ts) - F.col("_first")[ts] >= need) & ((need == 0) | ~first)
-    hit = r.where(long).groupBy(key, "_run", "_on", "_first").agg(F.min(ts).alias("at_ms"))
-    w = Window.partitionBy(key).orderBy("_run")
+    first = (F.col(ts) == F.col("_first.at")) & (F.col(tie) == F.col("_first.tie"))
+    long = (F.col(ts) - F.col("_first.at") >= need) & ((need == 0) | ~first)
+    hit = r.where(long).groupBy(key, "_on", "_first").agg(F.min(ts).alias("at_ms"))
+    w = Window.partitionBy(key).orderBy("_first")
     hit = hit.withColumn("_before", F.coalesce(F.lag("_on").over(w), F.lit(0))).where("_before <> _on")
-    start = F.when(F.col("_on") == 1, F.col("_first")[ts])
+    start = F.when(F.col("_on") == 1, F.col("_first.at"))
     hit = hit.withColumn("start_ms", F.coalesce(start, F.lag(start).over(w)))
     return hit.select(key, "at_ms", F.when(F.col("_on") == 1, "FIRING").otherwise("RESOLVED").alias("state"), "start_ms")
