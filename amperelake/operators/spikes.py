@@ -108,28 +108,31 @@ def phase_space(u: np.ndarray, axes: float = AXES, rounds: int = ROUNDS) -> np.n
     return found
 
 
-def wrong(x: np.ndarray, state: np.ndarray, bad: np.ndarray, floors: dict, leaves: float = LEAVES, level: np.ndarray | None = None) -> np.ndarray:
-    """Flags of the readings `x` of one source in order: impossible (`bad`), stuck, or leaving the surroundings of their `state`.
+def wrong(x: np.ndarray, state: np.ndarray, bad: np.ndarray, floors: dict, leaves: float = LEAVES, level: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the readings `x` of one source in order: impossible (`bad`), stuck, or leaving what surrounds them.
 
-    `level` is what other quantities explain of x; it is taken off first. `floors` gives the least deviation by state.
+    `level` is what other quantities explain of x; it is taken off first. Surroundings are the readings of the same `group`
+    (`state` if none is given); what is usual is the scatter within a state, at least `floors` of it. A reading whose group
+    is too small is held against the readings of any group, by twice the largest scatter.
     """
     held = stuck(x)
     out = bad | held
     rest = x - level if level is not None else x
+    group = state if group is None else group
     for _ in range(3):
         ok = ~out & np.isfinite(rest)
-        left, right = surroundings(rest, ok, state)
-        if np.isnan(left).any():  # a state with too few readings: those of any state
+        left, right = surroundings(rest, ok, group)
+        alone = np.isnan(left)
+        if alone.any():
             pair = surroundings(rest, ok, np.zeros(len(x), int))
-            left, right = (np.where(np.isnan(q), p, q) for q, p in zip((left, right), pair))
+            left, right = (np.where(alone, p, q) for q, p in zip((left, right), pair))
         a, b = rest - left, rest - right
         # beside a lasting change of level one side agrees; a reading is apart only if it leaves both
         dev = np.where(np.sign(a) == np.sign(b), np.where(np.abs(a) < np.abs(b), a, b), 0.0)
         dev = np.where(np.isfinite(dev), dev, 0.0)
-        z = np.zeros(len(x))
-        for s in np.unique(state):
-            at = state == s
-            z[at] = dev[at] / scale(dev[at & ok], floors.get(s, 1e-9))
+        usual = {s: scale(dev[(state == s) & ok & ~alone], floors.get(s, 1e-9)) for s in np.unique(state)}
+        per = np.array([usual[s] for s in state]) if len(state) else np.zeros(0)
+        z = dev / np.where(alone, 2 * max(usual.values(), default=1.0), np.maximum(per, 1e-12))
         new = phase_space(z) & (np.abs(z) > leaves) & ~out & np.isfinite(x)
         if not new.any():
             break
@@ -137,10 +140,21 @@ def wrong(x: np.ndarray, state: np.ndarray, bad: np.ndarray, floors: dict, leave
     return out & np.isfinite(x)
 
 
-def operating_state(charge_state: np.ndarray, speed: np.ndarray) -> np.ndarray:
-    """0 standing, 1 driving (also a halt between moving readings), 2 AC, 3 DC."""
-    moving = np.lib.stride_tricks.sliding_window_view(np.pad(np.nan_to_num(speed), 2), 5).max(axis=1) > 0
-    return np.where(charge_state == 2, 2, np.where(charge_state == 3, 3, np.where(moving, 1, 0)))
+def operating_state(charge_state: np.ndarray, speed: np.ndarray, both_sides: bool = False) -> np.ndarray:
+    """0 standing, 1 driving, 2 AC, 3 DC. A halt within two readings of movement is driving, or only one with movement on both sides."""
+    moving = np.nan_to_num(speed) > 0
+    win = np.lib.stride_tricks.sliding_window_view(np.pad(moving, 2), 5)
+    near = win.any(axis=1) if not both_sides else moving | (win[:, :2].any(axis=1) & win[:, 3:].any(axis=1))
+    return np.where(charge_state == 2, 2, np.where(charge_state == 3, 3, np.where(near, 1, 0)))
+
+
+def stretches(clock: np.ndarray, soc: np.ndarray) -> np.ndarray:
+    """Number of the stretch each reading is in: a new one begins after a quarter of an hour or two points of charge level."""
+    if len(clock) == 0:
+        return np.zeros(0, int)
+    gap = np.abs(np.diff(clock)) > 900_000
+    jump = np.nan_to_num(np.abs(np.diff(soc))) > 2
+    return np.concatenate([[0], np.cumsum(gap | jump)])
 
 
 #: Least robust deviations by operating state: sensor resolution and ordinary noise, in volts, amperes, and log kilohm.
@@ -153,17 +167,19 @@ AMP_MOST = 900.0
 ISOLATION = (1.0, 50_000.0)
 
 
-def wrong_pack(volt: np.ndarray, amp: np.ndarray, soc: np.ndarray, power: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def wrong_pack(volt: np.ndarray, amp: np.ndarray, soc: np.ndarray, power: np.ndarray, charge_state: np.ndarray, speed: np.ndarray, clock: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of one vehicle's voltage and current readings in order (NaN: missing, never flagged).
 
     The vehicle's own rest voltage over state of charge and its resistance are fitted robustly and taken off the voltage,
-    its charging power is taken off the current; what remains is held against its surroundings.
+    its charging power is taken off the current; what remains is held against its surroundings in the same stretch. Where
+    standing ends and driving begins is not sharp, so a current is wrong only if it is for either reading of the state.
     """
+    state, strict, stretch = operating_state(charge_state, speed), operating_state(charge_state, speed, True), stretches(clock, soc)
     usual = float(np.nanmedian(volt)) if np.isfinite(volt).any() else 1.0
     bad_v, bad_a = (volt < VOLT_SHARE[0] * usual) | (volt > VOLT_SHARE[1] * usual) | (volt <= 0), np.abs(amp) >= AMP_MOST
     q = np.where(np.isfinite(soc), soc, np.nanmedian(soc) if np.isfinite(soc).any() else 50.0) / 100
     level_a = -np.where(np.isfinite(power), power, 0.0) * 1000 / max(usual, 1.0)
-    wrong_a = wrong(amp, state, bad_a & np.isfinite(amp), AMP_FLOOR, level=level_a)
+    wrong_a = np.logical_and(*(wrong(amp, s, bad_a & np.isfinite(amp), AMP_FLOOR, level=level_a, group=stretch * 4 + s) for s in (state, strict)))
     real = np.isfinite(amp) & (~wrong_a | stuck(amp)) & ~bad_a  # a wrong current says nothing about the voltage beside it
     before, after = surroundings(amp - level_a, real, state)
     usual_a = np.nan_to_num((before + after) / 2) + level_a
@@ -174,7 +190,7 @@ def wrong_pack(volt: np.ndarray, amp: np.ndarray, soc: np.ndarray, power: np.nda
     if fit.sum() >= 30:
         y = robust_fit(a[fit], volt[fit])
         level_v = a @ np.linalg.lstsq(a[fit], y, rcond=None)[0]
-    return wrong(volt, state, bad_v & np.isfinite(volt), VOLT_FLOOR, level=level_v), wrong_a
+    return wrong(volt, state, bad_v & np.isfinite(volt), VOLT_FLOOR, level=level_v, group=stretch), wrong_a
 
 
 def wrong_isolation(kohm: np.ndarray) -> np.ndarray:
@@ -205,7 +221,7 @@ def wrong_telemetry(messages: DataFrame, block: int = BLOCK, halo: int = HALO) -
     number are passed over; rows without vin or seq have no place in the order and are left out; a state with few
     readings is held against the vehicle's other readings; an empty input gives no row.
     """
-    cols = ("soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw")
+    cols = ("soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw", "ts_event_ms")
     r = in_blocks(messages.select("vin", "seq", *(F.col(c).cast("double") for c in cols)), "seq", 50_000, block, halo)
 
     def run(key, pdf):
@@ -213,8 +229,7 @@ def wrong_telemetry(messages: DataFrame, block: int = BLOCK, halo: int = HALO) -
 
         pdf = pdf.sort_values("rank", kind="stable")
         col = {c: pdf[c].to_numpy(float) for c in cols}
-        state = operating_state(col["charge_state"], col["speed_kmh"])
-        v, a = wrong_pack(col["pack_voltage_v"], col["pack_current_a"], col["soc_pct"], col["charge_power_kw"], state)
+        v, a = wrong_pack(col["pack_voltage_v"], col["pack_current_a"], col["soc_pct"], col["charge_power_kw"], col["charge_state"], col["speed_kmh"], np.nan_to_num(col["ts_event_ms"]))
         own, seq = (pdf["rank"] // block).to_numpy() == key[1], pdf["seq"].to_numpy()
         parts = [pd.DataFrame({"field_name": n, "vin": key[0], "ref_no": seq[f & own]}) for n, f in (("pack_voltage_v", v), ("pack_current_a", a))]
         return pd.concat(parts)

@@ -44,7 +44,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    msgs = messages(table(spark, d, "telemetry"), "soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw")
+    msgs = messages(table(spark, d, "telemetry"), "soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw", "ts_event_ms")
     minutes = rolling.current_minutes(table(spark, d, "rollup1m"), "isolation_min_kohm")
     return spikes.wrong_telemetry(msgs).unionByName(spikes.wrong_rollup(minutes))
 

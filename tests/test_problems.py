@@ -143,7 +143,6 @@ def test_spikes_stuck_and_bounds_are_found_and_level_changes_are_not():
     amp = r.normal(40, 20, n)
     volt = 330 + 0.5 * soc - 0.03 * amp + r.normal(0, 0.5, n)
     volt[700:] += 8  # another pack
-    state = np.ones(n, int)
     bad_v, bad_a = {50, 51, 300, 640}, {120, 900}
     for i in bad_v:
         volt[i] += 60
@@ -151,7 +150,7 @@ def test_spikes_stuck_and_bounds_are_found_and_level_changes_are_not():
     volt[1000] = 0.0
     for i in bad_a:
         amp[i] += 500
-    v, a = spikes.wrong_pack(volt, amp, soc, np.zeros(n), state)
+    v, a = spikes.wrong_pack(volt, amp, soc, np.zeros(n), np.ones(n), np.full(n, 30.0), np.arange(n) * 10_000)
     assert set(np.flatnonzero(v)) == bad_v | set(range(420, 430)) | {1000}
     assert set(np.flatnonzero(a)) == bad_a
 
@@ -168,7 +167,7 @@ def test_stuck_runs_are_seen_over_block_borders(spark):
 
 
 def test_wrong_telemetry_survives_odd_rows(telemetry, odd_rows):
-    cols = ("soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw")
+    cols = ("soc_pct", "speed_kmh", "pack_voltage_v", "pack_current_a", "charge_state", "charge_power_kw", "ts_event_ms")
     m = messages(telemetry(odd_rows + [{"seq": 5000, "log_offset": 9000, "pack_voltage_v": 1000.0}]), *cols)
     got = {(r.field_name, r.ref_no) for r in spikes.wrong_telemetry(m).collect()}
     assert ("pack_voltage_v", 5000) in got
