@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperelake.common import messages, table
+from amperelake.common import cut, messages, scratch, table
 from amperelake.functions import identity, measures
 from amperelake.operators import battery, features, folds, registry, rollup, slots, validate, windows
 from amperelake.plans.problems import MESSAGES_SQL
-from amperelake.sources import decode
+from amperelake.sources import decode, files
 
 MAKERS = {"0EA": "oem_a", "0EB": "oem_b", "0EC": "oem_c"}
 #: Fixed value: the namespace of alert ids.
@@ -552,3 +552,54 @@ WHEN soc_pct NOT BETWEEN 0 AND 100 OR pack_voltage_v NOT BETWEEN 0 AND 1000 OR p
 )
 def telemetry_reasons(spark, d):
     return validate.route(table(spark, d, "telemetry"), validate.chain(MAKERS)).select("log_offset", "reason")
+
+
+@query(WITH_M + "SELECT vin, seq, evt, charge_state, hv_interlock_ok, cell_v_min_mv, dtc FROM m")
+def encoded_again(spark, d):
+    m = _m(spark, d, *ALL)
+    out = decode.decode(cut(files.encode(m.select("vin", "seq", *ALL))))
+    return out.select("vin", "seq", "evt", "charge_state", "hv_interlock_ok", "cell_v_min_mv", "dtc")
+
+
+@query(
+    WITH_M
+    + f""", s AS (SELECT m.vin, ts_ingest_ms AS t, lead(ts_ingest_ms) OVER (PARTITION BY m.vin ORDER BY ts_ingest_ms, seq) AS nx FROM m)
+SELECT vin, t AS silent_from_ms, nx AS heard_ms, nx - t AS silent_ms FROM s WHERE nx - t > 600000"""
+)
+def silent_spells(spark, d):
+    m = windows.previous(_m(spark, d, "ts_ingest_ms"), ["ts_ingest_ms"], ts="ts_ingest_ms")
+    gap = F.col("ts_ingest_ms") - F.col("prev_ts_ingest_ms")
+    return m.where(gap > 600_000).select("vin", F.col("prev_ts_ingest_ms").alias("silent_from_ms"), F.col("ts_ingest_ms").alias("heard_ms"), gap.alias("silent_ms"))
+
+
+@query("SELECT vin, ts_event_ms // 86400000 AS day, count(*) AS n FROM (SELECT DISTINCT vin, ts_event_ms, seq FROM telemetry) GROUP BY ALL")
+def stored_days(spark, d):
+    path = scratch(spark)
+    files.store_messages(table(spark, d, "telemetry"), path)
+    return spark.read.parquet(path).groupBy("vin", F.col("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def live_deltas(spark, d):
+    return files.delta_json(rollup.latest_state(_m(spark, d, "ts_event_ms", "soc_pct", "speed_kmh", "lat", "lon", "odo_km", "charge_state")), ("ts_event_ms", "soc_pct", "speed_kmh", "lat", "lon", "charge_state"))
+
+
+@query(
+    f"""SELECT r.vin, r.depot_id, v.oem, v.chemistry, round(r.capacity_kwh * 1000 / r.nominal_voltage_v, 6) AS nominal_ah, CASE WHEN r.depart_min_ist < r.return_min_ist THEN r.return_min_ist - r.depart_min_ist ELSE r.return_min_ist - r.depart_min_ist + 1440 END AS shift_min
+FROM {REGISTRY_SQL} r JOIN vehicle_model v ON v.code = r.model_code"""
+)
+def fleet_master(spark, d):
+    r = registry.enrich(_registry(spark, d), table(spark, d, "vehicle_model").withColumnRenamed("code", "model_code"), "model_code", ("oem", "chemistry")).where("registered")
+    shift = F.col("return_min_ist") - F.col("depart_min_ist")
+    return r.select("vin", "depot_id", "oem", "chemistry", F.round(F.col("capacity_kwh") * 1000 / F.col("nominal_voltage_v"), 6).alias("nominal_ah"), F.when(shift > 0, shift).otherwise(shift + 1440).alias("shift_min"))
+
+
+@query(f"SELECT depot_id, count(*) AS vehicles, round(sum(capacity_kwh), 6) AS capacity_kwh FROM {REGISTRY_SQL} GROUP BY depot_id")
+def depot_fleet(spark, d):
+    return _registry(spark, d).groupBy("depot_id").agg(F.count(F.lit(1)).alias("vehicles"), F.round(F.sum("capacity_kwh"), 6).alias("capacity_kwh"))
+
+
+@query("SELECT session_id, vin, start_ms FROM vehicle_sessions s WHERE phase = 1 AND NOT EXISTS (SELECT 1 FROM vehicle_sessions e WHERE e.session_id = s.session_id AND e.phase = 2)")
+def unended_sessions(spark, d):
+    s = table(spark, d, "vehicle_sessions")
+    return s.where("phase = 1").join(s.where("phase = 2").select("session_id").distinct(), "session_id", "left_anti").select("session_id", "vin", "start_ms")

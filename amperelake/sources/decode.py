@@ -199,8 +199,9 @@ DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"oem_a": decode_a, "oem
 def decode(raw: DataFrame, oem: str = "oem") -> DataFrame:
     """All records of `raw` (`oem`, `body`, ...) through the decoder of their OEM; unknown OEMs get UNKNOWN_OEM.
 
-    Null and empty bodies are DECODE; repeated bodies give repeated rows; an empty table gives none.
+    Columns of `raw` with canonical names are replaced. Null and empty bodies are DECODE; repeated bodies give repeated rows; an empty table gives none.
     """
+    raw = raw.drop("record", "record_no", "reason", "body_reason")
     out = None
     for name, f in DECODERS.items():
         part = f(raw.where(F.col(oem) == name))
