@@ -554,11 +554,11 @@ def telemetry_reasons(spark, d):
     return validate.route(table(spark, d, "telemetry"), validate.chain(MAKERS)).select("log_offset", "reason")
 
 
-@query(WITH_M + "SELECT vin, seq, evt, charge_state, hv_interlock_ok, cell_v_min_mv, dtc FROM m")
+@query(WITH_M + "SELECT vin, seq, evt, charge_state, hv_interlock_ok, cell_v_min_mv, array_to_string(dtc, ' ') AS codes FROM m")
 def encoded_again(spark, d):
     m = _m(spark, d, *ALL)
     out = decode.decode(cut(files.encode(m.select("vin", "seq", *ALL))))
-    return out.select("vin", "seq", "evt", "charge_state", "hv_interlock_ok", "cell_v_min_mv", "dtc")
+    return out.select("vin", "seq", "evt", "charge_state", "hv_interlock_ok", "cell_v_min_mv", F.array_join("dtc", " ").alias("codes"))
 
 
 @query(

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,10 +24,10 @@ def con():
 
 def canon(df: pd.DataFrame) -> list:
     def one(v):
+        if isinstance(v, (list, np.ndarray)):
+            return tuple(v)
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
-        if hasattr(v, "tolist") and not hasattr(v, "item"):
-            return tuple(v.tolist())
         v = v.item() if hasattr(v, "item") and getattr(v, "size", 1) == 1 else v
         return round(v, 6) + 0.0 if isinstance(v, float) else v
 
