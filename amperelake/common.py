@@ -64,7 +64,7 @@ def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def messages(telemetry: DataFrame, *cols: str) -> DataFrame:
     """One row per message (`vin`, `seq`): the row with the smallest `log_offset`, with `cols` besides.
 
-    A row without `seq` cannot repeat another and stays a message of its own. Hash aggregation with map-side
+    A row without `seq` cannot repeat another and stays a message of its own. An aggregation with map-side
     combine on (vin, seq): a hot vehicle spreads over its sequence numbers, a hot message shrinks before the shuffle.
     """
     own = F.when(F.col("seq").isNull(), F.col("log_offset"))

@@ -11,7 +11,7 @@ from amperelake.common import cut, maybe_broadcast
 def latest(changes: DataFrame, key: str, order: list[str], deleted: Column | None = None) -> DataFrame:
     """The newest row of each key; keys whose newest row is `deleted` are gone. Rows without a key are left out.
 
-    A hash aggregation with map-side combine, so a key with very many changes shrinks before the shuffle.
+    An aggregation with map-side combine, so a key with very many changes shrinks before the shuffle.
     """
     cols = changes.columns
     flag = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)

@@ -13,7 +13,7 @@ def minute_rollup(messages: DataFrame) -> DataFrame:
     """Per vehicle and minute of event time: counts, charge level, speed, distance, energy, warmest cell, imbalance, isolation.
 
     The mean speed is 0 without positions; the largest temperature and imbalance begin at 0 and are null without readings.
-    One hash aggregation with map-side combine; a hot vehicle spreads over its minutes.
+    One aggregation with map-side combine; a hot vehicle spreads over its minutes.
     """
     d = lambda c: F.col(c).cast("double")
     imbalance = d("cell_v_max_mv") - d("cell_v_min_mv")
