@@ -75,7 +75,7 @@ def encode_a(messages: DataFrame) -> Column:
     """Payload of the nested metric format; absent groups are omitted."""
     pos = F.when(F.col("lat").isNotNull(), F.struct("lat", "lon", "speed_kmh"))
     pack = F.struct(F.col("pack_voltage_v").alias("voltage_v"), F.col("pack_current_a").alias("current_a"), F.col("pack_temp_min_c").alias("temp_min_c"), F.col("pack_temp_max_c").alias("temp_max_c"), F.col("cell_v_min_mv").alias("cell_min_mv"), F.col("cell_v_max_mv").alias("cell_max_mv"), "isolation_kohm", "hv_interlock_ok")
-    ts = F.date_format(F.timestamp_millis("ts_event_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    ts = F.date_format(F.to_utc_timestamp(F.timestamp_millis("ts_event_ms"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.to_json(F.struct("vin", F.col("schema_version").alias("schema"), ts.alias("ts"), "seq", _name(EVENTS, "evt").alias("evt"), pos.alias("pos"), "odo_km", "soc_pct", pack.alias("pack"), "aux_12v_v", "ambient_c", F.struct(_name(CHARGES, "charge_state").alias("state"), F.col("charge_power_kw").alias("power_kw")).alias("charge"), "dtc"))
 
 
