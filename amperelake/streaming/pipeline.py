@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Callable
+import os
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from amperelake.common import scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE_MS = 60_000
+#: Rows of one vehicle that are sorted in memory (32 bytes each); a batch with more of them is merged from runs on disk.
+RUN_ROWS = 500_000
 
 
 def telemetry_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -96,14 +102,55 @@ class VehicleState:
         return out
 
 
+def in_time_order(chunks: Iterable, run_rows: int = RUN_ROWS) -> Iterator[tuple]:
+    """(time, seq, charge level, temperature) of all rows of all chunks by time, then seq; missing numbers are NaN.
+
+    Chunks are gathered into sorted runs of about `run_rows` rows. All but the last run go to a temporary file and are
+    merged block by block, so memory does not grow with the vehicle.
+    """
+    import numpy as np
+
+    row, block = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("soc", "<f8"), ("temp", "<f8")]), 8_192
+    cols = ("ts_event_ms", "int64"), ("seq", "int64"), ("soc_pct", "float64"), ("pack_temp_max_c", "float64")
+
+    def packed(pdf):
+        a = np.empty(len(pdf), row)
+        for name, (c, kind) in zip(row.names, cols):
+            a[name] = pdf[c].to_numpy(kind, na_value=np.nan) if kind == "float64" else pdf[c].to_numpy(kind)
+        return a
+
+    def run(held):
+        a = np.concatenate(held) if held else np.empty(0, row)
+        return a[np.lexsort((a["seq"], a["ts"]))]
+
+    with tempfile.TemporaryFile() as f:
+        bounds, held, n = [0], [], 0
+        for pdf in chunks:
+            if n >= run_rows:
+                f.write(run(held).tobytes())
+                bounds, held, n = [*bounds, bounds[-1] + n], [], 0
+            held.append(packed(pdf))
+            n += len(pdf)
+        f.flush()
+        last = run(held)
+
+        def stored(a, b):
+            for at in range(a, b, block):
+                yield from np.frombuffer(os.pread(f.fileno(), min(block, b - at) * row.itemsize, at * row.itemsize), row).tolist()
+
+        runs = [stored(a, b) for a, b in zip(bounds, bounds[1:])]
+        runs.append(r for at in range(0, len(last), block) for r in last[at : at + block].tolist())
+        yield from runs[0] if len(runs) == 1 else heapq.merge(*runs, key=itemgetter(0, 1))
+
+
 TAGGED = "vin string, tag string, at_ms long, about_ms long, n long, soc_min double"
 
 
 def vehicles(stream: DataFrame, late_ms: int = 30_000, limit: float = 48.0, hold_ms: int = 30_000, clear_ms: int = 300_000) -> DataFrame:
     """Tagged rows (minute, late, firing, resolved) of all vehicles from one stateful operator keyed by vehicle.
 
-    State is one small value per vehicle in RocksDB and restored from the checkpoint; rows of a batch are taken by event
-    time within the Arrow batches that Spark hands over.
+    State is one small value per vehicle in RocksDB and restored from the checkpoint; all rows of a batch are taken
+    by event time, however many Arrow batches Spark hands them over in.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -117,10 +164,8 @@ def vehicles(stream: DataFrame, late_ms: int = 30_000, limit: float = 48.0, hold
             had = self.state.get() if self.state.exists() else None
             s = VehicleState(key[0], late_ms, limit, hold_ms, clear_ms, had[0] if had else None)
             out = []
-            for pdf in rows:
-                pdf = pdf.sort_values(["ts_event_ms", "seq"], kind="stable")
-                for ts, soc, temp in zip(pdf["ts_event_ms"].tolist(), pdf["soc_pct"].tolist(), pdf["pack_temp_max_c"].tolist()):
-                    out += s.add(int(ts), None if soc != soc else soc, None if temp is None or temp != temp else temp)
+            for ts, _, soc, temp in in_time_order(rows):
+                out += s.add(ts, None if soc != soc else soc, None if temp != temp else temp)
             out += s.end_of_batch()
             self.state.update((s.kept(),))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TAGGED.split(", ")]).astype({"n": "Int64", "about_ms": "Int64", "soc_min": "float64"})
@@ -128,7 +173,7 @@ def vehicles(stream: DataFrame, late_ms: int = 30_000, limit: float = 48.0, hold
         def close(self):
             pass
 
-    narrow = stream.where("vin is not null and ts_event_ms is not null").select("vin", "seq", "ts_event_ms", F.col("soc_pct").cast("double"), F.col("pack_temp_max_c").cast("double"))
+    narrow = stream.where("vin is not null and ts_event_ms is not null").select("vin", F.coalesce("seq", F.lit(2**63 - 1)).alias("seq"), "ts_event_ms", F.col("soc_pct").cast("double"), F.col("pack_temp_max_c").cast("double"))
     return narrow.groupBy("vin").transformWithStateInPandas(statefulProcessor=Processor(), outputStructType=TAGGED, outputMode="Update", timeMode="None")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from amperelake.operators.registry import latest
@@ -39,6 +40,32 @@ def test_streams(spark, telemetry, tmp_path):
     assert pipeline.drain(pipeline.minute_counts(src())).count() > 0
 
 
+def test_a_vehicle_in_many_chunks_is_taken_in_time_order(spark, telemetry, tmp_path):
+    rows = [{"vin": "A", "seq": i, "ts_event_ms": T0 + i * 10_000, "pack_temp_max_c": 55.0 if i // 60 % 2 else 30.0} for i in range(600)]
+    random.Random(2).shuffle(rows)
+    path = str(tmp_path / "telemetry.parquet")
+    telemetry(rows, clash=False).write.parquet(path)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(conf)
+    spark.conf.set(conf, "50")
+    try:
+        got = pipeline.drain(pipeline.vehicles(pipeline.telemetry_stream(spark, path)), "update").where("tag in ('firing', 'resolved')").select("tag", "at_ms").collect()
+    finally:
+        spark.conf.set(conf, had)
+    s = pipeline.VehicleState("A", 30_000, 48.0, 30_000, 300_000)
+    want = [x[1:3] for r in sorted(rows, key=lambda r: r["seq"]) for x in s.add(r["ts_event_ms"], 60.0, r["pack_temp_max_c"])]
+    assert len(want) == 9 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_time_order_over_stored_runs():
+    r = random.Random(3)
+    rows = [(r.randrange(500), i, float(i), None if i % 7 == 0 else 1.0) for i in range(1000)]
+    chunks = [pd.DataFrame(rows[i : i + 30], columns=["ts_event_ms", "seq", "soc_pct", "pack_temp_max_c"]) for i in range(0, 1000, 30)]
+    got = [(t, s, x, None if y != y else y) for t, s, x, y in pipeline.in_time_order(chunks, 100)]
+    assert got == sorted(rows, key=lambda x: x[:2]) == [(t, s, x, None if y != y else y) for t, s, x, y in pipeline.in_time_order(chunks)]
+    assert list(pipeline.in_time_order([])) == []
+
+
 def test_batches_written_again_leave_no_copies(spark, tmp_path):
     a = spark.createDataFrame([("A", 1), ("B", 2)], "vin string, t long")
     b = spark.createDataFrame([("A", 3)], "vin string, t long")
