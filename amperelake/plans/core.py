@@ -221,6 +221,53 @@ def alert_ids(spark, d):
     return a.select("vin", "rule", "severity", "at_ms", identity.uuid5(ALERT_NAMESPACE, name).alias("alert_id"))
 
 
+#: Sustained conditions on derived values, as RULES but with the column of `_derived_conditions` (fixed values).
+DERIVED_RULES = (
+    ("THERMAL_RISE_RATE", "critical", "rising", 0, 300),
+    ("HV_INTERLOCK_OPEN", "critical", "opened", 0, 600),
+    ("AUX_12V_LOW", "warning", "aux_low", 600, 600),
+    ("CHARGE_NEEDED", "info", "charge_needed", 60, 600),
+)
+
+
+def _derived_conditions(m: DataFrame, reg: DataFrame) -> DataFrame:
+    """Messages with the columns of DERIVED_RULES; a condition is null where its rule does not judge the message."""
+    double = lambda c: F.col(c).cast("double")
+    m = windows.carried(m, F.when(F.col("evt") == 2, True).when(F.col("evt") == 3, False), "ignition")
+    active = F.coalesce("ignition", F.lit(False)) | (F.coalesce("charge_power_kw", F.lit(0)) > 0) | (F.coalesce("speed_kmh", F.lit(0)) > 0)
+    m = m.withColumns({"active": active, "temp": double("pack_temp_max_c")})
+    m = windows.trailing(m, 60_000, lambda w: {"first": F.min(F.when(F.col("temp").isNotNull(), F.struct("ts_event_ms", "seq", "temp"))).over(w)})
+    m = windows.trailing(m, 300_000, lambda w: {"opens": F.sum(F.coalesce((~F.col("hv_interlock_ok") & F.col("active")).cast("int"), F.lit(0))).over(w)})
+    m = registry.enrich(m, reg, "vin", ("depot_lat", "depot_lon", "capacity_kwh", "wh_per_km"))
+    span = F.col("ts_event_ms") - F.col("first.ts_event_ms")
+    km = measures.distance_km(F.col("lat"), F.col("lon"), F.col("depot_lat"), F.col("depot_lon")) * 1.3
+    need = km * F.col("wh_per_km") / 1000 / F.col("capacity_kwh") * 100
+    return m.withColumns({
+        "rising": F.when(F.col("temp").isNotNull() & (span >= 30_000), (F.col("temp") - F.col("first.temp")) / (span / 60_000.0) >= 2.0),
+        "opened": F.col("opens") >= 2,
+        "aux_low": F.when(~F.col("active"), double("aux_12v_v") < 11.8),
+        "charge_needed": F.when(F.col("registered") & (F.col("capacity_kwh") > 0), F.col("active") & (double("soc_pct") < 15 + need)),
+    })
+
+
+def derived_transitions(m: DataFrame, reg: DataFrame) -> DataFrame:
+    """Transitions of DERIVED_RULES and of THERMAL_DELTA_ANOMALY over messages and a registry with one row per vehicle."""
+    rules = [F.struct(F.lit(f"{r}:{s}").alias("name"), F.col(c).alias("on"), F.lit(h * 1000).alias("hold"), F.lit(k * 1000).alias("clear")) for r, s, c, h, k in DERIVED_RULES]
+    each = _derived_conditions(m, reg).select("vin", "seq", "ts_event_ms", F.explode(F.array(*rules)).alias("r")).where("r.on is not null")
+    each = each.select(F.concat_ws("|", "vin", "r.name").alias("key"), "seq", "ts_event_ms", "r.on", "r.hold", "r.clear")
+    delta = folds.ewma_baseline(m.withColumn("delta", F.col("pack_temp_max_c").cast("double") - F.col("ambient_c").cast("double")), "delta")
+    name = F.concat_ws("|", "vin", F.lit("THERMAL_DELTA_ANOMALY:warning")).alias("key")
+    each = each.unionByName(delta.select(name, "seq", "ts_event_ms", F.col("breach").alias("on"), F.lit(600_000).alias("hold"), F.lit(1_800_000).alias("clear")))
+    t = windows.held(each, F.col("on"), F.col("hold"), F.col("clear"), key="key").withColumn("k", F.split("key", r"[|:]"))
+    return t.select(F.col("k")[1].alias("rule"), F.col("k")[2].alias("severity"), F.col("k")[0].alias("vin"), "at_ms", "state", "start_ms")
+
+
+@query()
+def alert_transitions_derived(spark, d):
+    m = _m(spark, d, "ts_event_ms", "lat", "lon", "speed_kmh", "soc_pct", "pack_temp_max_c", "ambient_c", "hv_interlock_ok", "aux_12v_v", "charge_power_kw", "evt")
+    return derived_transitions(m, _registry(spark, d))
+
+
 @query()
 def delta_baseline(spark, d):
     m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c").withColumn("delta", F.col("pack_temp_max_c") - F.col("ambient_c"))
