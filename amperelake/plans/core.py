@@ -523,7 +523,8 @@ def depot_distance(spark, d):
 @query()
 def geo_cells(spark, d):
     e = _m(spark, d, "lat", "lon").where("lat is not null and lon is not null")
-    return e.groupBy(measures.geohash(F.col("lat"), F.col("lon"), 6).alias("cell")).agg(F.count(F.lit(1)).alias("messages"), F.approx_count_distinct("vin").alias("vehicles"))
+    per = e.groupBy(measures.geohash(F.col("lat"), F.col("lon"), 6).alias("cell"), "vin").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("cell").agg(F.sum("n").alias("messages"), F.count("vin").alias("vehicles"))
 
 
 @query("SELECT vin, min(n) AS tables FROM (SELECT vin, 1 AS n FROM (SELECT vin FROM telemetry EXCEPT SELECT vin FROM rollup1m) UNION ALL SELECT vin, 2 AS n FROM (SELECT vin FROM telemetry INTERSECT SELECT vin FROM rollup1m) UNION ALL SELECT vin, 3 FROM (SELECT vin FROM rollup1m EXCEPT SELECT vin FROM telemetry)) GROUP BY vin")
