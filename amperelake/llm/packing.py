@@ -62,12 +62,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, fill
 
 
-PACKED = "doc_id long, piece int, token_start long, n_tokens int, part int, bin long, fill int, gap int"
+PACKED = "row long, doc string, piece int, n_tokens int, part int, bin long, fill int, gap int"
 
 
 def _pack(capacity: int):
     def run(key, pdf):
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["n_tokens", "row", "piece"], ascending=[False, True, True], kind="stable")
         sizes = pdf["n_tokens"].to_numpy(np.int64)
         bins, fill = best_fit_decreasing(sizes, capacity)
         gap = len(fill) - lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
@@ -77,54 +77,54 @@ def _pack(capacity: int):
 
 
 def pack(counts: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS, cut=None) -> DataFrame:
-    """Containers for `counts` (doc_id, n_tokens): container_id, doc_id, piece, token_start, n_tokens, fill (tokens in the container).
+    """Containers for `counts` (doc_id, n_tokens): container_id, doc_id, piece, token_start, n_tokens, fill (tokens in the
+    container), certified.
 
     A document over the capacity gives full containers of its own and one item with the rest; any other stays whole.
     Items are spread by hash over partitions of about `per_partition`, each packed best-fit decreasing; a partition whose
     bin count equals its dual-feasible bound is certified and final. The others keep their full bins and exchange the
-    documents of the rest: these are spread anew and packed again, up to `rounds` times. At the end the one poorly filled
-    bin that each partition may have left is treated the same way.
-
-    Every token is in exactly one row. Empty documents (n_tokens 0 or null) have one row with null container_id. Repeated
-    doc_ids are documents of their own only if they differ in n_tokens or piece; an empty table gives no row. No task
-    holds more than about `per_partition` items, and the driver sees counts only.
+    documents of the rest: these are spread anew and packed again, up to `rounds` times; the one poorly filled bin that
+    each partition may have left goes with them. `certified` is whether a container was made by a partition that uses no
+    more bins than its bound, or is full; containers of the last round's partitions with a gap are not.
+
+    Every token is in exactly one row. Empty documents (n_tokens 0 or null) have one row with null container_id and
+    certified. Every row of `counts` is a document of its own, with repeated and null doc_ids too: rows are numbered in a
+    table that is cut off before the numbers are used, so they stay. An empty table gives no row. No task holds more than
+    about `per_partition` items, and the driver sees counts only.
     """
     from amperelake.common import cut as checkpointed
 
     cut = cut or checkpointed
-    n = F.coalesce("n_tokens", F.lit(0))
-    docs = counts.select("doc_id", n.cast("int").alias("n"))
-    empty = docs.where("n <= 0").select(
-        F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("token_start"), F.lit(0).alias("n_tokens"), F.lit(None).cast("int").alias("fill")
-    )
+    id_type = dict(counts.dtypes)["doc_id"]
+    docs = cut(counts.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n")))
     pieces = docs.where("n > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("n_tokens"))
-    whole = pieces.where(f"n_tokens = {capacity}").select(
-        F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "token_start", "n_tokens", F.col("n_tokens").alias("fill")
-    )
-    done = []
+    pieces = pieces.select("row", "doc", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("n_tokens"))
+    cols = ("doc", "piece", "n_tokens", "fill", "certified")
+    whole = pieces.where(f"n_tokens = {capacity}").withColumns({"fill": F.col("n_tokens"), "certified": F.lit(True)})
+    out = whole.select(F.concat_ws("-", F.lit("w"), "row", "piece").alias("container_id"), *cols)
+    nothing = docs.where("n <= 0").select("doc", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(None).cast("int").alias("fill"), F.lit(None).cast("boolean").alias("certified"))
+    out = out.unionByName(nothing.select(F.lit(None).cast("string").alias("container_id"), *cols))
     todo = pieces.where(f"n_tokens < {capacity}")
     todo_n = todo.count()
     for r in range(rounds + 1):
         if todo_n == 0:
             break
         parts = math.ceil(todo_n / per_partition)
-        spread = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(parts)).cast("int"))
+        spread = todo.withColumn("part", F.pmod(F.xxhash64("row", "piece", F.lit(r)), F.lit(parts)).cast("int"))
         packed = cut(spread.groupBy("part").applyInPandas(_pack(capacity), PACKED))
-        name = F.concat_ws("-", F.lit(f"r{r}"), "part", "bin").alias("container_id")
-        last = r == rounds or parts == 1
-        again = F.lit(False) if last else ((F.col("gap") > 0) & (F.col("fill") < capacity)) | (F.col("fill") < capacity // 2)
-        done.append(packed.where(~again).select(name, "doc_id", "piece", "token_start", "n_tokens", "fill"))
-        todo = packed.where(again).select("doc_id", "piece", "token_start", "n_tokens")
+        packed = packed.withColumn("certified", (F.col("gap") == 0) | (F.col("fill") == capacity))
+        last = r == rounds or parts == 1  # one partition is the whole rest, there is nobody to exchange with
+        again = F.lit(False) if last else ~F.col("certified") | (F.col("fill") < capacity // 2)
+        out = out.unionByName(packed.where(~again).select(F.concat_ws("-", F.lit(f"r{r}"), "part", "bin").alias("container_id"), *cols))
+        todo = packed.where(again).select("row", "doc", "piece", "n_tokens")
         todo_n = 0 if last else todo.count()
-    out = whole
-    for d in done:
-        out = out.unionByName(d)
-    return out.unionByName(empty)
+    start = (F.col("piece").cast("long") * capacity).alias("token_start")
+    return out.select("container_id", F.col("doc").cast(id_type).alias("doc_id"), "piece", start, "n_tokens", "fill", "certified")
 
 
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row over the whole packing: containers, tokens, unused share, and the certified bound on containers.
+    """One row over the whole packing: containers, how many of them are certified in their partition, tokens, unused
+    share, and the certified bound on the containers of all items together.
 
     The bound needs only the histogram of item sizes, at most `capacity` rows, which the driver gets.
     """
@@ -135,6 +135,6 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for s, c in hist.items():
         counts[s] = c
     tokens = int((counts * np.arange(capacity + 1)).sum())
-    used = items.select("container_id").distinct().count()
-    row = (used, tokens, 1 - tokens / (used * capacity) if used else 0.0, lower_bound(counts, capacity) if used else 0)
-    return spark.createDataFrame([row], "containers long, tokens long, unused double, bound long")
+    used, sure = items.select("container_id", "certified").distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("certified").cast("long")), F.lit(0))).first()
+    row = (used, sure, tokens, 1 - tokens / (used * capacity) if used else 0.0, lower_bound(counts, capacity) if used else 0)
+    return spark.createDataFrame([row], "containers long, certified long, tokens long, unused double, bound long")

@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from amperelake.llm import tokens
-from amperelake.llm.bpe import PATTERN, VOCABULARY, Bpe, Prefixes
+from amperelake.llm.bpe import PATTERN, SETTING, Bpe, Encoded, Prefixes
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +59,44 @@ def test_appends_and_edits_equal_a_new_encoding(bpe):
         assert bytes(p.data) == plain and p.ids() == bpe.merged(plain)
 
 
+def test_an_edit_refills_only_around_it(bpe, public):
+    text = ("The battery pack of vehicle 12 was checked; fans run warm. " * 1800).encode()
+    p = Prefixes(bpe, text)
+    for at, cut, new in ((10, 3, b"xy"), (50_000, 0, b" unusual"), (len(text) - 5, 2, b""), (70_000, 500, b"q")):
+        text = text[:at] + new + text[at + cut :]
+        p.edit(at, cut, new)
+        assert p.refilled < 1000 and bytes(p.data) == text
+        assert p.last == Prefixes(bpe, text).last
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text("ab 1'\n\u0b95é", max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 6), st.text("ab 's2\t", max_size=5)), max_size=4))
+def test_edits_of_a_text_equal_a_new_encoding(bpe, public, text, edits):
+    e = Encoded(bpe, text)
+    for at, cut, new in edits:
+        at = min(at, len(text))
+        text = text[:at] + new + text[at + cut :]
+        cut = min(cut, len(e.text) - at)
+        assert e.edit(at, cut, new).ids() == public.encode_ordinary(text)
+    assert e.append("s end").ids() == public.encode_ordinary(text + "s end")
+
+
+def test_an_edit_splits_again_only_around_it(bpe):
+    e = Encoded(bpe, "The pack was checked twice. " * 2000)
+    assert e.edit(20_000, 4, "new").split_again < 10 and e.append(" more").split_again < 10
+
+
+def test_vocabulary_is_a_parameter(spark, public):
+    df = spark.createDataFrame([(1, "fan run")], "doc_id long, text string")
+    want = public.encode_ordinary("fan run")
+    assert tokens.token_ids(df, vocabulary=VOCABULARY).first().ids == want == tokens.token_ids(df).first().ids
+    spark.conf.set(SETTING, VOCABULARY.replace("50k", "multi_50k"))
+    try:
+        assert tokens.vocabulary_file(spark).endswith("byte_bpe_multi_50k.tiktoken") and tokens.token_ids(df).first().ids != want
+    finally:
+        spark.conf.unset(SETTING)
+
+
 def test_every_prefix_has_its_own_last_token(bpe):
     data = b"unbelievable batteries"
     p = Prefixes(bpe, data)

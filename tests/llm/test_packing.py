@@ -61,5 +61,24 @@ def test_every_token_once(spark):
     assert p.where("container_id is null").count() == sum(not n for _, n in docs)
 
 
+def test_documents_of_one_id_or_none_keep_to_themselves(spark):
+    df = spark.createDataFrame([(7, 5000), (7, 5000), (None, 4096), (None, 4096), (None, 4096), (8, 30), (8, 30), (8, 30), (7, 0), (7, None)], "doc_id long, n_tokens int").repartition(3)
+    p = packing.pack(df).cache()
+    bins = p.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max("fill").alias("f"))
+    assert bins.where("n > 2048 or n <> f").count() == 0
+    assert p.agg(F.sum("n_tokens")).first()[0] == 2 * 5000 + 3 * 4096 + 90 and p.where("doc_id = 8").count() == 3
+    assert p.where("container_id is null").count() == 2 and packing.certificate(p).first().bound <= bins.count()
+
+
+def test_what_is_not_certified_is_marked(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, r.choice([34, 35, 51, 52, 67])) for i in range(900)], "doc_id long, n_tokens int")
+    p = packing.pack(df, capacity=100, per_partition=100, rounds=1).cache()
+    assert p.where("certified is null").count() == 0
+    by_part = p.select("container_id", "certified").distinct().groupBy("certified").count().collect()
+    c = packing.certificate(p, 100).first()
+    assert {x.certified: x["count"] for x in by_part}.get(True, 0) == c.certified <= c.containers and c.bound <= c.containers
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens int")).count() == 0
