@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side table (dictionary, registry, profile) may be broadcast; such rows are under 200 bytes each.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side table (dictionary, registry, profile) may be broadcast.
+BROADCAST_BYTES = 32_000_000
 
 IST_OFFSET_MS = 19_800_000
 MINUTE_MS = 60_000
@@ -37,28 +39,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset a temporary folder serves on a local
+    master, as in tests; on a cluster that is an error, as a machine's own folder is lost with the machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"amperelake-{os.getpid()}")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder (a temporary one only where none is configured, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"amperelake-{os.getpid()}")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; a folder of our own is set only where none is."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), f"amperelake-{os.getpid()}"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`small` with a broadcast hint if it has at most `max_rows` rows (counted), else as it is for a shuffled join.
+def maybe_broadcast(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`small` with a broadcast hint if its rows, counted, have at most `max_bytes` by the types of their columns (strings
+    and other open-ended types by their mean length), else as it is for a shuffled join.
 
     Give a frame that is cheap to count, such as one returned by `cut`.
     """
-    return F.broadcast(small) if small.count() <= max_rows else small
+    open_ended = [F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in small.dtypes if t in ("string", "binary") or t[:5] in ("array", "map<", "struc")]
+    fixed = 16 + 8 * len(small.columns)
+    size = small.agg(F.count(F.lit(1)) * fixed + F.coalesce(F.sum(sum((2 * c for c in open_ended), F.lit(0))), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= max_bytes else small
 
 
 def messages(telemetry: DataFrame, *cols: str) -> DataFrame:

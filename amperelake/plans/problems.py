@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperelake.common import cut, messages, table
+from amperelake.common import messages, scratch, table
 from amperelake.operators import late, rolling, seen, sessions, spikes, units
 
 MESSAGES_SQL = "(SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin, seq ORDER BY log_offset) = 1)"
@@ -68,17 +70,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return late.outcomes(late.late_minutes(msgs))
 
 
-def _arrivals(spark: SparkSession, d: str) -> seen.Arrivals:
-    t = table(spark, d, "telemetry")
-    return seen.select_arrivals(t, cut(seen.dictionary(t)))
+def _arrivals(spark: SparkSession, d: str) -> list[seen.Arrivals]:
+    return seen.replayed(table(spark, d, "telemetry"), scratch(spark))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _arrivals(spark, d).surplus
+    return reduce(DataFrame.unionByName, (a.surplus for a in _arrivals(spark, d)))
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _arrivals(spark, d).kept
+    return reduce(DataFrame.unionByName, (a.kept for a in _arrivals(spark, d)))
 
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:

@@ -84,35 +84,80 @@ def test_late_minutes(spark, telemetry, odd_rows):
     assert late.late_minutes(odd).count() > 0 and late.late_minutes(odd.limit(0)).count() == 0
 
 
-def test_seen_bitmaps_over_batches(spark, tmp_path):
-    r = random.Random(5)
-    rows = [(r.choice("ABC"), r.choice([0, 1, 32_767, 32_768, 70_000, r.randint(0, 99)]), i) for i in range(600)]
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 65_535), min_size=1, max_size=300), st.integers(0, 60_000), st.integers(0, 5_000))
+def test_bitmaps_keep_their_bits_in_every_form(places, start, run):
+    bits = np.zeros(65_536, bool)
+    bits[sorted(places)] = True
+    bits[start : start + run] = True
+    data = seen.packed(np.flatnonzero(bits))
+    assert (seen.unpacked(data) == bits).all() and len(data) <= 8_193
+    assert seen.packed(np.flatnonzero(np.arange(65_536) % 2))[:1] == b"b" and len(seen.packed(np.arange(65_536))) == 5
+
+
+def arrivals(r):
+    rows = [(r.choice("ABC"), r.choice([0, 1, 65_535, 65_536, 170_000, -5, r.randint(0, 99)]), i) for i in range(600)]
     rows += [("A", 7, 1000 + i) for i in range(300)] + [("B", None, 5000), ("B", None, 5001), (None, 3, 6000), (None, 3, 6001)]
-    df = spark.createDataFrame(rows, "vin string, seq long, log_offset long")
     first = {}
     for v, s, o in rows:
-        first[(v, s if s is not None else ("own", o))] = min(o, first.get((v, s if s is not None else ("own", o)), o))
-    kept = set(first.values())
-    got = seen.select_arrivals(df, seen.dictionary(df))
+        k = (v, s if s is not None else ("own", o))
+        first[k] = min(o, first.get(k, o))
+    return rows, set(first.values())
+
+
+def test_seen_bitmaps_over_batches(spark, tmp_path):
+    rows, kept = arrivals(random.Random(5))
+    df = spark.createDataFrame(rows, "vin string, seq long, log_offset long").selectExpr("*", "1 as kind", "'x' as bits", "2 as high", "3 as low", "4 as vin_id", "5 as first")
+    got = seen.select_arrivals(df.repartition(5), seen.new_ids(df))
     assert sorted(x[0] for x in got.surplus.collect()) == sorted(o for *_, o in rows if o not in kept)
     assert {x[0] for x in got.kept.collect()} == kept
-    store, total = seen.SeenStore(spark, str(tmp_path / "seen")), set()
-    for n, (lo, hi) in enumerate([(0, 200), (200, 600), (600, 9000)]):
-        part = df.where(f"log_offset >= {lo} and log_offset < {hi}")
-        new = {x[0] for x in store.apply(part, n).collect()}
+    total, surplus = set(), []
+    for a in seen.replayed(df, str(tmp_path / "all"), 4):
+        new = {x[0] for x in a.kept.collect()}
         assert not new & total
         total |= new
-        assert store.apply(part, n) is None
-    assert total == kept
+        surplus += [x[0] for x in a.surplus.collect()]
+    assert total == kept and sorted(surplus) == sorted(o for *_, o in rows if o not in kept)
+    assert sum(a.kept.count() + a.surplus.count() for a in seen.replayed(df.limit(0), str(tmp_path / "none"), 2)) == 0
+
+
+def test_seen_store_survives_replays_crashes_and_a_second_writer(spark, tmp_path):
+    rows, kept = arrivals(random.Random(6))
+    df = spark.createDataFrame(rows, "vin string, seq long, log_offset long").cache()
+    part = lambda lo, hi: df.where(f"log_offset >= {lo} and log_offset < {hi}")
+    ids = lambda a: sorted(x[0] for x in a.kept.collect())
+    path = str(tmp_path / "seen")
+    first = ids(seen.SeenStore(spark, path).apply(part(0, 200), 10))
+    assert ids(seen.SeenStore(spark, path).apply(part(0, 200), 10)) == first  # the caller lost its result and asks again
+    (tmp_path / "seen" / "applied" / "10").unlink()  # the writer went away right after it had published
+    assert ids(seen.SeenStore(spark, path).apply(part(0, 200), 10)) == first
+
+    class Stale(seen.SeenStore):
+        def latest(self):
+            return 0, None
+
+    other = Stale(spark, path)
+    with pytest.raises(seen.Behind):
+        other.apply(part(200, 400), 11)
+    second = ids(seen.SeenStore(spark, path).apply(part(200, 400), 11))
+    third = ids(seen.SeenStore(spark, path).apply(part(400, 9000), 3))  # a lower id that was not applied
+    assert {*first, *second, *third} == kept and len(first) + len(second) + len(third) == len(kept)
+    again = seen.SeenStore(spark, path)
+    assert ids(again.apply(part(400, 9000), 3)) == third and ids(again.apply(part(0, 200), 10)) == first
+    n, m = again.latest()
+    assert n == 3 and again.apply(part(0, 9000), 12).kept.where("log_offset <> 5000 and log_offset <> 5001").count() == 0
+    untouched = again.apply(spark.createDataFrame([("D", 1, 7000)], df.schema), 13)
+    assert ids(untouched) == [7000]
+    moved = again.latest()[1]["groups"]
+    assert sum(m["groups"].get(g) != f for g, f in moved.items()) == 1  # only the group that grew was written
 
 
 def test_dictionary_is_exact_and_grows(spark):
     a = spark.createDataFrame([(f"v{i}",) for i in range(500)] + [(None,)], "vin string")
     b = spark.createDataFrame([(f"v{i}",) for i in range(400, 900)], "vin string")
-    one = seen.dictionary(a, shards=8)
-    two = {r.vin: r.vin_id for r in seen.dictionary(b, one, shards=8).collect()}
-    assert len(two) == 901 and len(set(two.values())) == 901
-    assert all(two[r.vin] == r.vin_id for r in one.collect())
+    one = seen.new_ids(a, shards=8)
+    two = {r.vin: r.vin_id for r in one.unionByName(seen.new_ids(b, one, shards=8)).collect()}
+    assert len(two) == 901 and len(set(two.values())) == 901 and min(two.values()) >= 0
 
 
 ROLLUP = "vin string, minute_start_ms long, emitted_ms long, sample_count int, energy_kwh double, distance_km double, isolation_min_kohm double"
