@@ -39,6 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset a temporary folder serves on a local
     master, as in tests; on a cluster that is an error, as a machine's own folder is lost with the machine."""
@@ -47,7 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"amperelake-{os.getpid()}")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        if base not in _OWN:
+            _OWN.add(base)
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 

@@ -56,15 +56,18 @@ NUMBER = r"^\s*([+-]?(?:[0-9][0-9,]*)?\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*(.*?)\s*$
 
 
 def readings(oem_raw: DataFrame) -> DataFrame:
-    """The present readings of parseable oem_b bodies: raw_id, vin, fw, at (epoch s), and per field `<f>_x` and `<f>_u`.
+    """The present readings of parseable oem_b bodies: raw_id, record_no, vin, fw, at (epoch s), and per field `<f>_x` and `<f>_u`.
 
-    `_x` is the number (thousands separators removed), `_u` the unit written beside it or null. A body that is no JSON
-    object or array of one has no readings; a value that holds no number is not present.
+    `_x` is the number (thousands separators removed), `_u` the unit written beside it or null. A body is an object or an
+    array, every element of which is a record; one that is no JSON has no readings; a value that holds no number is not
+    present.
     """
-    v = oem_raw.where("oem = 'oem_b'").withColumn("v", F.try_parse_json("body")).where("v is not null")
-    v = v.withColumn("v", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$[0]", "variant")).otherwise(F.col("v")))
+    v = oem_raw.where("oem = 'oem_b'").select("raw_id", "topic_vin", "fw_version", "received_ms", F.try_parse_json("body").alias("v")).where("v is not null")
+    many = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    v = v.select("raw_id", "topic_vin", "fw_version", "received_ms", F.posexplode(many).alias("record_no", "v"))
     out = v.select(
         "raw_id",
+        "record_no",
         F.coalesce(F.try_variant_get("v", "$.vehicleId", "string"), "topic_vin").alias("vin"),
         F.col("fw_version").alias("fw"),
         F.coalesce(F.try_variant_get("v", "$.epoch", "double").cast("long"), F.floor(F.col("received_ms") / 1000)).alias("at"),
@@ -99,10 +102,10 @@ def _log(f: str, common, ref):
 
 
 class Mixture:
-    """Per field a base density on the log scale, and per group (firmware) the weights of the units.
+    """Per field a base density on the log scale; a unit's component is that density offset by the unit's conversion to
+    the common unit, so only weights of the units are fitted, per firmware.
 
-    A unit's component is the base density offset by the unit's conversion to the common unit, so only weights are
-    fitted. Densities are histograms, smoothed over neighbouring bins, with a floor for values never seen.
+    Densities are histograms, smoothed over neighbouring bins, with a floor for values never seen.
     """
 
     FLOOR = 1e-5
@@ -118,7 +121,6 @@ class Mixture:
             k = np.exp(-0.5 * (np.arange(-8, 9) / 3.0) ** 2)
             h = np.convolve(h, k / k.sum(), "same")
             self.base[f] = (lo, h / h.sum())
-        self.weights: dict[tuple[str, str], np.ndarray] = {}
 
     def likelihood(self, f: str, x: np.ndarray, ref: np.ndarray) -> np.ndarray:
         """(readings, units); 1 for every unit where the reading has no place on the scale (0, or no reference)."""
@@ -133,19 +135,20 @@ class Mixture:
         out[blank] = 1.0
         return out
 
-    def fit(self, group: str, f: str, x: np.ndarray, ref: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> None:
-        like = self.likelihood(f, x, ref)
+    def fit(self, f: str, x: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+        """Weights of the units among `n` readings at each `x` (odometers relative to the vehicle)."""
+        like = self.likelihood(f, x, np.ones(len(x)))
         w = np.full(like.shape[1], 1 / like.shape[1])
         for _ in range(rounds):
             p = like * w
             p /= p.sum(axis=1, keepdims=True)
             w = (p * n[:, None]).sum(axis=0) + 0.1
             w /= w.sum()
-        self.weights[group, f] = w
+        return w
 
-    def weight(self, group: str | None, f: str) -> np.ndarray:
-        k = len(QUANTITIES[f].units)
-        return self.weights.get((group, f), np.full(k, 1 / k))
+
+#: Names of the fitted weights in a row: one per field and unit.
+WEIGHTS = [f"w_{f}_{j}" for f, q in QUANTITIES.items() for j in range(len(q.units))]
 
 
 def _bin(f: str, x):
@@ -153,11 +156,8 @@ def _bin(f: str, x):
     return F.round(x, 0) if f == "tempMaxF" else F.round(F.log(F.abs(x)) * 100, 0)
 
 
-def _fit(rows: DataFrame, known: DataFrame, refs: DataFrame) -> Mixture:
-    """Base densities and weights from histograms counted over all rows; the driver gets bins, never readings.
-
-    A histogram has at most a few thousand bins, the weights one histogram per firmware and field.
-    """
+def base_densities(rows: DataFrame, known: DataFrame, refs: DataFrame) -> Mixture:
+    """The common distributions, from histograms counted over all rows; the driver gets a few thousand bins, never readings."""
     written = rows.select("vin", *(F.when(F.col(f"{f}_u").isNotNull(), _common(f)).alias(f) for f in QUANTITIES))
     common = known.select("vin", *QUANTITIES).unionByName(written).join(refs, "vin", "left")
     place = {f: F.col(f) / F.col("ref") if f == "odometerMiles" else F.col(f) + q.shift for f, q in QUANTITIES.items()}
@@ -166,16 +166,33 @@ def _fit(rows: DataFrame, known: DataFrame, refs: DataFrame) -> Mixture:
     base: dict[str, dict[int, float]] = {f: {} for f in QUANTITIES}
     for r in got:
         base[r.f][r.b] = float(r["count"])
-    mix = Mixture(base)
+    return Mixture(base)
+
+
+def firmware_weights(rows: DataFrame, mix: Mixture) -> DataFrame:
+    """fw, the fitted WEIGHTS, `likely` (the most likely unit of each field, as a number) and how many readings they rest on.
+
+    Readings are counted into bins first, so a firmware that most rows have is a few thousand bins like any other.
+    """
     bare = []
     for f in QUANTITIES:
         x = F.when(F.col(f"{f}_u").isNull() & (F.col(f"{f}_x") != 0), F.col(f"{f}_x"))
         x = x / F.col("ref") if f == "odometerMiles" else x
         bare.append(F.struct(F.lit(f).alias("f"), _bin(f, x).alias("b"), x.alias("x")))
-    got = rows.where("fw is not null").select("fw", F.inline(F.array(*bare))).where("x is not null").groupBy("fw", "f", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x")).toPandas()
-    for (fw, f), g in got.sort_values(["fw", "f", "b"]).groupby(["fw", "f"]):
-        mix.fit(fw, f, g["x"].to_numpy(float), np.ones(len(g)), g["n"].to_numpy(float))
-    return mix
+    bins = rows.where("fw is not null").select("fw", F.inline(F.array(*bare))).where("x is not null").groupBy("fw", "f", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"))
+
+    def fitted(key, pdf):
+        import pandas as pd
+
+        out, likely = [], 0
+        for f, q in QUANTITIES.items():
+            g = pdf[pdf["f"] == f].sort_values("b")
+            w = mix.fit(f, g["x"].to_numpy(float), g["n"].to_numpy(float))
+            out += w.tolist()
+            likely = likely * len(q.units) + int(w.argmax())
+        return pd.DataFrame([[key[0], *out, likely, float(pdf["n"].sum())]], columns=["fw", *WEIGHTS, "likely", "n"])
+
+    return bins.groupBy("fw").applyInPandas(fitted, "fw string, " + ", ".join(f"{w} double" for w in WEIGHTS) + ", likely int, n double")
 
 
 def _common(f: str):
@@ -189,13 +206,13 @@ def _common(f: str):
 def _firmware_around(rows: DataFrame) -> DataFrame:
     """Adds `before` and `after`: the vehicle's nearest known firmware by event time on each side, for rows without one."""
     r = rows.withColumns({"_b": F.floor(F.col("at") / BLOCK_S), "_k": F.when(F.col("fw").isNotNull(), F.struct("at", "fw"))})
-    r = blocked_running(r, "vin", "_b", ["at", "raw_id"], {}, {"_p": "_k"})
+    r = blocked_running(r, "vin", "_b", ["at", "raw_id", "record_no"], {}, {"_p": "_k"})
     r = r.withColumns({"_nb": -F.col("_b"), "_nat": -F.col("at"), "_k": F.when(F.col("fw").isNotNull(), F.struct((-F.col("at")).alias("at"), "fw"))})
-    r = blocked_running(r, "vin", "_nb", ["_nat", "raw_id"], {}, {"_n": "_k"})
+    r = blocked_running(r, "vin", "_nb", ["_nat", "raw_id", "record_no"], {}, {"_n": "_k"})
     return r.withColumns({"before": F.col("_p.fw"), "after": F.col("_n.fw")}).drop("_b", "_k", "_p", "_n", "_nb", "_nat")
 
 
-RESULT = "raw_id long, vin string, field_name string, value double, unit string, written boolean, posterior double, uncertain boolean"
+RESULT = "raw_id long, record_no int, vin string, field_name string, value double, unit string, written boolean, posterior double, uncertain boolean"
 
 
 def common_units(oem_raw: DataFrame, telemetry: DataFrame | None = None) -> DataFrame:
@@ -205,60 +222,76 @@ def common_units(oem_raw: DataFrame, telemetry: DataFrame | None = None) -> Data
     among the readings of the same firmware (fitted as a mixture on the log scale whose components are the common
     distribution, taken from oem_a, oem_c and readings with written units, offset by the conversion factors), times the
     density of the value under each unit; odometers count relative to the vehicle's largest `odo_km` in `telemetry`. A
-    record without firmware is a mixture over firmwares: those next to it in the vehicle's time first, then all, weighed by
-    how well the record's readings fit together. `uncertain` marks posteriors under 0.9.
-
-    Null bodies and bodies that do not parse have no row; a reading of 0 takes the unit of its firmware; rows of other
-    OEMs are only the reference; repeated records give repeated rows; an empty table gives no row.
+    record without firmware is a mixture: over those next to it in the vehicle's time first, then over all, weighed by
+    how well the record's readings fit together. Of all firmwares those that agree in the most likely unit of every field
+    count as one, so a row has at most 2 + 81 candidates however many firmwares there are. `uncertain` marks posteriors
+    under 0.9.
+
+    Bodies are parsed once, into a table that the histograms, the firmwares around and the result read. Every record of
+    a body has its readings (`record_no`). Null bodies and bodies that do not parse have no row; a reading of 0 takes the
+    unit of its firmware; rows of other OEMs are only the reference; repeated records give repeated rows; an empty table
+    gives no row.
     """
-    rows = readings(oem_raw)
+    rows = cut(readings(oem_raw))
     known = reference(oem_raw)
     odo = known.select("vin", F.col("odometerMiles").alias("odo")) if telemetry is None else telemetry.select("vin", F.col("odo_km").alias("odo"))
     refs = maybe_broadcast(cut(odo.where("odo > 0 and vin is not null").groupBy("vin").agg(F.max("odo").alias("ref"))))
-    rows = cut(_firmware_around(rows.where("vin is not null")).unionByName(rows.where("vin is null"), allowMissingColumns=True).join(refs, "vin", "left"))
-    mix = _fit(rows, known, refs)
-    share = {r.fw: r["count"] for r in rows.where("fw is not null").groupBy("fw").count().collect()}
-    groups = sorted(share)
+    mix = base_densities(rows, known, refs)
+    weights = cut(firmware_weights(rows.join(refs, "vin", "left"), mix))
+    kinds = weights.groupBy("likely").agg(F.sum("n").alias("n"), *((F.sum(F.col(w) * F.col("n")) / F.sum("n")).alias(w) for w in WEIGHTS)).orderBy("likely").toPandas()  # at most 81 rows
+    general = kinds[WEIGHTS].to_numpy(float) if len(kinds) else np.full((1, len(WEIGHTS)), 1 / 3)
+    share = kinds["n"].to_numpy(float) / kinds["n"].sum() if len(kinds) else np.ones(1)
+    side = maybe_broadcast(weights)
+    around = rows.where("vin is null").unionByName(_firmware_around(rows.where("vin is not null")), allowMissingColumns=True).join(refs, "vin", "left")
+    of = lambda name: side.select(F.col("fw").alias(f"_{name}"), F.array(*WEIGHTS).alias(f"w_{name}"))
+    for name in ("fw", "before", "after"):
+        key = F.col("fw") if name == "fw" else F.when(F.col("fw").isNull(), F.col(name))
+        around = around.join(of(name), key == F.col(f"_{name}"), "left").drop(f"_{name}")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        total = sum(share.values()) or 1
-        general = np.array([1e-3 * share[g] / total for g in groups]) if groups else np.ones(1)
-        names = groups or [None]
         for pdf in batches:
             n = len(pdf)
-            prior = np.zeros((n, len(names)))
-            where = {g: i for i, g in enumerate(names)}
-            for col in ("fw", "before", "after"):
-                i = pdf[col].map(where).to_numpy(float)
-                own = pdf["fw"].notna().to_numpy() if col == "fw" else pdf["fw"].isna().to_numpy()
-                hit = np.flatnonzero(np.isfinite(i) & own)
-                prior[hit, i[hit].astype(int)] += 1.0
-            prior[pdf["fw"].isna().to_numpy()] += general
-            prior[prior.sum(axis=1) == 0] = 1.0
-            ref = pdf["ref"].to_numpy(float)
-            like, each = {}, prior
-            for f in QUANTITIES:
+            if not n:
+                continue
+            bare_fw = pdf["fw"].isna().to_numpy()
+            stated = [np.array([w if w is not None else [np.nan] * len(WEIGHTS) for w in pdf[f"w_{c}"]], float) for c in ("fw", "before", "after")]
+            stated[0][~bare_fw & np.isnan(stated[0][:, 0])] = 1 / 3  # a firmware none of whose readings tells
+            alone = bare_fw  # rows that the general kinds are candidates for
+            ref, like, at = pdf["ref"].to_numpy(float), {}, 0
+            place = {}
+            for f, q in QUANTITIES.items():
                 x = pdf[f"{f}_x"].to_numpy(float)
-                bare = np.isfinite(x) & pdf[f"{f}_u"].isna().to_numpy()
                 li = mix.likelihood(f, x, ref)
-                li[~bare] = 1.0
-                like[f] = np.stack([li * mix.weight(g, f) for g in names], axis=1)  # rows, firmware, unit
-                each = each * like[f].sum(axis=2)
-            each = each / np.maximum(each.sum(axis=1, keepdims=True), 1e-300)
+                li[~(np.isfinite(x) & pdf[f"{f}_u"].isna().to_numpy())] = 1.0
+                like[f], place[f] = li, slice(at, at + len(q.units))
+                at += len(q.units)
+            total = {f: np.zeros_like(like[f]) for f in QUANTITIES}
+            weighed = np.zeros(n)
+            candidates = [(w, np.where(np.isnan(w[:, 0]), 0.0, 1.0)) for w in stated]
+            candidates += [(np.broadcast_to(g, (n, len(WEIGHTS))), np.where(alone, 1e-3 * s, 0.0)) for g, s in zip(general, share)]
+            for w, prior in candidates:
+                on = np.flatnonzero(prior > 0)
+                if not len(on):
+                    continue
+                joint = {f: like[f][on] * w[on][:, place[f]] for f in QUANTITIES}
+                each = prior[on] * np.prod([j.sum(axis=1) for j in joint.values()], axis=0)
+                weighed[on] += each
+                for f, j in joint.items():
+                    total[f][on] += each[:, None] * j / np.maximum(j.sum(axis=1, keepdims=True), 1e-300)
             for f, q in QUANTITIES.items():
                 x = pdf[f"{f}_x"].to_numpy(float)
-                post = (each[:, :, None] * like[f] / np.maximum(like[f].sum(axis=2, keepdims=True), 1e-300)).sum(axis=1)
+                post = total[f] / np.maximum(weighed, 1e-300)[:, None]
                 units = np.array(list(q.units))
                 written = pdf[f"{f}_u"].notna().to_numpy()
                 unit = np.where(written, pdf[f"{f}_u"].to_numpy(object), units[post.argmax(axis=1)])
                 sure = np.where(written, 1.0, post.max(axis=1))
-                a, b = (np.array([q.units[u][i] for u in unit]) if n else np.zeros(0) for i in (0, 1))
-                out = pd.DataFrame({"raw_id": pdf["raw_id"], "vin": pdf["vin"], "field_name": f, "value": x * a + b, "unit": unit, "written": written, "posterior": sure, "uncertain": sure < SURE})
+                a, b = (np.array([q.units[u][i] for u in unit]) for i in (0, 1))
+                out = pd.DataFrame({"raw_id": pdf["raw_id"], "record_no": pdf["record_no"], "vin": pdf["vin"], "field_name": f, "value": x * a + b, "unit": unit, "written": written, "posterior": sure, "uncertain": sure < SURE})
                 yield out[np.isfinite(x)]
 
-    return rows.mapInPandas(run, RESULT)
+    return around.mapInPandas(run, RESULT)
 
 
 def other_units(common: DataFrame) -> DataFrame:

@@ -257,4 +257,7 @@ def test_units_from_mixture_text_and_neighbours(spark):
     assert [(got[text, f].unit, round(got[text, f].value, 2)) for f in units.QUANTITIES] == [("C", 31.5), ("m", 120.0), ("km/h", 36.0), ("ratio", 50.0)]
     assert not any((text + j, f) in got for j in (1, 2, 3) for f in units.QUANTITIES)
     assert got[text + 4, "speedMph"].unit == "mph"
+    two = [(9001, "oem_b", "B1", "imp", 1, "[" + body_b("B1", 1600, '"20 C"', 1, 2, 0.5)[1:-1] + "," + body_b("B1", 1601, '"30 C"', 1, 2, 0.5)[1:-1] + "]"), (9002, "oem_b", "B1", None, 1, body_b("B1", 1, '"7 C"', 1, 2, 3)[1:-1]), (9003, "oem_b", "B1", "imp", 1, "[]")]
+    got = units.common_units(spark.createDataFrame(two, RAW).selectExpr("*", "1 as at", "2 as record_no", "3 as n", "4 as likely")).where("field_name = 'tempMaxF'").collect()
+    assert sorted((x.raw_id, x.record_no, x.value) for x in got) == [(9001, 0, 20.0), (9001, 1, 30.0), (9002, 0, 7.0)]
     assert units.common_units(spark.createDataFrame([], RAW)).count() == 0
