@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocked_running(df: DataFrame, key: str, block: str, order: list, sums: dict[str, str], latest: dict[str, str] | None = None) -> DataFrame:
+def blocked_running(df: DataFrame, key: str, block: str, order: list, sums: dict[str, str], latest: dict[str, str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
     """`df` with, for each `sums` item {name: column}, the inclusive running sum of the column over `key` in `order`,
-    and for each `latest` item the largest value of the column before the current row (null if there is none).
+    for each `latest` item the largest value of the column before the current row (null if there is none), and for each
+    `whole` item {name: name in sums} the sum over all rows of the key.
 
     `block` must not decrease in the order given. Nulls in summed columns count as 0. Empty input gives empty output.
     """
-    latest = latest or {}
+    latest, whole = latest or {}, whole or {}
     here = Window.partitionBy(key, block).orderBy(*order)
     upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
     local = df
@@ -34,6 +35,7 @@ def blocked_running(df: DataFrame, key: str, block: str, order: list, sums: dict
         F.col(block).alias("__block"),
         *(F.coalesce(F.sum(f"_c_{n}").over(past), F.lit(0)).alias(f"_c_{n}") for n in sums),
         *(F.max(f"_c_{n}").over(past).alias(f"_c_{n}") for n in latest),
+        *(F.sum(f"_c_{n}").over(Window.partitionBy(key)).alias(w) for w, n in whole.items()),
     )
     joined = local.join(carry, (F.col(key) == F.col("__key")) & (F.col(block) == F.col("__block")))
     for n in sums:

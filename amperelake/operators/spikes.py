@@ -16,11 +16,10 @@ STUCK = 8
 REACH = 6
 HALO = 64
 BLOCK = 16_384
-#: The ellipsoid's axes are the universal threshold sqrt(2 ln n) times this; a flagged reading is wrong if it leaves its
-#: surroundings by more than so many robust deviations of its operating state.
-AXES = 1.5
-LEAVES = 8.0
-ROUNDS = 4
+#: The ellipsoids' half axes are the universal threshold sqrt(2 ln n) times this, in robust deviations of the operating state.
+AXES = 1.4
+#: Most rounds; they end when one finds nothing new.
+ROUNDS = 8
 
 
 def scale(x: np.ndarray, floor: float) -> float:
@@ -54,21 +53,36 @@ def robust_fit(a: np.ndarray, y: np.ndarray, rounds: int = 6) -> np.ndarray:
 def surroundings(x: np.ndarray, ok: np.ndarray, state: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """For each reading, the median of the `reach` good readings of its state before it, and of those after it.
 
-    Where a side has fewer than two, it takes the other side's.
+    Where a side has fewer than three (their median would not be robust), it takes the other side's.
     """
-    left, right = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    for s in np.unique(state):
-        at = np.flatnonzero(state == s)
-        good = at[ok[at]]
-        if good.size < 3:
-            continue
-        v = np.concatenate([np.full(reach, np.nan), x[good], np.full(reach, np.nan)])
-        win = np.lib.stride_tricks.sliding_window_view(v, reach)
-        with np.errstate(all="ignore"):
-            med = _nanmedian(win)
-        lo, hi = np.searchsorted(good, at, "left"), np.searchsorted(good, at, "right")
-        left[at], right[at] = med[lo], med[hi + reach]
-    return np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    return around(x, ok, state, reach)[:2]
+
+
+def around(x: np.ndarray, ok: np.ndarray, state: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, ...]:
+    """`surroundings`, and of the good readings of its state the last and the one before it, the next and the one after it.
+
+    A state with fewer than three good readings has no surroundings (NaN); a side that is missing takes the other's. All
+    states are laid out one after the other with `reach` blanks between, so no window goes from one into the next.
+    """
+    if not len(x):
+        return (x,) * 6
+    order = np.argsort(state, kind="stable")
+    s, good = state[order], ok[order]
+    number = np.cumsum(np.append(0, s[1:] != s[:-1]))
+    per = np.bincount(number, weights=good).astype(int)
+    begin = np.append(0, np.cumsum(per + reach)[:-1])[number]  # blanks of each reading's state in the layout
+    lo = np.cumsum(good) - good - np.append(0, np.cumsum(per)[:-1])[number]
+    hi = lo + good
+    v = np.full(per.sum() + (len(per) + 1) * reach, np.nan)
+    v[(begin + reach + lo)[good]] = x[order][good]
+    med = _nanmedian(np.lib.stride_tricks.sliding_window_view(v, reach))
+    here = begin + reach
+    back = np.empty(len(x), int)
+    back[order] = np.arange(len(x))
+    left, right, p1, p2, n1, n2 = (q[back] for q in (med[begin + lo], med[here + hi], v[here + lo - 1], v[here + lo - 2], v[here + hi], v[here + hi + 1]))
+    p2, n2 = np.where(np.isnan(p2), p1, p2), np.where(np.isnan(n2), n1, n2)
+    both = lambda a, b: (np.where(np.isnan(a), b, a), np.where(np.isnan(b), a, b))
+    return *both(left, right), *both(p1, n1), *both(p2, n2)
 
 
 def _nanmedian(win: np.ndarray) -> np.ndarray:
@@ -76,67 +90,75 @@ def _nanmedian(win: np.ndarray) -> np.ndarray:
     n = np.sum(~np.isnan(s), axis=1)
     i = np.arange(len(s))
     out = (s[i, np.maximum((n - 1) // 2, 0)] + s[i, n // 2]) / 2
-    return np.where(n >= 2, out, np.nan)
-
+    return np.where(n >= 3, out, np.nan)
 
-def phase_space(u: np.ndarray, axes: float = AXES, rounds: int = ROUNDS) -> np.ndarray:
-    """Readings outside the robust ellipsoids over value, first and second difference; `u` is detrended and scaled.
 
-    In each round the ellipsoid's half axes are the universal threshold times robust deviations of the three; what lies
-    outside is taken as 0 (its surroundings) in the next round, until nothing new is found.
-    """
-    u = u.copy()
-    found = np.zeros(len(u), bool)
-    if len(u) < 5:
-        return np.abs(u) > axes * 3
-    lam = axes * math.sqrt(2 * math.log(len(u)))
-    for _ in range(rounds):
-        d1 = np.gradient(u)
-        d2 = np.gradient(d1)
-        s = [lam * scale(q, 1e-3) for q in (u, d1, d2)]
-        slope = math.atan2(float(u @ d2), float(u @ u) or 1e-9)  # value and second difference are correlated: rotated axes
-        c, t = math.cos(slope), math.sin(slope)
-        va, vb = u * c + d2 * t, d2 * c - u * t
-        sa, sb = lam * scale(va, 1e-3), lam * scale(vb, 1e-3)
-        out = ((u / s[0]) ** 2 + (d1 / s[1]) ** 2 > 1) | ((d1 / s[1]) ** 2 + (d2 / s[2]) ** 2 > 1) | ((va / sa) ** 2 + (vb / sb) ** 2 > 1)
-        # a neighbour of a spike leaves by its differences only; it is no reading apart
-        out &= np.abs(u) > lam
-        if not (out & ~found).any():
-            break
-        found |= out
-        u[out] = 0.0
-    return found
+def two_sided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smaller of two differences where they have one sign, else 0: what lies on one side only (a lasting change of
+    level, the neighbour of a spike) vanishes."""
+    out = np.where(np.sign(a) == np.sign(b), np.where(np.abs(a) < np.abs(b), a, b), 0.0)
+    return np.where(np.isfinite(out), out, 0.0)
 
 
-def wrong(x: np.ndarray, state: np.ndarray, bad: np.ndarray, floors: dict, leaves: float = LEAVES, level: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
-    """Flags of the readings `x` of one source in order: impossible (`bad`), stuck, or leaving what surrounds them.
+def phase_space(u: np.ndarray, d1: np.ndarray, d2: np.ndarray, axes: float = AXES) -> np.ndarray:
+    """How far outside the ellipsoids over value, first and second difference (each in its own robust deviations) each
+    reading is: the largest of its three squared distances, over 1 outside.
 
-    `level` is what other quantities explain of x; it is taken off first. Surroundings are the readings of the same `group`
-    (`state` if none is given); what is usual is the scatter within a state, at least `floors` of it. A reading whose group
-    is too small is held against the readings of any group, by twice the largest scatter.
+    Half axes are `axes` times the universal threshold of the number of readings; value and second difference of a series
+    go together, so their ellipse is turned by the slope between them.
+    """
+    lam = axes * math.sqrt(2 * math.log(max(len(u), 5)))
+    u, d1, d2 = u / lam, d1 / lam, d2 / lam
+    slope = math.atan2(float(u @ d2), float(u @ u) or 1e-12)
+    c, t = math.cos(slope), math.sin(slope)
+    spread = math.sqrt(1 + abs(math.sin(2 * slope)))  # deviation of the sum of two quantities that go together
+    va, vb = (u * c + d2 * t) / spread, d2 * c - u * t
+    return np.maximum(u**2 + d1**2, va**2 + vb**2)
+
+
+def wrong(x: np.ndarray, state: np.ndarray, bad: np.ndarray, floors: dict, level: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the readings `x` of one source in order: impossible (`bad`), stuck, or outside the ellipsoids.
+
+    `level` is what other quantities explain of x; it is taken off first. A reading's value is its deviation from the good
+    readings before and after it of the same `group` (`state` if none is given), its differences are those to the last
+    and next good ones, all `two_sided`. They are scaled by their robust deviations within the state, at least `floors`
+    of it; a reading whose group is too small is held against the readings of any group, by twice the largest deviation.
+
+    A round flags what lies outside and is not nearer to the ellipsoid than the reading before or after it; flagged
+    readings are no good ones in the next round, so what only stood beside a spike comes back inside. In the end a flag
+    stays only if the reading is outside the ellipsoids of the good readings that are left.
     """
     held = stuck(x)
     out = bad | held
     rest = x - level if level is not None else x
     group = state if group is None else group
-    for _ in range(3):
-        ok = ~out & np.isfinite(rest)
-        left, right = surroundings(rest, ok, group)
-        alone = np.isnan(left)
+    states, of = np.unique(state, return_inverse=True)
+
+    def distance(ok):
+        near = around(rest, ok, group)
+        alone = np.isnan(near[0])
         if alone.any():
-            pair = surroundings(rest, ok, np.zeros(len(x), int))
-            left, right = (np.where(alone, p, q) for q, p in zip((left, right), pair))
-        a, b = rest - left, rest - right
-        # beside a lasting change of level one side agrees; a reading is apart only if it leaves both
-        dev = np.where(np.sign(a) == np.sign(b), np.where(np.abs(a) < np.abs(b), a, b), 0.0)
-        dev = np.where(np.isfinite(dev), dev, 0.0)
-        usual = {s: scale(dev[(state == s) & ok & ~alone], floors.get(s, 1e-9)) for s in np.unique(state)}
-        per = np.array([usual[s] for s in state]) if len(state) else np.zeros(0)
-        z = dev / np.where(alone, 2 * max(usual.values(), default=1.0), np.maximum(per, 1e-12))
-        new = phase_space(z) & (np.abs(z) > leaves) & ~out & np.isfinite(x)
+            wide = around(rest, ok, np.zeros(len(x), int))
+            near = tuple(np.where(alone, p, q) for q, p in zip(near, wide))
+        left, right, p1, n1, p2, n2 = near
+        scaled = []
+        for before, after in ((rest - left, rest - right), (rest - p1, rest - n1), (rest - 2 * p1 + p2, rest - 2 * n1 + n2)):
+            usual = np.array([scale(before[(of == k) & ok & ~alone], floors.get(s, 1e-9)) for k, s in enumerate(states)])
+            per = np.where(alone, 2 * usual.max(), usual[of]) if len(x) else np.ones(0)
+            scaled.append(two_sided(before, after) / per)
+        return phase_space(*scaled)
+
+    for _ in range(ROUNDS):
+        ok = ~out & np.isfinite(rest)
+        far = np.where(ok, distance(ok), 0.0)
+        beside = np.maximum(np.append(0.0, far[:-1]), np.append(far[1:], 0.0)) if len(far) else far
+        new = (far > 1) & (far >= beside)
         if not new.any():
             break
         out = out | new
+    spikes = out & ~bad & ~held
+    if spikes.any():
+        out = bad | held | (spikes & (distance(~out & np.isfinite(rest)) > 1))
     return out & np.isfinite(x)
 
 
@@ -158,9 +180,9 @@ def stretches(clock: np.ndarray, soc: np.ndarray) -> np.ndarray:
 
 
 #: Least robust deviations by operating state: sensor resolution and ordinary noise, in volts, amperes, and log kilohm.
-VOLT_FLOOR = {0: 0.3, 1: 0.8, 2: 0.3, 3: 0.3}
-AMP_FLOOR = {0: 0.15, 1: 5.0, 2: 0.15, 3: 0.4}
-LOG_FLOOR = {0: 0.03}
+VOLT_FLOOR = {0: 0.6, 1: 1.6, 2: 0.6, 3: 0.6}
+AMP_FLOOR = {0: 0.3, 1: 10.0, 2: 0.3, 3: 0.8}
+LOG_FLOOR = {0: 0.06}
 #: What no such pack can show: shares of the vehicle's own median voltage, amperes, kilohm.
 VOLT_SHARE = (0.55, 1.5)
 AMP_MOST = 900.0
@@ -202,11 +224,13 @@ def wrong_isolation(kohm: np.ndarray) -> np.ndarray:
 
 def in_blocks(readings: DataFrame, order: str, width: int, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """`readings` (vin, `order`, ...) with their rank in the vehicle and the block `b` to work in; rows within `halo` of a
-    block's border are in both blocks. Ranks come from block totals over ranges of `order`, so a hot vehicle is spread."""
+    block's border are in both blocks. A vehicle's blocks are of one `size`, at most `block`, so none is left with a few
+    readings. Ranks come from block totals over ranges of `order`, so a hot vehicle is spread."""
     r = readings.where(f"vin is not null and {order} is not null").withColumns({"_range": F.floor(F.col(order) / width), "_one": F.lit(1)})
-    r = blocked_running(r, "vin", "_range", [order], {"rank": "_one"}).withColumn("rank", F.col("rank") - 1).drop("_range", "_one")
-    own, at = F.floor(F.col("rank") / block), F.pmod("rank", F.lit(block))
-    near = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when(at >= block - halo, own + 1)))
+    r = blocked_running(r, "vin", "_range", [order], {"rank": "_one"}, whole={"_n": "rank"})
+    r = r.withColumns({"rank": F.col("rank") - 1, "size": F.ceil(F.col("_n") / F.ceil(F.col("_n") / block))}).drop("_range", "_one", "_n")
+    own, at = F.floor(F.col("rank") / F.col("size")), F.pmod("rank", "size")
+    near = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when(at >= F.col("size") - halo, own + 1)))
     return r.withColumn("b", F.explode(near))
 
 
@@ -230,7 +254,7 @@ def wrong_telemetry(messages: DataFrame, block: int = BLOCK, halo: int = HALO) -
         pdf = pdf.sort_values("rank", kind="stable")
         col = {c: pdf[c].to_numpy(float) for c in cols}
         v, a = wrong_pack(col["pack_voltage_v"], col["pack_current_a"], col["soc_pct"], col["charge_power_kw"], col["charge_state"], col["speed_kmh"], np.nan_to_num(col["ts_event_ms"]))
-        own, seq = (pdf["rank"] // block).to_numpy() == key[1], pdf["seq"].to_numpy()
+        own, seq = (pdf["rank"] // pdf["size"]).to_numpy() == key[1], pdf["seq"].to_numpy()
         parts = [pd.DataFrame({"field_name": n, "vin": key[0], "ref_no": seq[f & own]}) for n, f in (("pack_voltage_v", v), ("pack_current_a", a))]
         return pd.concat(parts)
 
@@ -245,7 +269,7 @@ def wrong_rollup(minutes: DataFrame, block: int = BLOCK, halo: int = HALO) -> Da
         import pandas as pd
 
         pdf = pdf.sort_values("rank", kind="stable")
-        f = wrong_isolation(pdf["isolation_min_kohm"].to_numpy(float)) & ((pdf["rank"] // block).to_numpy() == key[1])
+        f = wrong_isolation(pdf["isolation_min_kohm"].to_numpy(float)) & ((pdf["rank"] // pdf["size"]).to_numpy() == key[1])
         return pd.DataFrame({"field_name": "isolation_min_kohm", "vin": key[0], "ref_no": pdf["minute_start_ms"].to_numpy()[f]})
 
     return r.groupBy("vin", "b").applyInPandas(run, FOUND)

@@ -200,6 +200,47 @@ def test_spikes_stuck_and_bounds_are_found_and_level_changes_are_not():
     assert set(np.flatnonzero(a)) == bad_a
 
 
+def test_the_ellipsoids_decide(monkeypatch):
+    r = np.random.default_rng(3)
+    x = 50 + r.normal(0, 1, 800)
+    x[400:] += 30  # a lasting change of level
+    spikes_at = [60, 61, 300, 390, 620]
+    x[spikes_at] += 25
+    flags = lambda: set(np.flatnonzero(spikes.wrong(x, np.zeros(800, int), np.zeros(800, bool), {0: 0.5})))
+    assert flags() == set(spikes_at)
+    monkeypatch.setattr(spikes, "phase_space", lambda u, d1, d2: np.zeros(len(u)))
+    assert flags() == set()
+    monkeypatch.setattr(spikes, "phase_space", lambda u, d1, d2: np.full(len(u), 2.0))
+    assert len(flags()) > 100
+    monkeypatch.undo()
+    # a difference counts beside the value: at 4 deviations on one axis alone inside, on two outside
+    u = np.zeros(600)
+    u[5], d = 4.6, np.zeros(600)
+    assert spikes.phase_space(u, d, d)[5] < 1 < spikes.phase_space(u, u, d)[5]
+
+
+def test_surroundings_keep_to_their_state():
+    r = np.random.default_rng(4)
+    x, ok, state = r.normal(size=200), r.random(200) < 0.8, r.integers(0, 4, 200)
+    state[:2] = 9
+    left, right, p1, n1, p2, n2 = spikes.around(x, ok, state)
+    for i in range(200):
+        before = [x[j] for j in range(i) if ok[j] and state[j] == state[i]]
+        after = [x[j] for j in range(i + 1, 200) if ok[j] and state[j] == state[i]]
+        want = [float(np.median(s)) if len(s) >= 3 else None for s in (before[-6:], after[:6])]
+        want = [w if w is not None else o for w, o in zip(want, want[::-1])]
+        assert [left[i], right[i]] == pytest.approx([float("nan") if w is None else w for w in want], nan_ok=True)
+        if before and after:
+            assert p1[i] == before[-1] and n1[i] == after[0] and p2[i] == before[-2 if len(before) > 1 else -1]
+
+
+def test_blocks_are_of_one_size(spark):
+    df = spark.createDataFrame([("A", i * 60_000) for i in range(101)] + [("B", 5)], "vin string, t long")
+    rows = spikes.in_blocks(df, "t", 3_000_000, 100, 5).collect()
+    own = [r.rank // r.size for r in rows if r.vin == "A" and r.rank // r.size == r.b]
+    assert sorted(own) == [0] * 51 + [1] * 50 and len(rows) == 101 + 10 + 1
+
+
 def test_stuck_runs_are_seen_over_block_borders(spark):
     r = np.random.default_rng(2)
     x = 2500 * np.exp(r.normal(0, 0.04, 400))
