@@ -228,10 +228,10 @@ def in_blocks(readings: DataFrame, order: str, width: int, block: int = BLOCK, h
     readings. Ranks come from block totals over ranges of `order`, so a hot vehicle is spread."""
     r = readings.where(f"vin is not null and {order} is not null").withColumns({"_range": F.floor(F.col(order) / width), "_one": F.lit(1)})
     r = blocked_running(r, "vin", "_range", [order], {"rank": "_one"}, whole={"_n": "rank"})
-    r = r.withColumns({"rank": F.col("rank") - 1, "size": F.ceil(F.col("_n") / F.ceil(F.col("_n") / block))}).drop("_range", "_one", "_n")
+    r = r.withColumns({"rank": F.col("rank") - 1, "size": F.ceil(F.col("_n") / F.ceil(F.col("_n") / block))}).drop("_range", "_one")
     own, at = F.floor(F.col("rank") / F.col("size")), F.pmod("rank", "size")
-    near = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when(at >= F.col("size") - halo, own + 1)))
-    return r.withColumn("b", F.explode(near))
+    near = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when((at >= F.col("size") - halo) & ((own + 1) * F.col("size") < F.col("_n")), own + 1)))
+    return r.withColumn("b", F.explode(near)).drop("_n")
 
 
 FOUND = "field_name string, vin string, ref_no long"
