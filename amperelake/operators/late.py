@@ -1,14 +1,16 @@
-"""Per-minute aggregates by event time, corrected by late messages until a cut-off."""
+"""Per-minute aggregates by event time, published and then corrected by late messages until a cut-off."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amperelake.common import MINUTE_MS
+from amperelake.common import MINUTE_MS, cut
 from amperelake.operators.fingertree import FingerTree
+from amperelake.sources.versions import VersionedStore
 
 ALLOWED_MS = 30_000
 CUTOFF_MS = 7_200_000
@@ -16,7 +18,19 @@ BLOCK_MS = 6 * 3_600_000
 #: Columns the aggregates read besides the two clocks.
 INPUT = ("soc_pct", "speed_kmh", "odo_km", "pack_voltage_v", "pack_current_a", "charge_power_kw", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm")
 MEASURES = "soc_min_pct double, soc_max_pct double, soc_avg_pct double, speed_avg_kmh double, distance_km double, energy_kwh double, charge_kwh_grid double, temp_max_c double, imbalance_max_mv double, isolation_min_kohm double"
-RESULT = f"vin string, minute_start_ms long, on_time int, correcting int, lost int, first_published_ms long, last_corrected_ms long, sample_count int, {MEASURES}"
+#: A minute's partial: how each part merges, and its type.
+PARTS = {
+    "on_time": ("sum", "long"), "correcting": ("sum", "long"), "last_corrected_ms": ("max", "long"), "soc_min": ("min", "double"), "soc_max": ("max", "double"), "soc_sum": ("sum", "double"), "soc_n": ("sum", "long"),
+    "speed_sum": ("sum", "double"), "speed_n": ("sum", "long"), "odo_min": ("min", "double"), "odo_max": ("max", "double"), "power_sum": ("sum", "double"), "power_n": ("sum", "long"),
+    "charge_sum": ("sum", "double"), "charge_n": ("sum", "long"), "temp_max": ("max", "double"), "imbalance_max": ("max", "double"), "isolation_min": ("min", "double"),
+}
+#: Minutes as they are kept: key, partial, lost messages.
+KEPT = "vin string, block long, minute_start_ms long, lost long, " + ", ".join(f"{n} {t}" for n, (_, t) in PARTS.items())
+NAMES = tuple(c.split()[0] for c in KEPT.split(", "))
+
+
+def _add(a, b):
+    return b if a is None else a if b is None else a + b
 
 
 def _low(a, b):
@@ -27,113 +41,195 @@ def _high(a, b):
     return b if a is None else a if b is None or a >= b else b
 
 
-def _partial(ingest, r) -> tuple:
-    """(count, on time, correcting, last correction, soc min/max/sum/n, speed sum/n, odo min/max, power sum/n, charge sum/n, temp, imbalance, isolation)."""
-    soc, speed, odo, volt, amp, charge, temp, lo, hi, iso = r
-    power = None if volt is None or amp is None else volt * amp
-    return (1, 0, 0, None, soc, soc, soc or 0.0, soc is not None, speed or 0.0, speed is not None, odo, odo, power or 0.0, power is not None, charge or 0.0, charge is not None, temp, None if lo is None or hi is None else hi - lo, iso)
+_HOW = [{"sum": _add, "min": _low, "max": _high}[how] for how, _ in PARTS.values()]
 
 
-def _merge(a: tuple, b: tuple) -> tuple:
-    return (
-        a[0] + b[0], a[1] + b[1], a[2] + b[2], _high(a[3], b[3]), _low(a[4], b[4]), _high(a[5], b[5]), a[6] + b[6], a[7] + b[7], a[8] + b[8], a[9] + b[9],
-        _low(a[10], b[10]), _high(a[11], b[11]), a[12] + b[12], a[13] + b[13], a[14] + b[14], a[15] + b[15], _high(a[16], b[16]), _high(a[17], b[17]), _low(a[18], b[18]),
-    )
-
-
-def _row(vin, minute, p, lost, allowed):
-    if p is None:
-        return (vin, minute, 0, 0, lost, None, None, 0, *[None] * 10)
-    mean = lambda total, n: total / n if n else None
-    power, charge = mean(p[12], p[13]), mean(p[14], p[15])
-    return (
-        vin, minute, p[1], p[2], lost, minute + MINUTE_MS + allowed if p[1] else None, p[3], p[0],
-        p[4], p[5], mean(p[6], p[7]), mean(p[8], p[9]) or 0.0, None if p[10] is None else p[11] - p[10],
-        None if power is None else power / 60_000, None if charge is None else charge / 60, p[16], p[17], p[18],
-    )
+def merge(a: tuple, b: tuple) -> tuple:
+    return tuple([f(x, y) for f, x, y in zip(_HOW, a, b)])
 
 
 class LateMinutes:
-    """The minutes of one key: open ones in the tree, those beyond the cut-off evicted as final rows.
+    """The minutes of one key: open ones in the tree, those beyond the cut-off evicted as final ones.
 
-    `add` takes messages in the order of the ingest clock. Before each, every minute that ended more than `cutoff_ms`
-    before that clock is evicted in bulk; a message for an evicted minute is lost, one for a minute that is published
-    already corrects it, any other is on time.
+    `add` takes partials in the order of the ingest clock. Before each, every minute that ended more than `cutoff_ms`
+    before that clock is evicted in bulk; what comes for an evicted minute is lost, what comes for an open one is merged
+    into it on the way through the tree. `keep` puts in a minute as an earlier batch left it.
     """
 
-    def __init__(self, vin, allowed_ms: int = ALLOWED_MS, cutoff_ms: int = CUTOFF_MS):
-        self.vin, self.allowed, self.cutoff = vin, allowed_ms, cutoff_ms
-        self.tree = FingerTree(_merge)
+    def __init__(self, cutoff_ms: int = CUTOFF_MS):
+        self.cutoff = cutoff_ms
+        self.tree = FingerTree(merge)
         self.lost: dict[int, int] = {}
         self.final: dict[int, tuple] = {}
         self.next_evict = None
 
-    def add(self, minute: int, ingest: int, reading: tuple) -> None:
-        edge = ingest - self.cutoff - MINUTE_MS  # minutes that start before it have ended beyond the cut-off
+    def _put(self, minute: int, partial: tuple) -> None:
+        self.tree.insert(minute, partial)
+        if self.next_evict is None or minute < self.next_evict:
+            self.next_evict = minute
+
+    def keep(self, minute: int, lost: int, partial: tuple) -> None:
+        if lost:
+            self.lost[minute] = self.lost.get(minute, 0) + lost
+        self._put(minute, partial)
+
+    def add(self, minute: int, clock: int, n: int, partial: tuple) -> None:
+        edge = clock - self.cutoff - MINUTE_MS  # minutes that start before it have ended beyond the cut-off
         if self.next_evict is not None and self.next_evict < edge:
-            self.final.update(self.tree.evict(edge))
+            for m, p in self.tree.evict(edge):
+                self.final[m] = merge(self.final[m], p) if m in self.final else p
             self.next_evict = self.tree.first()
         if minute < edge:
-            self.lost[minute] = self.lost.get(minute, 0) + 1
-            return
-        late = ingest - minute - MINUTE_MS > self.allowed
-        p = _partial(ingest, reading)
-        self.tree.insert(minute, (p[0], 0 if late else 1, 1 if late else 0, ingest if late else None, *p[4:]))
-        if self.next_evict is None or minute < self.next_evict:
-            self.next_evict = minute
+            self.lost[minute] = self.lost.get(minute, 0) + n
+        else:
+            self._put(minute, partial)
 
     def close(self) -> list[tuple]:
-        self.final.update(self.tree.items())
-        return [_row(self.vin, m, self.final.get(m), self.lost.get(m, 0), self.allowed) for m in {**self.final, **self.lost}]
+        """(minute, lost, partial or None) of all minutes."""
+        for m, p in self.tree.items():
+            self.final[m] = merge(self.final[m], p) if m in self.final else p
+        return [(m, self.lost.get(m, 0), self.final.get(m)) for m in {**self.final, **self.lost}]
 
 
-def late_minutes(messages: DataFrame, allowed_ms: int = ALLOWED_MS, cutoff_ms: int = CUTOFF_MS, block_ms: int = BLOCK_MS) -> DataFrame:
-    """Minute aggregates of `messages` (one row per message), with how many messages were on time, corrected or lost.
+def partials(messages: DataFrame, allowed_ms: int = ALLOWED_MS, cutoff_ms: int = CUTOFF_MS, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Per minute and kind of lag (on time, correcting, lost) one partial of its messages, with `clock`, the ingest clock
+    of the last of them, and `n`. All messages of one kind meet the tree alike, so they are combined before the shuffle.
+
+    Lag is the ingest clock minus the end of the event minute; late is over `allowed_ms`, lost over `cutoff_ms`. Messages
+    without vin or either clock belong to no minute and are left out.
+    """
+    d = {c: F.col(c).cast("double") for c in INPUT}
+    power = d["pack_voltage_v"] * d["pack_current_a"]
+    m = messages.where("vin is not null and ts_event_ms is not null and ts_ingest_ms is not null").withColumn("minute_start_ms", F.col("ts_event_ms") - F.pmod("ts_event_ms", F.lit(MINUTE_MS)))
+    lag = F.col("ts_ingest_ms") - F.col("minute_start_ms") - MINUTE_MS
+    m = m.withColumns({"kind": F.when(lag > cutoff_ms, 2).when(lag > allowed_ms, 1).otherwise(0), "block": F.floor(F.col("minute_start_ms") / block_ms)})
+    one = F.count(F.lit(1))
+    g = m.groupBy("vin", "block", "minute_start_ms", "kind").agg(
+        F.max(F.col("ts_ingest_ms").cast("long")).alias("clock"), one.alias("n"), F.min(d["soc_pct"]).alias("soc_min"), F.max(d["soc_pct"]).alias("soc_max"), F.sum(d["soc_pct"]).alias("soc_sum"), F.count("soc_pct").alias("soc_n"),
+        F.sum(d["speed_kmh"]).alias("speed_sum"), F.count("speed_kmh").alias("speed_n"), F.min(d["odo_km"]).alias("odo_min"), F.max(d["odo_km"]).alias("odo_max"), F.sum(power).alias("power_sum"), F.count(power).alias("power_n"),
+        F.sum(d["charge_power_kw"]).alias("charge_sum"), F.count("charge_power_kw").alias("charge_n"), F.max(d["pack_temp_max_c"]).alias("temp_max"), F.max(d["cell_v_max_mv"] - d["cell_v_min_mv"]).alias("imbalance_max"),
+        F.min(d["isolation_kohm"]).alias("isolation_min"),
+    )
+    late = F.col("kind") == 1
+    g = g.withColumns({"on_time": F.when(late, 0).otherwise(F.col("n")), "correcting": F.when(late, F.col("n")).otherwise(0), "last_corrected_ms": F.when(late, F.col("clock"))})
+    return g.select("vin", "block", "minute_start_ms", F.lit(None).cast("long").alias("lost"), *PARTS, "clock", "n")
 
-    Minutes do not depend on one another, so (vin, block of event time) is the unit of work: a hot vehicle spreads over
-    its blocks. A partition is sorted by unit and ingest clock and streamed through one finger B-tree per unit; a unit
-    keeps open minutes only, at most block_ms / 60,000. Late is lag > allowed_ms, lost is lag > cutoff_ms, with lag =
-    ingest clock minus the end of the event minute; a lost message is counted and left out of the aggregates.
 
-    Messages without vin or either clock belong to no minute and are left out; null readings count in `sample_count`
-    only; ties are taken in the order of log_offset; an empty input gives no row.
+def through_trees(arriving: DataFrame, kept: DataFrame | None = None, cutoff_ms: int = CUTOFF_MS) -> DataFrame:
+    """The minutes (`KEPT`) after the partials of `arriving` went into those of `kept`, whose (vin, minute) they may share.
+
+    Minutes do not depend on one another, so any set of a vehicle's minutes may be in one tree: a tree takes what its
+    partition has of one vehicle and block of event time, first what was kept, then what arrives in the order of the
+    ingest clock. It holds at most a block's minutes.
     """
-    cols = ["minute", "ts_ingest_ms", *INPUT]
-    units = (
-        messages.where("vin is not null and ts_event_ms is not null and ts_ingest_ms is not null")
-        .withColumn("minute", F.col("ts_event_ms") - F.pmod("ts_event_ms", F.lit(MINUTE_MS)))
-        .withColumn("block", F.floor(F.col("minute") / block_ms))
-        .select("vin", "block", "log_offset", "minute", F.col("ts_ingest_ms").cast("long"), *(F.col(c).cast("double") for c in INPUT))
-    )
-    units = units.repartition("vin", "block").sortWithinPartitions("vin", "block", "ts_ingest_ms", "log_offset")
+    rows = arriving
+    if kept is not None:  # one tree needs both sides of a minute
+        rows = arriving.unionByName(kept.select(*NAMES), allowMissingColumns=True).repartition("vin", "block")
+    rows = rows.select("vin", "block", "minute_start_ms", "lost", *PARTS, F.coalesce("clock", F.lit(-(2**63))).alias("clock"), "n").sortWithinPartitions("vin", "block", "clock", "minute_start_ms")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (c.split() for c in RESULT.split(", "))])
+        types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+        shape = pa.schema([(n, types[t]) for n, t in (c.split() for c in KEPT.split(", "))])
         unit, op, out = None, None, []
+        none = (None,) * len(PARTS)
+
+        def closed():
+            return [(*unit, m, lost, *(p or none)) for m, lost, p in op.close()] if op else []
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
 
         for b in batches:
-            vins, blocks = b.column("vin").to_pylist(), b.column("block").to_pylist()
-            for vin, block, (minute, ingest, *reading) in zip(vins, blocks, zip(*(b.column(c).to_pylist() for c in cols))):
+            cols = [b.column(c).to_pylist() for c in b.schema.names]
+            for vin, block, minute, lost, *partial, clock, n in zip(*cols):
                 if (vin, block) != unit:
-                    out += op.close() if op else []
-                    unit, op = (vin, block), LateMinutes(vin, allowed_ms, cutoff_ms)
-                op.add(minute, ingest, reading)
+                    out += closed()
+                    unit, op = (vin, block), LateMinutes(cutoff_ms)
+                if n is None:
+                    op.keep(minute, lost, tuple(partial))
+                else:
+                    op.add(minute, clock, n, tuple(partial))
             if len(out) >= 20_000:
                 yield batch()
                 out.clear()
-        out += op.close() if op else []
+        out += closed()
         if out:
             yield batch()
 
-    return units.mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, KEPT)
+
+
+def published(kept: DataFrame, allowed_ms: int = ALLOWED_MS) -> DataFrame:
+    """Minute aggregates as they are published from kept minutes: counts of messages, when they were first published and
+    last corrected, and the measures; a minute of lost messages only has null measures and `sample_count` 0."""
+    n = F.coalesce(F.col("on_time") + F.col("correcting"), F.lit(0))
+    mean = lambda s, c: F.try_divide(F.col(s), F.col(c))
+    return kept.select(
+        "vin", "minute_start_ms", F.coalesce("on_time", F.lit(0)).cast("int").alias("on_time"), F.coalesce("correcting", F.lit(0)).cast("int").alias("correcting"), F.col("lost").cast("int").alias("lost"),
+        F.when(F.col("on_time") > 0, F.col("minute_start_ms") + MINUTE_MS + allowed_ms).alias("first_published_ms"), "last_corrected_ms", n.cast("int").alias("sample_count"),
+        F.col("soc_min").alias("soc_min_pct"), F.col("soc_max").alias("soc_max_pct"), mean("soc_sum", "soc_n").alias("soc_avg_pct"), F.when(n > 0, F.coalesce(mean("speed_sum", "speed_n"), F.lit(0.0))).alias("speed_avg_kmh"),
+        (F.col("odo_max") - F.col("odo_min")).alias("distance_km"), (mean("power_sum", "power_n") / 60_000).alias("energy_kwh"), (mean("charge_sum", "charge_n") / 60).alias("charge_kwh_grid"),
+        F.col("temp_max").alias("temp_max_c"), F.col("imbalance_max").alias("imbalance_max_mv"), F.col("isolation_min").alias("isolation_min_kohm"),
+    )
+
+
+def late_minutes(messages: DataFrame, allowed_ms: int = ALLOWED_MS, cutoff_ms: int = CUTOFF_MS, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Minute aggregates of `messages` (one row per message), with how many messages were on time, corrected or lost.
+
+    A lost message is counted and left out of the aggregates. Null readings count in `sample_count` only; ties of the
+    ingest clock are taken by minute, which changes nothing; an empty input gives no row.
+    """
+    return published(through_trees(partials(messages, allowed_ms, cutoff_ms, block_ms), None, cutoff_ms), allowed_ms)
 
 
 def outcomes(minutes: DataFrame) -> DataFrame:
     """vin, minute_start_ms, outcome: 'corrected' for minutes with a correcting message, 'lost' for those with a lost one."""
     kinds = F.array_compact(F.array(F.when(F.col("correcting") > 0, "corrected"), F.when(F.col("lost") > 0, "lost")))
     return minutes.select("vin", "minute_start_ms", F.explode(kinds).alias("outcome"))
+
+
+class MinuteStore(VersionedStore):
+    """Published minutes that later batches correct, as a table in a shared folder, one folder per block of event time.
+
+    A batch reads and writes only the blocks its messages fall into. The minutes are the same however the messages are
+    dealt over batches, and in whichever order the batches come. A batch id that was applied is not applied again.
+    """
+
+    def __init__(self, spark, path: str, allowed_ms: int = ALLOWED_MS, cutoff_ms: int = CUTOFF_MS, block_ms: int = BLOCK_MS):
+        super().__init__(spark, path)
+        self.allowed, self.cutoff, self.block = allowed_ms, cutoff_ms, block_ms
+
+    def _kept(self, m: dict | None, blocks: list[int] | None = None) -> DataFrame:
+        folders = [f for b, f in (m["groups"] if m else {}).items() if blocks is None or int(b) in blocks]
+        if not folders:
+            return self.spark.createDataFrame([], KEPT)
+        return self.spark.read.schema(KEPT.replace("block long, ", "")).parquet(*(f"{self.path}/{f}" for f in folders)).withColumn("block", F.floor(F.col("minute_start_ms") / self.block))
+
+    def minutes(self) -> DataFrame:
+        """All minutes as they stand."""
+        return published(self._kept(self.latest()[1]), self.allowed)
+
+    def apply(self, messages: DataFrame, batch_id: int) -> DataFrame:
+        """Take in a batch (one row per message); returns the minutes that it published or corrected, or lost messages of.
+
+        The blocks of a batch, listed on the driver, are a few: those of the hours it spans and of its late messages.
+        """
+        n, m = self.latest()
+        had = self.applied(batch_id)
+        if had is None:
+            arriving = cut(partials(messages, self.allowed, self.cutoff, self.block))
+            blocks = [r.block for r in arriving.select("block").distinct().collect()]
+            name = f"minutes/{uuid.uuid4().hex}"
+            groups = dict(m["groups"]) if m else {}
+            if blocks:
+                merged = through_trees(arriving, self._kept(m, blocks), self.cutoff)
+                touched = arriving.select("vin", "minute_start_ms").distinct().withColumn("changed", F.lit(True))
+                merged = cut(merged.join(touched, ["vin", "minute_start_ms"], "left"))
+                merged.drop("changed").repartition("block").write.partitionBy("block").parquet(f"{self.path}/{name}")
+                merged.where("changed").drop("changed").write.parquet(f"{self.path}/results/{name}")
+                groups |= {str(b): f"{name}/block={b}" for b in blocks}
+            had = self.publish(n, batch_id, {"groups": groups, "results": f"results/{name}" if blocks else None})
+        results = self.version(had)["results"]
+        return published(self.spark.read.schema(KEPT).parquet(f"{self.path}/{results}") if results else self.spark.createDataFrame([], KEPT), self.allowed)

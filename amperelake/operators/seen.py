@@ -8,7 +8,6 @@ dictionary between batches.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amperelake.common import cut, maybe_broadcast
+from amperelake.sources.versions import VersionedStore
 
 #: Bits of a shard.
 PLACES = 65_536
@@ -184,71 +184,17 @@ def select_arrivals(rows: DataFrame, ids: DataFrame, seen: DataFrame | None = No
     return Arrivals(surplus, kept, of(BITMAP).select("vin_id", "high", "bits"))
 
 
-class Behind(RuntimeError):
-    """Another writer published first; apply the batch again."""
-
-
-class SeenStore:
+class SeenStore(VersionedStore):
     """Dictionary and bitmaps kept between batches as tables in a shared folder.
 
-    `manifest/<n>.json` names, for version n, the dictionary's files, the newest file of each group of shards, and the
-    batch that made it with its results. A batch writes its results, the new words of the dictionary and the groups whose
-    shards grew, and then creates manifest n + 1, which must not exist: so its bits are united wholly or not at all, and
-    of two writers one fails. A batch id that was applied gives back the results of then, at any later time and in any
-    order of ids; `applied/<id>` finds its version. Groups that no kept version names are deleted.
+    A version names the dictionary's files, the newest file of each group of shards, and the results of its batch. A batch
+    writes its results, the new words of the dictionary and the groups whose shards grew, then publishes: its bits are
+    united wholly or not at all, and of two writers one fails. A batch id that was applied gives back the results of then,
+    at any later time and in any order of ids.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
-        self._fs = self._path("_").getFileSystem(conf)
-
-    def _names(self, folder: str) -> list[str]:
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(folder))) if self._fs.exists(self._path(folder)) else []
-
-    def _read(self, path: str) -> dict:
-        f = self._fs.open(self._path(path))
-        try:
-            return json.loads(bytes(f.readAllBytes()))
-        finally:
-            f.close()
-
-    def _create(self, path: str, what: dict) -> None:
-        """Write a small file under a name that must be free: a hidden file is renamed, which fails if the name is taken."""
-        jvm, temp = self.spark._jvm, self._path(f"tmp/{uuid.uuid4().hex}")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps(what).encode()))
-        out.close()
-        self._fs.mkdirs(self._path(path).getParent())
-        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        qualified = lambda p: self._fs.makeQualified(p)
-        try:
-            fc.rename(qualified(temp), qualified(self._path(path)), none)
-        except Exception as e:
-            self._fs.delete(temp, False)
-            raise Behind(path) from e
-
-    def latest(self) -> tuple[int, dict | None]:
-        """Number and content of the newest version; its batch is entered in `applied` if its writer did not get to it."""
-        names = [n for n in self._names("manifest") if n.endswith(".json")]
-        if not names:
-            return 0, None
-        n = int(names[-1][:-5])
-        m = self._read(f"manifest/{names[-1]}")
-        self._enter(m["batch_id"], n)
-        return n, m
-
-    def _enter(self, batch_id: int, version: int) -> None:
-        if not self._fs.exists(self._path(f"applied/{batch_id}")):
-            try:
-                self._create(f"applied/{batch_id}", {"version": version})
-            except Behind:
-                pass
-
     def _results(self, version: int) -> Arrivals:
-        base = f"{self.path}/{self._read(f'manifest/{version:012d}.json')['results']}"
+        base = f"{self.path}/{self.version(version)['results']}"
         read = lambda t: self.spark.read.schema("log_offset long").parquet(f"{base}/{t}")
         return Arrivals(read("surplus"), read("kept"), self.spark.createDataFrame([], STATE))
 
@@ -264,8 +210,8 @@ class SeenStore:
         """The outcome of `batch`; for a batch id that was applied before, its outcome then. Raises `Behind` if another
         writer came first, in which case nothing of this batch is in the store."""
         n, m = self.latest()
-        if self._fs.exists(self._path(f"applied/{batch_id}")):
-            return self._results(self._read(f"applied/{batch_id}")["version"])
+        if (had := self.applied(batch_id)) is not None:
+            return self._results(had)
         name = uuid.uuid4().hex
         batch = batch.select("vin", "seq", "log_offset")
         known, _ = self.tables(m)
@@ -293,20 +239,10 @@ class SeenStore:
         if len(dictionary) > 32:  # few files however many batches
             self.tables({"dictionary": dictionary, "groups": {}})[0].write.parquet(f"{self.path}/dictionary/all-{name}")
             dictionary = [f"dictionary/all-{name}"]
-        self._create(f"manifest/{n + 1:012d}.json", {"batch_id": batch_id, "results": f"results/{name}", "dictionary": dictionary, "groups": groups})
-        self._enter(batch_id, n + 1)
-        self._forget(n + 1)
-        return self._results(n + 1)
-
-    def _forget(self, n: int) -> None:
-        """Delete what version n - keep named and the one after it does not; results stay, so that they can be asked for."""
-        gone = n - self.keep
-        if gone < 1:
-            return
-        old, new = (self._read(f"manifest/{v:012d}.json") for v in (gone, gone + 1))
-        used = {*new["groups"].values(), *new["dictionary"]}
-        for f in {*old["groups"].values(), *old["dictionary"]} - used:
-            self._fs.delete(self._path(f), True)
+        return self._results(self.publish(n, batch_id, {"results": f"results/{name}", "dictionary": dictionary, "groups": groups}))
+
+    def _folders(self, m: dict) -> set[str]:
+        return {*m["groups"].values(), *m["dictionary"]}
 
 
 def replayed(log: DataFrame, path: str, batches: int = BATCHES) -> list[Arrivals]:

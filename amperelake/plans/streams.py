@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from amperelake.common import scratch, table
+from amperelake.operators import late
+from amperelake.plans import problems
 from amperelake.plans.problems import MESSAGES_SQL
 from amperelake.streaming import pipeline
 
 
-def _stream(spark, d):
-    return pipeline.telemetry_stream(spark, f"{d}/telemetry.parquet")
+def _stream(spark, d, files=3):
+    """The telemetry of a folder as a stream of several batches: its rows in ranges of the log, one file after the other."""
+    path, rows = scratch(spark), table(spark, d, "telemetry")
+    edges = rows.select(F.percentile_approx("log_offset", [k / files for k in range(1, files)], 1000)).first()[0] or []
+    at = F.coalesce("log_offset", F.lit(2**63 - 1))
+    for k, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])):
+        part = rows if lo is None else rows.where(at > lo)
+        (part if hi is None else part.where(at <= hi)).coalesce(1).write.parquet(f"{path}/part={k}")
+    return pipeline.telemetry_stream(spark, f"{path}/part=*/", 1)
 
 
 def stream_messages(spark, d):
@@ -15,7 +27,8 @@ def stream_messages(spark, d):
 
 
 def stream_minutes(spark, d):
-    return pipeline.drain(pipeline.minute_counts(_stream(spark, d)))
+    minutes = pipeline.corrected_minutes(_stream(spark, d), scratch(spark))
+    return minutes.select("vin", "minute_start_ms", "on_time", "correcting", "lost", "first_published_ms", "last_corrected_ms", "sample_count", *(F.round(c.split()[0], 9).alias(c.split()[0]) for c in late.MEASURES.split(", ")))
 
 
 def stream_vehicles(spark, d):
@@ -23,4 +36,4 @@ def stream_vehicles(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (stream_messages, stream_minutes, stream_vehicles)}
-SQL = {"stream_messages": f"SELECT vin, seq FROM {MESSAGES_SQL}"}
+SQL = {"stream_messages": f"SELECT vin, seq FROM {MESSAGES_SQL}", "stream_minutes": problems.SQL["p4_minutes"]}

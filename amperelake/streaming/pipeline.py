@@ -12,8 +12,7 @@ from operator import itemgetter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amperelake.common import scratch
-from amperelake.operators.rollup import minute_aggregates
+from amperelake.common import cut, scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE_MS = 60_000
@@ -36,66 +35,24 @@ def without_repeats(stream: DataFrame, within: str = "10 minutes") -> DataFrame:
     return s.dropDuplicatesWithinWatermark(["vin", "seq"]).drop("_ingest")
 
 
-SEQS = 4_096
-READINGS = ("soc_pct", "speed_kmh", "odo_km", "pack_voltage_v", "pack_current_a", "charge_power_kw", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm")
-
-
-def first_arrivals(stream: DataFrame, late: str = "30 seconds", within_ms: int = 600_000, cols: tuple[str, ...] = READINGS) -> DataFrame:
-    """vin, event (time, under the watermark `late`) and numeric `cols` of each message as it came first: of the copies in a batch the one with the
-    smallest `log_offset` (as `common.messages`), and none that repeats one of the `within_ms` of ingest time before.
-
-    Needed where copies differ, since `without_repeats` keeps whichever copy the shuffle delivers first. A row without
-    `seq` is a message of its own. A stateful operator by vehicle and block of sequence numbers, so a hot vehicle spreads.
+def corrected_minutes(stream: DataFrame, path: str) -> DataFrame:
+    """Minute aggregates of what `stream` delivers, published at once and corrected by later batches until the cut-off:
+    each batch goes through a `SeenStore`, which keeps first arrivals only, into a `MinuteStore`. Both are under `path`
+    and know which batches they have, so a batch that is run again after a crash changes nothing. Nothing waits for a
+    watermark, so the last minutes are there too. Returns the minutes as they stand.
     """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    out = "vin string, event timestamp, " + ", ".join(f"{c} double" for c in cols)
-    names = ["vin", "event", *cols]
+    from amperelake.operators import late, seen
 
-    class Processor(StatefulProcessor):
-        def init(self, handle):
-            self.handle = handle
-            self.state = handle.getValueState("seen", "ids array<long>, until array<long>")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            best = None
-            for pdf in rows:
-                both = pdf if best is None else pd.concat([best, pdf])
-                best = both.sort_values("log_offset", kind="stable").drop_duplicates("message")
-            had = self.state.get() if self.state.exists() else None
-            past = timerValues.getCurrentWatermarkInMs()
-            seen = {i: u for i, u in zip(had[0], had[1]) if u > past} if had else {}
-            new = best[~best["message"].isin(list(seen))] if seen else best
-            seen |= dict(zip(new["message"].tolist(), (new["came_ms"] + within_ms).tolist()))
-            self.state.update((list(seen), list(seen.values())))
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(seen.values()))
-            yield new[names]
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import pandas as pd
-
-            self.state.clear()
-            yield pd.DataFrame(columns=names)
-
-        def close(self):
-            pass
-
-    s = stream.withColumn("event", F.timestamp_millis("ts_event_ms")).withWatermark("event", late)
-    own = F.coalesce("seq", -1 - F.col("log_offset"), F.lit(-(2**63))).alias("message")
-    at = F.coalesce("ts_ingest_ms", F.lit(0)).alias("came_ms")
-    s = s.select("vin", own, at, "event", F.coalesce("log_offset", F.lit(2**63 - 1)).alias("log_offset"), *(F.col(c).cast("double") for c in cols)).where("vin is not null and event is not null")
-    s = s.withColumn("_block", F.floor(F.col("message") / SEQS))
-    return s.groupBy("vin", "_block").transformWithStateInPandas(statefulProcessor=Processor(), outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="event")
+    spark = stream.sparkSession
+    known, store = seen.SeenStore(spark, f"{path}/seen"), late.MinuteStore(spark, f"{path}/minutes")
 
+    def write(batch, n):
+        batch = cut(batch.select("vin", "seq", "log_offset", "ts_event_ms", "ts_ingest_ms", *late.INPUT))
+        kept = known.apply(batch, n).kept
+        store.apply(batch.join(kept.distinct(), "log_offset", "left_semi"), n)
 
-def minute_counts(stream: DataFrame, late: str = "30 seconds") -> DataFrame:
-    """Minute aggregates of messages in append mode under one watermark for all vehicles: each minute is put out once, when it is past."""
-    g = first_arrivals(stream, late).groupBy("vin", F.window("event", "1 minute").alias("w")).agg(*minute_aggregates())
-    return g.withColumn("minute_start_ms", F.unix_millis("w.start")).drop("w")
+    each_batch(stream, write, f"{path}/checkpoint")
+    return store.minutes()
 
 
 class VehicleState:

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from amperelake.common import messages
 from amperelake.operators import late, rolling, seen, sessions, spikes, units
 from amperelake.operators.fingertree import FingerTree
+from amperelake.sources.versions import Behind
 
 T0 = 1_780_000_000_000
 
@@ -105,6 +107,29 @@ def arrivals(r):
     return rows, set(first.values())
 
 
+def test_minutes_are_corrected_by_later_batches(spark, telemetry, tmp_path):
+    r = random.Random(8)
+    minute = T0 - T0 % 60_000
+    rows = [{"vin": r.choice("AB"), "seq": i, "ts_event_ms": (t := minute + r.randint(0, 3_600_000)), "ts_ingest_ms": t + r.choice([1000, 100_000, 3_000_000, 7_300_000]), "soc_pct": float(r.randint(10, 90)), "pack_temp_max_c": r.choice([None, 30.0])} for i in range(400)]
+    m = messages(telemetry(rows), "ts_event_ms", "ts_ingest_ms", *late.INPUT).cache()
+    rounded = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in df.collect())
+    whole = rounded(late.late_minutes(m))
+    assert any(x[3] for x in whole) and any(x[4] for x in whole)
+    for name, parts in (("in order", [m.where("ts_ingest_ms % 3 = 0"), m.where("ts_ingest_ms % 3 = 1"), m.where("ts_ingest_ms % 3 = 2")]), ("by clock", [m.where(f"seq % 400 < {k}").where(f"seq % 400 >= {k - 200}") for k in (400, 200)])):
+        store, seen_minutes = late.MinuteStore(spark, str(tmp_path / name), block_ms=600_000), []
+        for k, part in enumerate(parts):
+            seen_minutes += [(x.vin, x.minute_start_ms) for x in store.apply(part, k).collect()]
+        assert rounded(store.minutes()) == whole
+        assert len(seen_minutes) > len(set(seen_minutes))  # some were published, then corrected
+        again = late.MinuteStore(spark, str(tmp_path / name), block_ms=600_000)
+        assert again.apply(parts[-1], len(parts) - 1).count() > 0 and rounded(again.minutes()) == whole
+    n, version = again.latest()
+    one = m.where("vin = 'A'").limit(1)
+    again.apply(one.withColumn("seq", F.lit(5000).cast("long")), 77)
+    assert sum(version["groups"][b] != f for b, f in again.latest()[1]["groups"].items()) == 1  # only its block is written
+    assert late.MinuteStore(spark, str(tmp_path / "none")).apply(m.limit(0), 0).count() == 0
+
+
 def test_seen_bitmaps_over_batches(spark, tmp_path):
     rows, kept = arrivals(random.Random(5))
     df = spark.createDataFrame(rows, "vin string, seq long, log_offset long").selectExpr("*", "1 as kind", "'x' as bits", "2 as high", "3 as low", "4 as vin_id", "5 as first")
@@ -137,7 +162,7 @@ def test_seen_store_survives_replays_crashes_and_a_second_writer(spark, tmp_path
             return 0, None
 
     other = Stale(spark, path)
-    with pytest.raises(seen.Behind):
+    with pytest.raises(Behind):
         other.apply(part(200, 400), 11)
     second = ids(seen.SeenStore(spark, path).apply(part(200, 400), 11))
     third = ids(seen.SeenStore(spark, path).apply(part(400, 9000), 3))  # a lower id that was not applied
