@@ -184,6 +184,13 @@ def select_arrivals(rows: DataFrame, ids: DataFrame, seen: DataFrame | None = No
     return Arrivals(surplus, kept, of(BITMAP).select("vin_id", "high", "bits"))
 
 
+def kept_rows(batch: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `batch` whose `log_offset` was kept, one of each that cannot be told apart by vin, seq and offset."""
+    place = F.coalesce("log_offset", F.lit(2**63 - 1))
+    rows = batch.withColumn("_place", place).join(kept.select(F.col("log_offset").alias("_place")).distinct(), "_place", "left_semi")
+    return rows.dropDuplicates(["_place", "vin", "seq"]).drop("_place")
+
+
 class SeenStore(VersionedStore):
     """Dictionary and bitmaps kept between batches as tables in a shared folder.
 

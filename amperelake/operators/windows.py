@@ -36,16 +36,22 @@ def running(df: DataFrame, sums: dict[str, Column], ts: str = "ts_event_ms", tie
     return r.drop("_block", *(f"_s_{n}" for n in sums))
 
 
-def trailing(df: DataFrame, reach_ms: int, aggregates, ts: str = "ts_event_ms", tie: str = "seq", key: str = "vin", block_ms: int = BLOCK_MS) -> DataFrame:
+def trailing(df: DataFrame, reach_ms: int, aggregates, ts: str = "ts_event_ms", tie: str = "seq", key: str = "vin", block_ms: int = BLOCK_MS, after: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Aggregates over the trailing time frame [ts - reach_ms, ts]; `aggregates(frame)` gives {name: column over the frame}.
 
-    Rows within `reach_ms` of a block's end are also put into the next block, where they only serve as context.
+    Rows within `reach_ms` of a block's end are also put into the next block, where they only serve as context. A frame
+    has all rows of its last instant; each `after` item {name: (column, order)} is the sum of the column over those of
+    them that come after the row itself in `order`.
     """
     block = F.floor(F.col(ts) / block_ms)
-    after = F.floor((F.col(ts) + reach_ms) / block_ms)
-    r = df.withColumns({"_own": block, "_block": F.explode(F.sequence(block, after))})
+    last = F.floor((F.col(ts) + reach_ms) / block_ms)
+    r = df.withColumns({"_own": block, "_block": F.explode(F.sequence(block, last))})
     frame = Window.partitionBy(key, "_block").orderBy(ts).rangeBetween(-reach_ms, 0)
-    return r.withColumns(aggregates(frame)).where("_own = _block").drop("_own", "_block")
+    r = r.withColumns(aggregates(frame))
+    for name, (c, order) in (after or {}).items():
+        later = Window.partitionBy(key, "_block", ts).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+        r = r.withColumn(name, F.coalesce(F.sum(c).over(later), F.lit(0)))
+    return r.where("_own = _block").drop("_own", "_block")
 
 
 def monotonic(df: DataFrame, ts: str = "ts_event_ms", arrival: str = "log_offset", key: str = "vin", block: int = 1_000_000) -> DataFrame:

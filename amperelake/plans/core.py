@@ -12,18 +12,6 @@ from amperelake.plans.problems import MESSAGES_SQL
 from amperelake.sources import decode, files
 
 MAKERS = {"0EA": "oem_a", "0EB": "oem_b", "0EC": "oem_c"}
-#: Fixed value: the namespace of alert ids.
-ALERT_NAMESPACE = "6f1c2d8a4b3e4f519a770c5e21d3884b"
-#: Sustained conditions: name, severity, condition, seconds to hold, seconds to clear (fixed values).
-RULES = (
-    ("THERMAL_OVERTEMP", "warning", "pack_temp_max_c >= 48", 30, 300),
-    ("THERMAL_OVERTEMP", "critical", "pack_temp_max_c >= 55", 30, 300),
-    ("CELL_IMBALANCE", "warning", "cell_v_max_mv - cell_v_min_mv >= 50", 300, 600),
-    ("CELL_IMBALANCE", "critical", "cell_v_max_mv - cell_v_min_mv >= 100", 300, 600),
-    ("ISOLATION_LOW", "warning", "CASE WHEN pack_voltage_v > 1 THEN CAST(isolation_kohm AS DOUBLE) * 1000 / CAST(pack_voltage_v AS DOUBLE) < 500 END", 10, 300),
-    ("ISOLATION_LOW", "critical", "CASE WHEN pack_voltage_v > 1 THEN CAST(isolation_kohm AS DOUBLE) * 1000 / CAST(pack_voltage_v AS DOUBLE) < 100 END", 10, 300),
-    ("LOW_CHARGE", "info", "soc_pct < 20", 60, 600),
-)
 QUERIES, SQL = {}, {}
 ALL = ("ts_event_ms", "ts_ingest_ms", "oem", "lat", "lon", "speed_kmh", "odo_km", "soc_pct", "pack_voltage_v", "pack_current_a", "pack_temp_min_c", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "ambient_c", "charge_state", "charge_power_kw", "dtc", "evt", "schema_version")
 WITH_M = f"WITH m AS {MESSAGES_SQL} "
@@ -48,10 +36,6 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     return registry.latest(table(spark, d, "vehicle_registry"), "vin", ["updated_ms"])
 
 
-def _nine(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes))
-
-
 @query(
     WITH_M
     + """SELECT vin, ts_event_ms - ts_event_ms % 60000 AS minute_start_ms, count(*) AS sample_count, min(CAST(soc_pct AS DOUBLE)) AS soc_min_pct, max(CAST(soc_pct AS DOUBLE)) AS soc_max_pct,
@@ -183,91 +167,6 @@ def rest_runs(spark, d):
     return m.where("rest").groupBy("vin", "run").agg(F.min("ts_event_ms").alias("start_ms"), F.max("ts_event_ms").alias("end_ms"), F.max_by(F.col("pack_voltage_v").cast("double"), at).alias("rest_voltage_v")).drop("run")
 
 
-def _rule_sql(rule, severity, condition, hold, clear):
-    return f"""SELECT '{rule}' AS rule, '{severity}' AS severity, vin, at_ms, state, start_ms FROM (
-WITH o AS (SELECT vin, ts_event_ms AS ts, seq, CAST(({condition}) AS INTEGER) AS c FROM m WHERE ({condition}) IS NOT NULL),
-b AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER (PARTITION BY vin ORDER BY ts, seq) THEN 1 ELSE 0 END AS nw, row_number() OVER (PARTITION BY vin ORDER BY ts, seq) AS rn FROM o),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY vin ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM b),
-f AS (SELECT *, min(ts) OVER (PARTITION BY vin, run) AS t0, min(rn) OVER (PARTITION BY vin, run) AS r0 FROM g),
-h AS (SELECT vin, run, c, t0, min(ts) AS at_ms FROM f WHERE ts - t0 >= CASE WHEN c = 1 THEN {hold * 1000} ELSE {clear * 1000} END AND (rn > r0 OR CASE WHEN c = 1 THEN {hold} ELSE {clear} END = 0) GROUP BY 1, 2, 3, 4),
-k AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY vin ORDER BY run), 0) AS before FROM h),
-z AS (SELECT * FROM k WHERE before <> c)
-SELECT vin, at_ms, CASE WHEN c = 1 THEN 'FIRING' ELSE 'RESOLVED' END AS state, CASE WHEN c = 1 THEN t0 ELSE lag(t0) OVER (PARTITION BY vin ORDER BY run) END AS start_ms FROM z)"""
-
-
-@query(WITH_M + " UNION ALL ".join(_rule_sql(*r) for r in RULES))
-def alert_transitions(spark, d):
-    m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "pack_voltage_v", "soc_pct")
-    rules = [F.struct(F.lit(f"{r}:{s}").alias("name"), F.expr(c).alias("on"), F.lit(h * 1000).alias("hold"), F.lit(k * 1000).alias("clear")) for r, s, c, h, k in RULES]
-    each = m.select("vin", "seq", "ts_event_ms", F.explode(F.array(*rules)).alias("r")).where("r.on is not null")
-    each = each.select(F.concat_ws("|", "vin", "r.name").alias("key"), "seq", "ts_event_ms", "r.on", "r.hold", "r.clear")
-    t = windows.held(each, F.col("on"), F.col("hold"), F.col("clear"), key="key").withColumn("k", F.split("key", r"[|:]"))
-    return t.select(F.col("k")[1].alias("rule"), F.col("k")[2].alias("severity"), F.col("k")[0].alias("vin"), "at_ms", "state", "start_ms")
-
-
-_NAME_SQL = "z.vin || '|' || z.rule || ':' || z.severity || '|' || CAST(z.start_ms AS VARCHAR)"
-_H = f"sha1(unhex('{ALERT_NAMESPACE}') || CAST({_NAME_SQL} AS BLOB))"
-
-
-@query(
-    WITH_M
-    + f""", z AS ({" UNION ALL ".join(_rule_sql(*r) for r in RULES)}), h AS (SELECT *, {_H} AS h FROM z)
-SELECT vin, rule, severity, at_ms, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS alert_id
-FROM h WHERE state = 'FIRING'"""
-)
-def alert_ids(spark, d):
-    a = alert_transitions(spark, d).where("state = 'FIRING'")
-    name = F.concat_ws("|", "vin", F.concat_ws(":", "rule", "severity"), F.col("start_ms").cast("string"))
-    return a.select("vin", "rule", "severity", "at_ms", identity.uuid5(ALERT_NAMESPACE, name).alias("alert_id"))
-
-
-#: Sustained conditions on derived values, as RULES but with the column of `_derived_conditions` (fixed values).
-DERIVED_RULES = (
-    ("THERMAL_RISE_RATE", "critical", "rising", 0, 300),
-    ("HV_INTERLOCK_OPEN", "critical", "opened", 0, 600),
-    ("AUX_12V_LOW", "warning", "aux_low", 600, 600),
-    ("CHARGE_NEEDED", "info", "charge_needed", 60, 600),
-)
-
-
-def _derived_conditions(m: DataFrame, reg: DataFrame) -> DataFrame:
-    """Messages with the columns of DERIVED_RULES; a condition is null where its rule does not judge the message."""
-    double = lambda c: F.col(c).cast("double")
-    m = windows.carried(m, F.when(F.col("evt") == 2, True).when(F.col("evt") == 3, False), "ignition")
-    active = F.coalesce("ignition", F.lit(False)) | (F.coalesce("charge_power_kw", F.lit(0)) > 0) | (F.coalesce("speed_kmh", F.lit(0)) > 0)
-    m = m.withColumns({"active": active, "temp": double("pack_temp_max_c")})
-    m = windows.trailing(m, 60_000, lambda w: {"first": F.min(F.when(F.col("temp").isNotNull(), F.struct("ts_event_ms", "seq", "temp"))).over(w)})
-    m = windows.trailing(m, 300_000, lambda w: {"opens": F.sum(F.coalesce((~F.col("hv_interlock_ok") & F.col("active")).cast("int"), F.lit(0))).over(w)})
-    m = registry.enrich(m, reg, "vin", ("depot_lat", "depot_lon", "capacity_kwh", "wh_per_km"))
-    span = F.col("ts_event_ms") - F.col("first.ts_event_ms")
-    km = measures.distance_km(F.col("lat"), F.col("lon"), F.col("depot_lat"), F.col("depot_lon")) * 1.3
-    need = km * F.col("wh_per_km") / 1000 / F.col("capacity_kwh") * 100
-    return m.withColumns({
-        "rising": F.when(F.col("temp").isNotNull() & (span >= 30_000), (F.col("temp") - F.col("first.temp")) / (span / 60_000.0) >= 2.0),
-        "opened": F.col("opens") >= 2,
-        "aux_low": F.when(~F.col("active"), double("aux_12v_v") < 11.8),
-        "charge_needed": F.when(F.col("registered") & (F.col("capacity_kwh") > 0), F.col("active") & (double("soc_pct") < 15 + need)),
-    })
-
-
-def derived_transitions(m: DataFrame, reg: DataFrame) -> DataFrame:
-    """Transitions of DERIVED_RULES and of THERMAL_DELTA_ANOMALY over messages and a registry with one row per vehicle."""
-    rules = [F.struct(F.lit(f"{r}:{s}").alias("name"), F.col(c).alias("on"), F.lit(h * 1000).alias("hold"), F.lit(k * 1000).alias("clear")) for r, s, c, h, k in DERIVED_RULES]
-    each = _derived_conditions(m, reg).select("vin", "seq", "ts_event_ms", F.explode(F.array(*rules)).alias("r")).where("r.on is not null")
-    each = each.select(F.concat_ws("|", "vin", "r.name").alias("key"), "seq", "ts_event_ms", "r.on", "r.hold", "r.clear")
-    delta = folds.ewma_baseline(m.withColumn("delta", F.col("pack_temp_max_c").cast("double") - F.col("ambient_c").cast("double")), "delta")
-    name = F.concat_ws("|", "vin", F.lit("THERMAL_DELTA_ANOMALY:warning")).alias("key")
-    each = each.unionByName(delta.select(name, "seq", "ts_event_ms", F.col("breach").alias("on"), F.lit(600_000).alias("hold"), F.lit(1_800_000).alias("clear")))
-    t = windows.held(each, F.col("on"), F.col("hold"), F.col("clear"), key="key").withColumn("k", F.split("key", r"[|:]"))
-    return t.select(F.col("k")[1].alias("rule"), F.col("k")[2].alias("severity"), F.col("k")[0].alias("vin"), "at_ms", "state", "start_ms")
-
-
-@query()
-def alert_transitions_derived(spark, d):
-    m = _m(spark, d, "ts_event_ms", "lat", "lon", "speed_kmh", "soc_pct", "pack_temp_max_c", "ambient_c", "hv_interlock_ok", "aux_12v_v", "charge_power_kw", "evt")
-    return derived_transitions(m, _registry(spark, d))
-
-
 @query()
 def delta_baseline(spark, d):
     m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c").withColumn("delta", F.col("pack_temp_max_c") - F.col("ambient_c"))

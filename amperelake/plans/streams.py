@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amperelake.common import scratch, table
-from amperelake.operators import late
-from amperelake.plans import problems
+from amperelake.operators import late, registry
+from amperelake.plans import alerts, problems
 from amperelake.plans.problems import MESSAGES_SQL
-from amperelake.streaming import pipeline
+from amperelake.streaming import pipeline, vehicles
 
 
 def _stream(spark, d, files=3):
@@ -31,9 +31,24 @@ def stream_minutes(spark, d):
     return minutes.select("vin", "minute_start_ms", "on_time", "correcting", "lost", "first_published_ms", "last_corrected_ms", "sample_count", *(F.round(c.split()[0], 9).alias(c.split()[0]) for c in late.MEASURES.split(", ")))
 
 
+def _watched(spark, d):
+    reg = registry.latest(table(spark, d, "vehicle_registry"), "vin", ["updated_ms"])
+    return vehicles.watched(_stream(spark, d), reg, scratch(spark), flush=True)
+
+
 def stream_vehicles(spark, d):
-    return pipeline.drain(pipeline.vehicles(pipeline.without_repeats(_stream(spark, d))), "update")
+    return _watched(spark, d)
+
+
+def stream_alerts(spark, d):
+    """The transitions that the stream of vehicles gives; the rows of `alert_transitions` without ids."""
+    t = _watched(spark, d).where("tag in ('FIRING', 'RESOLVED')")
+    return t.select("rule", "severity", "detail", "vin", "at_ms", F.col("tag").alias("state"), F.col("about_ms").alias("start_ms"))
 
 
-QUERIES = {f.__name__: f for f in (stream_messages, stream_minutes, stream_vehicles)}
-SQL = {"stream_messages": f"SELECT vin, seq FROM {MESSAGES_SQL}", "stream_minutes": problems.SQL["p4_minutes"]}
+QUERIES = {f.__name__: f for f in (stream_messages, stream_minutes, stream_vehicles, stream_alerts)}
+SQL = {
+    "stream_messages": f"SELECT vin, seq FROM {MESSAGES_SQL}",
+    "stream_minutes": problems.SQL["p4_minutes"],
+    "stream_alerts": f"SELECT * EXCLUDE (alert_id) FROM ({alerts.SQL['alert_transitions']})",
+}

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-import json
-import os
-import tempfile
-from collections.abc import Callable, Iterable, Iterator
-from operator import itemgetter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +10,6 @@ from pyspark.sql import functions as F
 from amperelake.common import cut, scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MINUTE_MS = 60_000
-#: Rows of one vehicle that are sorted in memory (32 bytes each); a batch with more of them is merged from runs on disk.
-RUN_ROWS = 500_000
 
 
 def telemetry_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,148 +40,12 @@ def corrected_minutes(stream: DataFrame, path: str) -> DataFrame:
 
     def write(batch, n):
         batch = cut(batch.select("vin", "seq", "log_offset", "ts_event_ms", "ts_ingest_ms", *late.INPUT))
-        kept = known.apply(batch, n).kept
-        store.apply(batch.join(kept.distinct(), "log_offset", "left_semi"), n)
+        store.apply(seen.kept_rows(batch, known.apply(batch, n).kept), n)
 
     each_batch(stream, write, f"{path}/checkpoint")
     return store.minutes()
 
 
-class VehicleState:
-    """What is kept of one vehicle: its own watermark, open minutes, how far minutes were put out, newest row, alert phase.
-
-    A minute is put out once, at the end of a batch, when it ended `late_ms` before the vehicle's newest event; an event
-    of a minute at or before the last one put out is late and reopens nothing. The alert fires when `limit` has been
-    reached for `hold_ms` and resolves when it has not been for `clear_ms`; it only takes events in time order.
-    """
-
-    def __init__(self, vin: str, late_ms: int, limit: float, hold_ms: int, clear_ms: int, kept: str | None = None):
-        self.vin, self.late_ms, self.limit, self.hold, self.clear = vin, late_ms, limit, hold_ms, clear_ms
-        k = json.loads(kept) if kept else {}
-        self.open = {int(m): v for m, v in k.get("open", {}).items()}
-        self.newest, self.put_out = k.get("newest", -1), k.get("put_out", -1)
-        self.phase, self.since, self.off = k.get("phase", "OK"), k.get("since", 0), k.get("off")
-
-    def kept(self) -> str:
-        return json.dumps({"open": self.open, "newest": self.newest, "put_out": self.put_out, "phase": self.phase, "since": self.since, "off": self.off})
-
-    def add(self, ts: int, soc: float | None, temp: float | None) -> list[tuple]:
-        out = []
-        minute = ts - ts % MINUTE_MS
-        if minute < self.put_out:
-            out.append((self.vin, "late", minute, ts, None, None))
-        else:
-            n, lo = self.open.get(minute, (0, None))
-            self.open[minute] = (n + 1, soc if lo is None else lo if soc is None else min(lo, soc))
-        if ts >= self.newest and temp is not None:
-            out += self._alert(ts, temp >= self.limit)
-        self.newest = max(self.newest, ts)
-        return out
-
-    def _alert(self, ts: int, on: bool) -> list[tuple]:
-        if self.phase == "FIRING":
-            if on:
-                self.off = None
-                return []
-            begun, self.off = self.off is None, ts if self.off is None else self.off
-            if self.clear and (begun or ts - self.off < self.clear):
-                return []
-            self.phase, self.off = "OK", None
-            return [(self.vin, "resolved", ts, self.since, None, None)]
-        if not on:
-            self.phase = "OK"
-            return []
-        begun = self.phase == "OK"
-        if begun:
-            self.phase, self.since = "PENDING", ts
-        if self.hold and (begun or ts - self.since < self.hold):
-            return []
-        self.phase, self.off = "FIRING", None
-        return [(self.vin, "firing", ts, self.since, None, None)]
-
-    def end_of_batch(self) -> list[tuple]:
-        past = sorted(m for m in self.open if m + MINUTE_MS <= self.newest - self.late_ms)
-        out = [(self.vin, "minute", m, None, *self.open.pop(m)) for m in past]
-        if past:
-            self.put_out = max(self.put_out, past[-1] + MINUTE_MS)
-        return out
-
-
-def in_time_order(chunks: Iterable, run_rows: int = RUN_ROWS) -> Iterator[tuple]:
-    """(time, seq, charge level, temperature) of all rows of all chunks by time, then seq; missing numbers are NaN.
-
-    Chunks are gathered into sorted runs of about `run_rows` rows. All but the last run go to a temporary file and are
-    merged block by block, so memory does not grow with the vehicle.
-    """
-    import numpy as np
-
-    row, block = np.dtype([("ts", "<i8"), ("seq", "<i8"), ("soc", "<f8"), ("temp", "<f8")]), 8_192
-    cols = ("ts_event_ms", "int64"), ("seq", "int64"), ("soc_pct", "float64"), ("pack_temp_max_c", "float64")
-
-    def packed(pdf):
-        a = np.empty(len(pdf), row)
-        for name, (c, kind) in zip(row.names, cols):
-            a[name] = pdf[c].to_numpy(kind, na_value=np.nan) if kind == "float64" else pdf[c].to_numpy(kind)
-        return a
-
-    def run(held):
-        a = np.concatenate(held) if held else np.empty(0, row)
-        return a[np.lexsort((a["seq"], a["ts"]))]
-
-    with tempfile.TemporaryFile() as f:
-        bounds, held, n = [0], [], 0
-        for pdf in chunks:
-            if n >= run_rows:
-                f.write(run(held).tobytes())
-                bounds, held, n = [*bounds, bounds[-1] + n], [], 0
-            held.append(packed(pdf))
-            n += len(pdf)
-        f.flush()
-        last = run(held)
-
-        def stored(a, b):
-            for at in range(a, b, block):
-                yield from np.frombuffer(os.pread(f.fileno(), min(block, b - at) * row.itemsize, at * row.itemsize), row).tolist()
-
-        runs = [stored(a, b) for a, b in zip(bounds, bounds[1:])]
-        runs.append(r for at in range(0, len(last), block) for r in last[at : at + block].tolist())
-        yield from runs[0] if len(runs) == 1 else heapq.merge(*runs, key=itemgetter(0, 1))
-
-
-TAGGED = "vin string, tag string, at_ms long, about_ms long, n long, soc_min double"
-
-
-def vehicles(stream: DataFrame, late_ms: int = 30_000, limit: float = 48.0, hold_ms: int = 30_000, clear_ms: int = 300_000) -> DataFrame:
-    """Tagged rows (minute, late, firing, resolved) of all vehicles from one stateful operator keyed by vehicle.
-
-    State is one small value per vehicle in RocksDB and restored from the checkpoint; all rows of a batch are taken
-    by event time, however many Arrow batches Spark hands them over in.
-    """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Processor(StatefulProcessor):
-        def init(self, handle):
-            self.state = handle.getValueState("kept", "kept string")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
-            had = self.state.get() if self.state.exists() else None
-            s = VehicleState(key[0], late_ms, limit, hold_ms, clear_ms, had[0] if had else None)
-            out = []
-            for ts, _, soc, temp in in_time_order(rows):
-                out += s.add(ts, None if soc != soc else soc, None if temp != temp else temp)
-            out += s.end_of_batch()
-            self.state.update((s.kept(),))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TAGGED.split(", ")]).astype({"n": "Int64", "about_ms": "Int64", "soc_min": "float64"})
-
-        def close(self):
-            pass
-
-    narrow = stream.where("vin is not null and ts_event_ms is not null").select("vin", F.coalesce("seq", F.lit(2**63 - 1)).alias("seq"), "ts_event_ms", F.col("soc_pct").cast("double"), F.col("pack_temp_max_c").cast("double"))
-    return narrow.groupBy("vin").transformWithStateInPandas(statefulProcessor=Processor(), outputStructType=TAGGED, outputMode="Update", timeMode="None")
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read back what it wrote; each batch replaces its own folder, so a batch that
     is run again leaves no second copy."""

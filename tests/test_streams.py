@@ -2,28 +2,12 @@
 
 import random
 
-import pandas as pd
-import pytest
-from pyspark.sql import functions as F
-
 from amperelake.operators.registry import latest
 from amperelake.streaming import pipeline
 
 T0 = 1_780_000_000_000 - 1_780_000_000_000 % 60_000
 
 
-def test_vehicle_state_over_batches():
-    s = pipeline.VehicleState("A", 30_000, 48.0, 30_000, 300_000)
-    assert s.add(T0, 50.0, 40.0) == [] and s.end_of_batch() == []
-    s = pipeline.VehicleState("A", 30_000, 48.0, 30_000, 300_000, s.kept())
-    s.add(T0 + 95_000, 40.0, 50.0)
-    assert s.end_of_batch() == [("A", "minute", T0, None, 1, 50.0)]
-    assert s.add(T0 + 5_000, 1.0, 99.0) == [("A", "late", T0, T0 + 5_000, None, None)]
-    assert s.add(T0 + 125_000, None, 50.0) == [("A", "firing", T0 + 125_000, T0 + 95_000, None, None)]
-    assert s.add(T0 + 130_000, None, 20.0) == []
-    assert s.add(T0 + 430_000, None, 20.0) == [("A", "resolved", T0 + 430_000, T0 + 95_000, None, None)]
-
-
 def test_streams(spark, telemetry, tmp_path):
     r = random.Random(1)
     rows = [{"vin": r.choice("AB"), "seq": i, "ts_event_ms": T0 + i * 20_000, "ts_ingest_ms": T0 + i * 20_000 + 500, "pack_temp_max_c": 55.0 if 20 < i < 40 else 30.0} for i in range(90)]
@@ -33,37 +17,6 @@ def test_streams(spark, telemetry, tmp_path):
     src = lambda: pipeline.telemetry_stream(spark, path)
     once = pipeline.drain(pipeline.without_repeats(src()).select("vin", "seq"))
     assert once.count() == once.distinct().count() == 90
-    tagged = pipeline.drain(pipeline.vehicles(pipeline.without_repeats(src())), "update")
-    got = {(x.vin, x.at_ms): x.n for x in tagged.where("tag = 'minute'").collect()}
-    want = {(x.vin, x.m): x["count"] for x in spark.read.parquet(path).dropDuplicates(["vin", "seq"]).groupBy("vin", (F.col("ts_event_ms") - F.col("ts_event_ms") % 60_000).alias("m")).count().collect()}
-    assert got and all(want[k] == n for k, n in got.items())
-    assert tagged.where("tag = 'firing'").count() == 2
-
-
-def test_a_vehicle_in_many_chunks_is_taken_in_time_order(spark, telemetry, tmp_path):
-    rows = [{"vin": "A", "seq": i, "ts_event_ms": T0 + i * 10_000, "pack_temp_max_c": 55.0 if i // 60 % 2 else 30.0} for i in range(600)]
-    random.Random(2).shuffle(rows)
-    path = str(tmp_path / "telemetry.parquet")
-    telemetry(rows, clash=False).write.parquet(path)
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    had = spark.conf.get(conf)
-    spark.conf.set(conf, "50")
-    try:
-        got = pipeline.drain(pipeline.vehicles(pipeline.telemetry_stream(spark, path)), "update").where("tag in ('firing', 'resolved')").select("tag", "at_ms").collect()
-    finally:
-        spark.conf.set(conf, had)
-    s = pipeline.VehicleState("A", 30_000, 48.0, 30_000, 300_000)
-    want = [x[1:3] for r in sorted(rows, key=lambda r: r["seq"]) for x in s.add(r["ts_event_ms"], 60.0, r["pack_temp_max_c"])]
-    assert len(want) == 9 and sorted(map(tuple, got)) == sorted(want)
-
-
-def test_time_order_over_stored_runs():
-    r = random.Random(3)
-    rows = [(r.randrange(500), i, float(i), None if i % 7 == 0 else 1.0) for i in range(1000)]
-    chunks = [pd.DataFrame(rows[i : i + 30], columns=["ts_event_ms", "seq", "soc_pct", "pack_temp_max_c"]) for i in range(0, 1000, 30)]
-    got = [(t, s, x, None if y != y else y) for t, s, x, y in pipeline.in_time_order(chunks, 100)]
-    assert got == sorted(rows, key=lambda x: x[:2]) == [(t, s, x, None if y != y else y) for t, s, x, y in pipeline.in_time_order(chunks)]
-    assert list(pipeline.in_time_order([])) == []
 
 
 def test_batches_written_again_leave_no_copies(spark, tmp_path):
