@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from amperelake.common import cut, messages, scratch, table
 from amperelake.functions import identity, measures
-from amperelake.operators import battery, features, folds, registry, rollup, slots, validate, windows
+from amperelake.operators import battery, features, folds, registry, rollup, slots, usage, validate, windows
 from amperelake.plans.problems import MESSAGES_SQL
 from amperelake.sources import decode, files
 
@@ -178,9 +178,38 @@ def state_throttled(spark, d):
     return folds.throttle(_m(spark, d, "ts_event_ms"), 300_000)
 
 
-@query()
+USAGE_SQL = f"""WITH RECURSIVE m AS {MESSAGES_SQL},
+o AS (SELECT * FROM m WHERE pack_voltage_v IS NOT NULL AND pack_current_a IS NOT NULL AND soc_pct IS NOT NULL AND odo_km IS NOT NULL AND charge_state IS NOT NULL
+ QUALIFY ts_event_ms >= coalesce(max(ts_event_ms) OVER (PARTITION BY vin ORDER BY log_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+p AS (SELECT o.vin, log_offset, ts_event_ms AS ts, evt, charge_state AS cs, CAST(soc_pct AS DOUBLE) AS soc, odo_km AS odo, CAST(pack_voltage_v AS DOUBLE) AS v, CAST(pack_current_a AS DOUBLE) AS i, CAST(pack_temp_min_c AS DOUBLE) AS tmin, CAST(pack_temp_max_c AS DOUBLE) AS tmax,
+ coalesce(speed_kmh > 0, false) AS moving, charge_state <> 1 AND pack_current_a < 0 AS into_, coalesce(abs(pack_current_a) / nullif(r.capacity_kwh * 1000 / nullif(r.nominal_voltage_v, 0), 0), 0) AS rate,
+ row_number() OVER w AS rn, ts_event_ms - lag(ts_event_ms) OVER w AS dt, lag(CAST(pack_voltage_v AS DOUBLE)) OVER w AS pv, lag(CAST(pack_current_a AS DOUBLE)) OVER w AS pi
+ FROM o LEFT JOIN {REGISTRY_SQL} r ON r.vin = o.vin WINDOW w AS (PARTITION BY o.vin ORDER BY ts_event_ms, log_offset)),
+q AS (SELECT *, last_value(CASE WHEN abs(i) < 1 AND NOT coalesce(abs(pi) < 1, false) THEN ts END IGNORE NULLS) OVER (PARTITION BY vin ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rested,
+ into_ OR (evt = 4 AND i < 0) AS bc, evt = 5 OR NOT into_ AS ec, evt = 2 OR moving AS bd FROM p),
+e AS (SELECT vin, rn, false AS wc, bc AS c, false AS wd, bd AS d, ts AS moved FROM q WHERE rn = 1
+UNION ALL SELECT vin, rn, wc, CASE WHEN wc THEN NOT ec ELSE bc END, wd, CASE WHEN wd THEN NOT (evt = 3 OR ts - mv >= 900000) ELSE bd END, CASE WHEN NOT wd AND bd THEN ts ELSE mv END
+ FROM (SELECT q.*, e.c AS wc, e.d AS wd, CASE WHEN q.moving THEN q.ts ELSE e.moved END AS mv FROM e JOIN q ON q.vin = e.vin AND q.rn = e.rn + 1)),
+k AS (SELECT q.*, x.kind, x.w, x.n FROM q JOIN (SELECT vin, rn, 1 AS kind, wc AS w, c AS n FROM e UNION ALL SELECT vin, rn, 2, wd, d FROM e) x ON x.vin = q.vin AND x.rn = q.rn),
+s AS (SELECT *, sum(CASE WHEN n AND NOT w THEN 1 ELSE 0 END) OVER (PARTITION BY vin, kind ORDER BY rn ROWS UNBOUNDED PRECEDING) AS no, CASE WHEN tmin IS NOT NULL AND tmax IS NOT NULL THEN tmin END AS lo, CASE WHEN tmin IS NOT NULL AND tmax IS NOT NULL THEN tmax END AS hi,
+ CASE WHEN abs(pi) < 1 AND ts - rested >= 1800000 THEN pv END AS rv FROM k),
+a AS (SELECT vin, kind, no, min(ts) AS start_ms, max(CASE WHEN NOT n THEN ts END) AS end_ms, arg_min(soc, rn) AS s0, max(CASE WHEN NOT n THEN soc END) AS s1, max(CASE WHEN NOT n THEN odo END) - arg_min(odo, rn) AS km, max(CASE WHEN n AND NOT w THEN rv END) AS rv,
+ coalesce(sum(CASE WHEN w AND dt > 0 AND dt <= 300000 THEN (pi + i) / 2 * (dt / 3600000.0::DOUBLE) END), 0) AS ah, coalesce(sum(CASE WHEN w AND dt > 0 AND dt <= 300000 THEN (pv * pi + v * i) / 2 * (dt / 3600000.0::DOUBLE) / 1000 END), 0) AS kwh,
+ count(*) FILTER (WHERE w AND dt > 300000) AS gaps, count(*) AS samples, min(lo) AS lo, max(hi) AS hi, max(rate) AS rate, max(CASE WHEN n AND NOT w THEN lo END) AS lo0, max(CASE WHEN n AND NOT w THEN hi END) AS hi0, max(CASE WHEN n AND NOT w THEN rate END) AS rate0, max(CASE WHEN n AND NOT w THEN cs END) AS cs0
+ FROM s WHERE n OR w GROUP BY ALL)
+"""
+
+
+@query(
+    USAGE_SQL
+    + """SELECT vin, kind, 1 AS phase, start_ms, NULL::BIGINT AS end_ms, round(s0, 6) AS soc_start_pct, NULL::DOUBLE AS soc_end_pct, 0.0::DOUBLE AS delta_ah, 0.0::DOUBLE AS delta_kwh, round(rv, 6) AS v_rest_before, round(lo0, 6) AS temp_min_c, round(hi0, 6) AS temp_max_c, round(rate0, 6) AS max_c_rate,
+ CASE WHEN kind = 2 THEN '' WHEN cs0 = 3 THEN 'DC_FAST' ELSE 'AC' END AS charger_type, 0.0::DOUBLE AS distance_km, 0 AS gaps, 1 AS samples FROM a
+UNION ALL SELECT vin, kind, 2, start_ms, end_ms, round(s0, 6), round(s1, 6), round(ah, 6), round(kwh, 6), round(rv, 6), round(coalesce(lo, 0), 6), round(coalesce(hi, 0), 6), round(rate, 6), CASE WHEN kind = 2 THEN '' WHEN cs0 = 3 THEN 'DC_FAST' ELSE 'AC' END, round(greatest(0, km), 6), CAST(gaps AS INTEGER), CAST(samples AS INTEGER)
+FROM a WHERE end_ms IS NOT NULL"""
+)
 def tracked_sessions(spark, d):
-    return folds.vehicle_sessions(_with_capacity(spark, d))
+    s = usage.vehicle_sessions(_with_capacity(spark, d))
+    return s.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in s.dtypes))
 
 
 def _with_capacity(spark, d):
