@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amperelake.functions.measures import local_minute, within_shift
+from amperelake.operators.prefix import blocked_running
+from amperelake.operators.windows import previous, running
 
 
 def in_slots(intervals: DataFrame, start: str, end: str, slot_ms: int) -> DataFrame:
@@ -27,42 +31,57 @@ def over_limits(load: DataFrame, limits: DataFrame, site: str) -> DataFrame:
     return j.select(site, "slot_start", F.explode(kinds).alias("violation"))
 
 
-PLACED = "site string, slot int, member string, place int"
+RUNS = "site string, member string, first int, last int, place int"
+
+
+def runs_of(active: DataFrame) -> DataFrame:
+    """Maximal runs of successive slots of each (site, member): site, member, first, last; repeated rows count once."""
+    a = active.select("site", "member", "slot").dropna().distinct().withColumn("_key", F.concat_ws("|", F.length("site").cast("string"), "site", "member"))
+    a = previous(a, ["slot"], ts="slot", tie="slot", key="_key", block_ms=10_000)
+    a = running(a, {"_run": F.coalesce(F.col("slot") - F.col("prev_slot") > 1, F.lit(True)).cast("int")}, ts="slot", tie="slot", key="_key", block_ms=10_000)
+    return a.groupBy("site", "member", "_run").agg(F.min("slot").alias("first"), F.max("slot").alias("last")).drop("_run")
 
 
-def sticky_places(active: DataFrame, places: int) -> DataFrame:
-    """A place (0 to places - 1) for each active (site, slot, member): members keep theirs while active in slots on end,
-    newcomers take the lowest free ones in order of their names; null where none is free.
+def place_runs(runs: DataFrame, places: int, strict: bool = True) -> DataFrame:
+    """`runs` with `place` (0 to places - 1): a run holds its place throughout; those that begin take the lowest places
+    that are free, in order of members. Where none is free the job fails if `strict`, else the run has none (null).
 
-    Sites are streamed in order of slot, with the places of one slot as the only state.
+    A site's runs are dealt into busy periods, between which no place is held, so each period is worked by itself, by a
+    heap of the free places and one of the ends of held ones; a task streams its runs in order of their first slot.
     """
-    from amperelake.operators.folds import fold
-
-    def begin(site):
-        return {"site": site, "slot": None, "held": {}, "now": {}, "new": []}
-
-    def flush(s):
-        free = sorted(set(range(places)) - set(s["now"].values()))
-        for m in s["new"]:
-            s["now"][m] = free.pop(0) if free else None
-        return [(s["site"], s["slot"], m, p) for m, p in s["now"].items()]
-
-    def step(s, row):
-        slot, member = row
-        out = []
-        if slot != s["slot"]:
-            if s["slot"] is not None:
-                out = flush(s)
-                s["held"] = s["now"] if slot == s["slot"] + 1 else {}
-            s["slot"], s["now"], s["new"] = slot, {}, []
-        p = s["held"].get(member)
-        if p is None:
-            s["new"].append(member)
-        else:
-            s["now"][member] = p
-        return out
-
-    return fold(active, "site", ["slot", "member"], ["slot", "member"], begin, step, PLACED, lambda s: flush(s) if s["slot"] is not None else [])
+    r = blocked_running(runs.withColumn("_block", F.floor(F.col("first") / 10_000)), "site", "_block", ["first", "member"], {}, {"_held": "last"})
+    r = r.withColumn("_new", F.coalesce(F.col("first") > F.col("_held"), F.lit(True)).cast("int"))
+    r = blocked_running(r, "site", "_block", ["first", "member"], {"period": "_new"})
+    r = r.select("site", "period", "member", "first", "last").repartition("site", "period").sortWithinPartitions("site", "period", "first", "member")
+
+    def run(batches: Iterator) -> Iterator:
+        import heapq
+
+        import pyarrow as pa
+
+        unit, free, held = None, [], []
+        for b in batches:
+            got = []
+            for site, period, first, last in zip(*(b.column(c).to_pylist() for c in ("site", "period", "first", "last"))):
+                if (site, period) != unit:
+                    unit, free, held = (site, period), list(range(places)), []
+                while held and held[0][0] < first:
+                    heapq.heappush(free, heapq.heappop(held)[1])
+                if not free and strict:
+                    raise ValueError(f"site {site}: more than {places} members in slot {first}")
+                got.append(heapq.heappop(free) if free else None)
+                if got[-1] is not None:
+                    heapq.heappush(held, (last, got[-1]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("site", "member", "first", "last")), pa.array(got, pa.int32())], names=["site", "member", "first", "last", "place"])
+
+    return r.mapInArrow(run, RUNS)
+
+
+def sticky_places(active: DataFrame, places: int, strict: bool = True) -> DataFrame:
+    """site, slot, member, place of each active (site, slot, member), as `place_runs` gives them; rows with nulls are left
+    out, repeated ones count once, an empty input gives no row."""
+    placed = place_runs(runs_of(active.withColumn("slot", F.col("slot").cast("int"))), places, strict)
+    return placed.select("site", F.explode(F.sequence("first", "last")).alias("slot"), "member", "place")
 
 
 def on_shift(events: DataFrame, ts: str = "ts_event_ms", start: str = "depart_min_ist", end: str = "return_min_ist") -> DataFrame:

@@ -11,6 +11,7 @@ from amperelake.operators import battery, features, folds, registry, rollup, slo
 from amperelake.plans.problems import MESSAGES_SQL
 from amperelake.sources import decode, files
 
+PLACES = 12
 MAKERS = {"0EA": "oem_a", "0EB": "oem_b", "0EC": "oem_c"}
 QUERIES, SQL = {}, {}
 ALL = ("ts_event_ms", "ts_ingest_ms", "oem", "lat", "lon", "speed_kmh", "odo_km", "soc_pct", "pack_voltage_v", "pack_current_a", "pack_temp_min_c", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "ambient_c", "charge_state", "charge_power_kw", "dtc", "evt", "schema_version")
@@ -167,13 +168,27 @@ def rest_runs(spark, d):
     return m.where("rest").groupBy("vin", "run").agg(F.min("ts_event_ms").alias("start_ms"), F.max("ts_event_ms").alias("end_ms"), F.max_by(F.col("pack_voltage_v").cast("double"), at).alias("rest_voltage_v")).drop("run")
 
 
-@query()
+@query(
+    WITH_M.replace("WITH", "WITH RECURSIVE")
+    + """, q AS (SELECT vin, ts_event_ms, seq, CAST(pack_temp_max_c AS DOUBLE) - CAST(ambient_c AS DOUBLE) AS v, row_number() OVER (PARTITION BY vin ORDER BY ts_event_ms, seq) AS rn FROM m WHERE pack_temp_max_c IS NOT NULL AND ambient_c IS NOT NULL),
+e AS (SELECT vin, rn, ts_event_ms, seq, v, v AS mean, 0.0::DOUBLE AS var, 1 AS n, 0.0::DOUBLE AS z FROM q WHERE rn = 1
+UNION ALL SELECT vin, rn, ts_event_ms, seq, v, CASE WHEN z > 4 THEN mean ELSE mean + 0.002::DOUBLE * (v - mean) END, CASE WHEN z > 4 THEN var ELSE 0.998::DOUBLE * (var + 0.002::DOUBLE * (v - mean) * (v - mean)) END, CASE WHEN z > 4 THEN n ELSE n + 1 END, z
+ FROM (SELECT q.*, e.mean, e.var, e.n, CASE WHEN e.n >= 360 THEN (q.v - e.mean) / greatest(sqrt(e.var), 1e-9::DOUBLE) ELSE 0.0::DOUBLE END AS z FROM e JOIN q ON q.vin = e.vin AND q.rn = e.rn + 1))
+SELECT vin, ts_event_ms, seq, round(v, 6) AS x, round(z, 6) AS z, z > 4 AS breach, round(mean, 6) AS mean FROM e"""
+)
 def delta_baseline(spark, d):
-    m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c").withColumn("delta", F.col("pack_temp_max_c") - F.col("ambient_c"))
-    return folds.ewma_baseline(m, "delta")
+    m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c").withColumn("delta", F.col("pack_temp_max_c").cast("double") - F.col("ambient_c").cast("double"))
+    b = folds.ewma_baseline(m, "delta")
+    return b.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in b.dtypes))
 
 
-@query()
+@query(
+    WITH_M.replace("WITH", "WITH RECURSIVE")
+    + """, q AS (SELECT vin, ts_event_ms, seq, row_number() OVER (PARTITION BY vin ORDER BY ts_event_ms, seq) AS rn FROM m),
+e AS (SELECT vin, rn, ts_event_ms, seq, ts_event_ms AS last, true AS through FROM q WHERE rn = 1
+UNION ALL SELECT q.vin, q.rn, q.ts_event_ms, q.seq, CASE WHEN q.ts_event_ms - e.last >= 300000 THEN q.ts_event_ms ELSE e.last END, q.ts_event_ms - e.last >= 300000 FROM e JOIN q ON q.vin = e.vin AND q.rn = e.rn + 1)
+SELECT vin, ts_event_ms, seq FROM e WHERE through"""
+)
 def state_throttled(spark, d):
     return folds.throttle(_m(spark, d, "ts_event_ms"), 300_000)
 
@@ -388,10 +403,22 @@ def _charging_slots(spark, d):
     return slots.in_slots(s, "start_ms", "end_ms", 900_000)
 
 
-@query()
+SLOTS_SQL = f"""s AS (SELECT DISTINCT * FROM vehicle_sessions WHERE phase = 2 AND kind = 1 AND end_ms > start_ms),
+x AS (SELECT DISTINCT r.depot_id AS site, s.vin AS member, CAST(unnest(generate_series(start_ms - start_ms % 900000, end_ms - 1, 900000)) // 900000 AS INTEGER) AS slot FROM s JOIN {REGISTRY_SQL} r ON r.vin = s.vin WHERE r.depot_id IS NOT NULL),
+y AS (SELECT *, slot - row_number() OVER (PARTITION BY site, member ORDER BY slot) AS g FROM x),
+z AS (SELECT site, member, min(slot) AS first, max(slot) AS last FROM y GROUP BY site, member, g)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SLOTS_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first, member) AS rn FROM z),
+e AS (SELECT site, rn, member, first, last, 1 AS p, list_concat([last], list_transform(generate_series(2, {PLACES}), lambda i: -1)) AS busy FROM q WHERE rn = 1
+UNION ALL SELECT site, rn, member, first, last, p, CASE WHEN p > 0 THEN list_concat(busy[:p - 1], [last], busy[p + 1:]) ELSE busy END FROM (
+ SELECT q.*, e.busy, coalesce(list_position(list_transform(e.busy, lambda b: b < q.first), true), 0) AS p FROM e JOIN q ON q.site = e.site AND q.rn = e.rn + 1))
+SELECT site, member, CAST(unnest(generate_series(first, last)) AS INTEGER) AS slot, CAST(CASE WHEN p > 0 THEN p - 1 END AS INTEGER) AS place FROM e"""
+)
 def depot_places(spark, d):
-    a = _charging_slots(spark, d).select(F.col("depot_id").alias("site"), (F.col("slot_start") / 900_000).cast("int").alias("slot"), F.col("vin").alias("member")).distinct()
-    return slots.sticky_places(a, 12)
+    a = _charging_slots(spark, d).select(F.col("depot_id").alias("site"), (F.col("slot_start") / 900_000).cast("int").alias("slot"), F.col("vin").alias("member"))
+    return slots.sticky_places(a, PLACES, strict=False).select("site", "slot", "member", "place")
 
 
 @query(
@@ -448,7 +475,12 @@ def depot_distance(spark, d):
     return e.select("vin", "seq", F.round(measures.distance_km(F.col("lat"), F.col("lon"), F.col("depot_lat"), F.col("depot_lon")), 6).alias("depot_km"))
 
 
-@query()
+@query(
+    WITH_M
+    + """, b AS (SELECT vin, least(floor((lon + 180) / 360 * 32768), 32767)::BIGINT AS x, least(floor((lat + 90) / 180 * 32768), 32767)::BIGINT AS y FROM m WHERE lat IS NOT NULL AND lon IS NOT NULL),
+c AS (SELECT vin, array_to_string(list_transform(range(0, 6), lambda k: substr('0123456789bcdefghjkmnpqrstuvwxyz', list_sum(list_transform(range(0, 5), lambda j: CASE WHEN (5 * k + j) % 2 = 0 THEN (x >> (14 - (5 * k + j) // 2)) & 1 ELSE (y >> (14 - (5 * k + j) // 2)) & 1 END * (16 >> j)))::INTEGER + 1, 1)), '') AS cell FROM b)
+SELECT cell, count(*) AS messages, count(DISTINCT vin) AS vehicles FROM c GROUP BY cell"""
+)
 def geo_cells(spark, d):
     e = _m(spark, d, "lat", "lon").where("lat is not null and lon is not null")
     per = e.groupBy(measures.geohash(F.col("lat"), F.col("lon"), 6).alias("cell"), "vin").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from amperelake.common import messages
 from amperelake.functions import identity, measures
-from amperelake.operators import battery, features, folds, registry, rollup, slots, validate, windows
+from amperelake.operators import battery, features, folds, registry, rollup, slots, usage, validate, windows
 from amperelake.sources import decode
 
 T0 = 1_780_000_000_000
@@ -107,16 +107,53 @@ def test_trapezoid_of_a_constant_charge(telemetry):
     assert r[0] == pytest.approx(-50) and r[1] == pytest.approx(-20) and r[2] == 0
 
 
-def test_tracker_on_a_charge_with_rest_and_gap(telemetry):
+def test_charge_with_rest_before(telemetry):
     rows = [{"pack_current_a": 0.2, "pack_voltage_v": 380.0, "speed_kmh": 0.0, "ts_event_ms": T0 + i * 600_000} for i in range(5)]
     rows += [{"pack_current_a": -50.0, "charge_state": 3, "speed_kmh": None, "soc_pct": 30.0 + i, "ts_event_ms": T0 + 2_500_000 + i * 60_000} for i in range(61)]
     rows += [{"pack_current_a": 0.0, "evt": 5, "soc_pct": 90.0, "ts_event_ms": T0 + 2_500_000 + 61 * 60_000}]
-    m = messages(telemetry(rows), "ts_event_ms", "evt", "charge_state", *(c for c in folds.SESSION_INPUT if c not in ("ts_event_ms", "evt", "charge_state", "cap_ah"))).withColumn("cap_ah", F.lit(100.0))
-    got = folds.vehicle_sessions(m).where("kind = 1").orderBy("phase").collect()
+    m = messages(telemetry(rows), "ts_event_ms", "evt", "charge_state", *(c for c in usage.INPUT if c not in ("ts_event_ms", "evt", "charge_state"))).withColumn("cap_ah", F.lit(100.0))
+    got = usage.vehicle_sessions(m).where("kind = 1").orderBy("phase").collect()
     assert [(r.phase, r.charger_type, r.v_rest_before) for r in got] == [(1, "DC_FAST", 380.0), (2, "DC_FAST", 380.0)]
     assert got[1].delta_ah == pytest.approx(-50.0 - 25 / 60, rel=1e-6) and got[1].samples == 62 and got[1].gaps == 0 and got[1].max_c_rate == 0.5
 
 
+def by_hand(rows, idle_ms=900_000):
+    """START and END of one vehicle's sessions, message by message."""
+    out, charge, drive, moved = [], None, None, 0
+    for r in rows:
+        ts, into, moving = r["ts_event_ms"], r["charge_state"] != 1 and r["pack_current_a"] < 0, r["speed_kmh"] > 0
+        moved = ts if moving else moved
+        if charge is None:
+            if into or (r["evt"] == 4 and r["pack_current_a"] < 0):
+                charge = ts
+                out.append((1, 1, ts, None))
+        elif r["evt"] == 5 or not into:
+            out.append((1, 2, charge, ts))
+            charge = None
+        if drive is None:
+            if r["evt"] == 2 or moving:
+                drive = moved = ts
+                out.append((2, 1, ts, None))
+        elif r["evt"] == 3 or ts - moved >= idle_ms:
+            out.append((2, 2, drive, ts))
+            drive = None
+    return out
+
+
+def test_sessions_as_by_hand_over_block_borders(telemetry):
+    r = random.Random(5)
+    rows, at = [], T0
+    for _ in range(700):
+        at += r.choice([10_000, 10_000, 200_000, 400_000, 0, 5_000_000])
+        rows.append({"ts_event_ms": at, "evt": r.choice([1, 1, 1, 2, 3, 4, 5]), "speed_kmh": r.choice([0.0, 0.0, 0.0, 9.0]), "charge_state": r.choice([1, 2]), "pack_current_a": r.choice([-9.0, 3.0])})
+    late = [{**rows[5], "log_offset": 2000, "seq": 2000, "evt": 2}]
+    m = messages(telemetry(rows + late), *usage.INPUT).withColumn("cap_ah", F.lit(None).cast("double"))
+    got = usage.vehicle_sessions(m).select("kind", "phase", "start_ms", "end_ms").collect()
+    key = lambda x: (x[0], x[2], x[1], x[3] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(by_hand(rows), key=key)
+    assert usage.vehicle_sessions(m.limit(0)).count() == 0
+
+
 def test_baseline_freezes_while_breaching(telemetry):
     rows = [{"ambient_c": 20.0 + 0.1 * (i % 2)} for i in range(50)] + [{"ambient_c": 60.0}] * 3
     m = messages(telemetry(rows), "ts_event_ms", "ambient_c")
@@ -127,6 +164,7 @@ def test_baseline_freezes_while_breaching(telemetry):
 def test_throttle(telemetry):
     m = messages(telemetry([{"ts_event_ms": T0 + s * 1000} for s in (0, 1, 4, 5, 6, 9, 11)]), "ts_event_ms")
     assert [r[1] - T0 for r in folds.throttle(m, 5000).orderBy("ts_event_ms").collect()] == [0, 5000, 11000]
+    assert [r[1] - T0 for r in folds.throttle(m, 5000, changed=F.col("ts_event_ms") == T0 + 1000).orderBy("ts_event_ms").collect()][:2] == [0, 1000]
 
 
 def test_kalman_and_gate(spark):
@@ -229,9 +267,19 @@ def test_rollup_zero_floors(telemetry):
 
 
 def test_places_are_sticky_and_slots_cover(spark):
-    a = spark.createDataFrame([("s", t, m) for t, ms in enumerate(["ab", "bc", "abc", "c", "", "ab"]) for m in ms], "site string, slot int, member string")
+    a = spark.createDataFrame([("s", t, m) for t, ms in enumerate(["ab", "bc", "bc", "c", "", "ab"]) for m in ms] + [("s", 1, "b"), (None, 1, "x")], "site string, slot int, member string")
     got = {(r.slot, r.member): r.place for r in slots.sticky_places(a, 2).collect()}
-    assert got == {(0, "a"): 0, (0, "b"): 1, (1, "b"): 1, (1, "c"): 0, (2, "a"): None, (2, "b"): 1, (2, "c"): 0, (3, "c"): 0, (5, "a"): 0, (5, "b"): 1}
+    assert got == {(0, "a"): 0, (0, "b"): 1, (1, "b"): 1, (1, "c"): 0, (2, "b"): 1, (2, "c"): 0, (3, "c"): 0, (5, "a"): 0, (5, "b"): 1}
+    full = slots.sticky_places(a.union(spark.createDataFrame([("s", 2, "a")], a.schema)), 2, strict=False).where("slot = 2").collect()
+    assert {r.member: r.place for r in full} == {"a": None, "b": 1, "c": 0}
+    with pytest.raises(Exception, match="more than 1 members in slot 0"):
+        slots.sticky_places(a, 1).collect()
+    r = random.Random(3)
+    many = [(s, t, f"m{k}") for s in "xy" for t in range(300) for k in range(6) if r.random() < 0.6]
+    placed = slots.sticky_places(spark.createDataFrame(many, a.schema), 6).collect()
+    assert len(placed) == len(many) == len({(p.site, p.slot, p.place) for p in placed})
+    at = {(p.site, p.member, p.slot): p.place for p in placed}
+    assert all(at[s, m, t] == at[s, m, t + 1] for s, m, t in at if (s, m, t + 1) in at)
     iv = spark.createDataFrame([("s", 5, 25, 2.0), ("s", 20, 30, 1.0), ("s", 9, 9, 1.0)], "site string, a long, b long, kw double")
     load = slots.load_per_slot(slots.in_slots(iv, "a", "b", 10), "site", "kw")
     assert {(r.slot_start, r.load_kw, r.active) for r in load.collect()} == {(0, 2.0, 1), (10, 2.0, 1), (20, 3.0, 2)}
