@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Check-digit weights by position and digit values of letters of a vehicle number; fault code systems.
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 VIN_LETTERS, VIN_DIGITS = "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"
+VIN_YEARS = "ABCDEFGHJKLMNPRSTVWXY123456789"
 DTC_SYSTEMS = "PCBU"
 DTC_PATTERN = "^[PCBU][0-3][0-9A-F]{3}$"
 VIN_PATTERN = "^[A-HJ-NPR-Z0-9]{17}$"
@@ -33,6 +34,18 @@ def vin_maker(vin: Column) -> Column:
     return F.substring(vin, 1, 3)
 
 
+def vin_year_code(year: Column) -> Column:
+    """The letter or digit of a model year, which comes round every thirty years."""
+    return F.substring(F.lit(VIN_YEARS), F.pmod(year - 1980, F.lit(30)).cast("int") + 1, F.lit(1))
+
+
+def vin_build(maker: Column, model: Column, year: Column, plant: Column, serial: Column) -> Column:
+    """A vehicle number of its parts with its check digit; null for parts of a wrong length or serials over six digits."""
+    open_ = F.concat(maker, model, F.lit("0"), vin_year_code(year), plant, F.lpad(serial.cast("string"), 6, "0"))
+    fine = (F.length(maker) == 3) & (F.length(model) == 5) & serial.between(0, 999_999)
+    return F.when(fine, F.concat(F.substring(open_, 1, 8), vin_check_digit(open_), F.substring(open_, 10, 8)))
+
+
 def dtc_valid(codes: Column) -> Column:
     """Whether every code of an array is well formed; an empty or null array is."""
     return F.coalesce(F.forall(codes, lambda c: F.coalesce(c.rlike(DTC_PATTERN), F.lit(False))), F.lit(True))

@@ -35,14 +35,6 @@ def within_shift(minute: Column, start: Column, end: Column) -> Column:
     return F.when(start <= end, (minute >= start) & (minute < end)).otherwise((minute >= start) | (minute < end))
 
 
-def fahrenheit_to_celsius(f: Column) -> Column:
-    return (f - 32) * 5 / 9
-
-
-def miles_to_km(m: Column) -> Column:
-    return m * KM_PER_MILE
-
-
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
     a, b = F.radians(lat1), F.radians(lat2)
@@ -50,6 +42,14 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+#: What a road is longer than the straight line.
+ROAD_FACTOR = 1.3
+
+
+def road_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return distance_km(lat1, lon1, lat2, lon2) * ROAD_FACTOR
+
+
 def share_to_reach(km: Column, wh_per_km: Column, capacity_kwh: Column) -> Column:
     """Per cent of the pack that a distance takes; null without a capacity."""
     return F.when(capacity_kwh > 0, km * wh_per_km / 1000 / capacity_kwh * 100)

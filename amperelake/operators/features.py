@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amperelake.operators.rolling import local_day
@@ -16,19 +16,39 @@ def daily_partials(messages: DataFrame) -> DataFrame:
     imb = (F.col("cell_v_max_mv") - F.col("cell_v_min_mv")).cast("double")
     flap = (F.col("hv_interlock_ok") != F.col("prev_hv_interlock_ok")).cast("int")
     soc = F.col("soc_pct").cast("double")
-    x = F.col("ts_event_ms") / 3_600_000 - F.floor(F.col("ts_event_ms") / 86_400_000) * 24.0
+    iso = F.col("isolation_kohm").cast("double")
+    x = F.pmod(F.col("ts_event_ms") + 19_800_000, F.lit(86_400_000)) / 3_600_000.0  # hour of the local day
+
+    def line(y, name):
+        on = lambda e: F.when(y.isNotNull(), e)
+        return [F.count(y).alias(f"{name}_ln"), F.sum(on(x)).alias(f"{name}_lx"), F.sum(y).alias(f"{name}_ly"), F.sum(on(x * x)).alias(f"{name}_lxx"), F.sum(x * y).alias(f"{name}_lxy")]
+
     return r.groupBy("vin", local_day("ts_event_ms").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(td).alias("td_sum"), F.count(td).alias("td_n"), F.max(td).alias("td_max"), F.regr_slope(td, x).alias("td_slope"),
+        F.sum(td).alias("td_sum"), F.count(td).alias("td_n"), F.max(td).alias("td_max"),
         F.sum(imb).alias("imb_sum"), F.count(imb).alias("imb_n"), F.max(imb).alias("imb_max"),
         F.min(F.col("isolation_kohm").cast("double")).alias("iso_min"), F.sum(F.col("isolation_kohm").cast("double")).alias("iso_sum"),
         F.sum((~F.col("hv_interlock_ok")).cast("int")).alias("open_n"), F.sum(F.coalesce(flap, F.lit(0))).alias("flaps"),
         F.min(F.col("aux_12v_v").cast("double")).alias("aux_min"), F.sum(F.col("aux_12v_v").cast("double")).alias("aux_sum"),
         F.sum(soc).alias("soc_sum"), F.sum((soc > 80).cast("int")).alias("soc_high"),
         F.min(F.when(F.size("dtc") > 0, F.col("ts_event_ms"))).alias("first_dtc"),
+        *line(td, "td"), *line(imb, "imb"), *line(iso, "iso"),
     )
 
 
+def _slope(name: str, w) -> Column:
+    """Least-squares slope per hour over the frame's days (at most a few), from their sums about the current day."""
+    parts = F.collect_list(F.struct("_d", *(F.coalesce(f"{name}_{k}", F.lit(0.0)).cast("double").alias(k) for k in ("ln", "lx", "ly", "lxx", "lxy")))).over(w)
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy")))
+
+    def add(a, e):
+        off = (e["_d"] - F.col("_d")) * 24.0
+        return F.struct((a["n"] + e["ln"]).alias("n"), (a["x"] + e["lx"] + off * e["ln"]).alias("x"), (a["y"] + e["ly"]).alias("y"), (a["xx"] + e["lxx"] + 2 * off * e["lx"] + off * off * e["ln"]).alias("xx"), (a["xy"] + e["lxy"] + off * e["ly"]).alias("xy"))
+
+    done = lambda a: F.when(a["n"] >= 3, F.try_divide(a["n"] * a["xy"] - a["x"] * a["y"], a["n"] * a["xx"] - a["x"] * a["x"]))
+    return F.aggregate(parts, zero, add, done)
+
+
 def trailing_features(daily: DataFrame, days: int = 3, horizon_days: int = 7) -> DataFrame:
     """One row per vehicle-day with messages: features of the `days` local days up to it, `label` whether a fault code comes
     within `horizon_days` after it, `lead_h` to it. Days after the vehicle's first code are left out, so nothing of the future is used.
@@ -45,6 +65,7 @@ def trailing_features(daily: DataFrame, days: int = 3, horizon_days: int = 7) ->
         mean("imb_sum", "imb_n").alias("imb_mean"), F.max("imb_max").over(w).alias("imb_max"), F.try_divide("imb_sum", "imb_n").alias("imb_mean_24h"),
         F.min("iso_min").over(w).alias("iso_min"), mean("iso_sum", "n").alias("iso_mean"), F.col("iso_min").alias("iso_min_24h"),
         mean("open_n", "n").alias("hvil_false_frac"), F.sum("flaps").over(w).alias("hvil_flaps"),
+        _slope("td", w).alias("td_slope_per_h"), _slope("imb", w).alias("imb_slope_per_h"), _slope("iso", w).alias("iso_slope_per_h"),
         F.min("aux_min").over(w).alias("aux_min"), mean("aux_sum", "n").alias("aux_mean"), mean("soc_sum", "n").alias("soc_mean"), mean("soc_high", "n").alias("soc_gt80_frac"),
     )
     ahead = F.col("_f").isNotNull() & (F.col("_f") < F.col("_end") + horizon_days * 86_400_000)
@@ -82,13 +103,56 @@ def error_measures(df: DataFrame, truth: str, guess: str, group: list[str] | Non
     return df.groupBy(*group).agg(*agg) if group else df.agg(*agg)
 
 
-def bootstrap_interval(df: DataFrame, value: str, rounds: int = 200, seed: int = 1, id_col: str = "vin") -> DataFrame:
-    """2.5 and 97.5 % points of the mean over Poisson resamples, drawn from a hash of row id and round (distributed, repeatable)."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.col("r"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    cuts = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    draws = df.select(id_col, value).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = draws.groupBy("r").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("m"))
+def weekly_features(messages: DataFrame) -> DataFrame:
+    """Per vehicle and week since its first local day: equivalent full cycles (charge moved over twice the nominal `cap_ah`),
+    mean temperatures, share of messages over 80 % of charge, mean charging power. Null where nothing was measured."""
+    from amperelake.operators.windows import trapezoid
+
+    m = trapezoid(messages).withColumn("_day", local_day("ts_event_ms"))
+    first = messages.groupBy("vin").agg(F.min(local_day("ts_event_ms")).alias("_first"))
+    d = lambda c: F.col(c).cast("double")
+    m = m.join(first, "vin").withColumn("week", F.floor(F.datediff("_day", "_first") / 7).cast("int"))
+    return m.groupBy("vin", "week").agg(
+        F.try_divide(F.sum(F.abs("step_ah")), 2 * F.max("cap_ah")).alias("efc_week"), F.avg(d("pack_temp_max_c")).alias("temp_mean"), F.avg(d("ambient_c")).alias("ambient_mean"),
+        F.avg((d("soc_pct") > 80).cast("double")).alias("soc_gt80_frac"), F.avg(d("charge_power_kw")).alias("charge_kw_mean"),
+    )
+
+
+def leakage_check(columns: list[str], observable: set[str], labels: set[str] = frozenset()) -> None:
+    """Raises if a table of features has columns that are not observable (a label's source, the future); `labels` may be there."""
+    if bad := sorted(set(columns) - observable - labels):
+        raise ValueError(f"unexpected columns: {bad}")
+
+
+def bootstrap_interval(df: DataFrame, value: str, rounds: int = 1000, seed: int = 1, id_col: str = "vin") -> DataFrame:
+    """2.5 and 97.5 % points of the mean over Poisson resamples, drawn from a hash of row id and round (repeatable).
+
+    A task adds its rows into `rounds` sums as it reads them, so `rounds` rows per task are all that is shuffled. Null
+    values are left out; without rows both ends are null.
+    """
+    import numpy as np
+
+    cuts = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])  # of the Poisson distribution with mean 1
+    salt = (np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed * 0x5851F42D4C957F2D % 2**64)
+
+    def run(batches):
+        import pandas as pd
+
+        w, wv = np.zeros(rounds), np.zeros(rounds)
+        for b in batches:
+            h, v = b["h"].to_numpy(np.int64).view(np.uint64), b["v"].to_numpy(float)
+            for i in range(0, len(h), 512):
+                with np.errstate(over="ignore"):
+                    z = h[i : i + 512, None] ^ salt
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                n = np.searchsorted(cuts, (z >> np.uint64(11)) / 2.0**53, "right")
+                w += n.sum(axis=0)
+                wv += v[i : i + 512] @ n
+        yield pd.DataFrame({"r": np.arange(rounds), "w": w, "wv": wv})
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(value).cast("double").alias("v"))
+    means = rows.mapInPandas(run, "r int, w double, wv double").groupBy("r").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

@@ -69,14 +69,35 @@ def count_sketch(items: DataFrame, group: list[str], item: str, eps: float = 0.0
     return items.where(F.col(item).isNotNull()).groupBy(*group).agg(F.count_min_sketch(item, F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"), F.count(F.lit(1)).alias("n"))
 
 
+SKETCH_DEPTH, SKETCH_WIDTH = 5, 2719
+
+
+def _cells(item: str, depth: int, width: int) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("row"), F.pmod(F.xxhash64(item, F.lit(k)), F.lit(width)).cast("int").alias("cell")) for k in range(depth)))).alias("c")
+
+
+def count_table(items: DataFrame, group: list[str], item: str, depth: int = SKETCH_DEPTH, width: int = SKETCH_WIDTH) -> DataFrame:
+    """A count-min sketch as a table: per group, hash row and cell the number of items. Two sketches merge by adding up
+    cells; errors are at most e / width of all items with a chance of at least 1 - exp(-depth)."""
+    return items.where(F.col(item).isNotNull()).select(*group, _cells(item, depth, width)).groupBy(*group, "c.row", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimates(table: DataFrame, asked: DataFrame, group: list[str], item: str, depth: int = SKETCH_DEPTH, width: int = SKETCH_WIDTH) -> DataFrame:
+    """The sketch's estimate of each distinct (group, item) of `asked`: the smallest of its cells, never under the true
+    count; 0 for what the sketch has not seen. A null item has none and is left out."""
+    a = asked.where(F.col(item).isNotNull()).select(*group, item).distinct().select(*group, item, _cells(item, depth, width)).select(*group, item, "c.row", "c.cell")
+    j = a.join(table, [*group, "row", "cell"], "left")
+    return j.groupBy(*group, item).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 def range_lookup(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, ordinal: str, cols: list[str], cell: int) -> DataFrame:
     """`points` with the columns of the first listed range [start, end) that holds them; null where none does.
 
-    Ranges are put into every cell of width `cell` they touch, so the join is on equal cells and not over all pairs.
+    Every cell of width `cell` gets the list of the ranges that touch it, in listed order, so a point meets one row, by an
+    equal join on cells, and takes the first range of its list that holds it. Points are neither numbered nor multiplied.
     """
     r = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))))
-    r = r.select("_cell", F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(ordinal, *cols).alias("_r"))
-    p = points.withColumns({"_id": F.monotonically_increasing_id(), "_cell": F.floor(F.col(point) / cell)})
-    hit = p.join(r, "_cell", "left").withColumn("_r", F.when((F.col(point) >= F.col("_s")) & (F.col(point) < F.col("_e")), F.col("_r")))
-    best = hit.groupBy("_id").agg(F.min("_r").alias("_r"), F.any_value(F.struct(*points.columns)).alias("_p"))
-    return best.select("_p.*", *(F.col(f"_r.{c}").alias(c) for c in cols))
+    r = cut(r.groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("_o"), F.col(start).alias("_s"), F.col(end).alias("_e"), *cols))).alias("_rs")))
+    p = points.withColumn("_cell", F.floor(F.col(point) / cell)).join(maybe_broadcast(r), "_cell", "left")
+    p = p.withColumn("_r", F.get(F.filter("_rs", lambda x: (F.col(point) >= x["_s"]) & (F.col(point) < x["_e"])), F.lit(0)))
+    return p.select(*points.columns, *(F.col(f"_r.{c}").alias(c) for c in cols))

@@ -33,7 +33,7 @@ LEVELS = (
 )
 DELTA, DTC, STALE = ("THERMAL_DELTA_ANOMALY", "warning", 600, 1800), ("DTC_RAISED", 0, 60), ("TELEMETRY_STALE", "warning", 600)
 NAMES = tuple(dict.fromkeys([r[0] for r in LEVELS] + [DELTA[0], DTC[0], STALE[0]]))
-RISE_MS, RISE_SPAN_MS, OPENS_MS, ROAD_FACTOR = 60_000, 30_000, 300_000, 1.3
+RISE_MS, RISE_SPAN_MS, OPENS_MS = 60_000, 30_000, 300_000
 #: Columns of messages that the rules read besides vin, seq and log_offset.
 INPUT = ("ts_event_ms", "ts_ingest_ms", "evt", "lat", "lon", "speed_kmh", "soc_pct", "pack_voltage_v", "pack_temp_max_c", "ambient_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "charge_power_kw", "dtc")
 SITE = ("depot_lat", "depot_lon", "capacity_kwh", "wh_per_km")
@@ -68,7 +68,7 @@ def judged(messages: DataFrame, reg: DataFrame, rules: tuple[str, ...] = NAMES)
         m = m.withColumn("opens", F.lit(None).cast("long"))
     if "CHARGE_NEEDED" in rules:
         m = registry.enrich(m, reg, "vin", SITE)
-        km = measures.distance_km(F.col("lat"), F.col("lon"), F.col("depot_lat"), F.col("depot_lon")) * ROAD_FACTOR
+        km = measures.road_km(F.col("lat"), F.col("lon"), F.col("depot_lat"), F.col("depot_lon"))
         need = F.when(F.col("registered") & F.col("lat").isNotNull() & F.col("lon").isNotNull(), measures.share_to_reach(km, F.col("wh_per_km"), F.col("capacity_kwh")))
         m = m.withColumn("need_pct", need).drop("registered", *SITE)
     else:
@@ -157,3 +157,15 @@ def transitions(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     named = F.concat_ws(":", "rule", "severity", F.nullif("detail", F.lit("")))
     return out.withColumn("alert_id", identity.uuid5(NAMESPACE, F.concat_ws("|", "vin", named, F.col("start_ms").cast("string"))))
+
+
+#: Severities from the least on.
+SEVERITIES = ("info", "warning", "critical")
+
+
+def recent(alerts: DataFrame, reg: DataFrame, least: str = "warning", most: int = 50) -> DataFrame:
+    """For each tenant its newest `most` (1 to 200) transitions of at least a severity, newest first (`rank`); a tenant
+    sees its own vehicles only, and alerts of vehicles without tenant are nobody's."""
+    a = registry.enrich(alerts, reg, "vin", ("tenant_id",)).where(F.col("tenant_id") != "").drop("registered")
+    a = a.where(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")) > SEVERITIES.index(least))
+    return registry.top_by_group(a, ["tenant_id"], [F.desc("at_ms"), "alert_id", "state"], min(200, max(1, most)))

@@ -56,7 +56,11 @@ def route(records: DataFrame, checks: list[tuple[str, Column]], reason: str = "r
     return records.withColumn(reason, found)
 
 
-def dead_letters(routed: DataFrame, body: str = "body", topic_vin: str = "topic_vin") -> DataFrame:
-    """Rejected records for the dead-letter table: key, reason, oem and at most 64 KiB of the body (the table's format)."""
+def dead_letters(routed: DataFrame, body: str = "body", topic_vin: str = "topic_vin", received: str = "received_ms") -> DataFrame:
+    """Rejected records for the dead-letter table: key, reason, oem, at most 64 KiB of the body (the table's format), and
+    the headers x-dlq-reason, x-oem, x-error and x-received-ms."""
     key = F.coalesce(F.nullif("vin", F.lit("")), F.nullif(topic_vin, F.lit("")), F.lit("unknown"))
-    return routed.where("reason is not null").select(key.alias("key"), "reason", "oem", F.substring(F.col(body).cast("binary"), 1, DLQ_BYTES).alias("body"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    error = text("error") if "error" in routed.columns else F.lit("")
+    headers = F.create_map(F.lit("x-dlq-reason"), F.col("reason"), F.lit("x-oem"), text("oem"), F.lit("x-error"), error, F.lit("x-received-ms"), text(received))
+    return routed.where("reason is not null").select(key.alias("key"), "reason", "oem", F.substring(F.col(body).cast("binary"), 1, DLQ_BYTES).alias("body"), headers.alias("headers"))

@@ -71,5 +71,13 @@ def _of(names: tuple[str, ...]):
     return run
 
 
-QUERIES = {f"alert_{n.lower()}": _of((n,)) for n in rules.NAMES} | {"alert_transitions": _of(rules.NAMES)}
+def recent_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 newest transitions from warning on of each tenant."""
+    reg = registry.latest(table(spark, d, "vehicle_registry"), "vin", ["updated_ms"])
+    return rules.recent(QUERIES["alert_transitions"](spark, d), reg).select("tenant_id", "rank", "rule", "severity", "detail", "vin", "at_ms", "state", "alert_id")
+
+
+QUERIES = {f"alert_{n.lower()}": _of((n,)) for n in rules.NAMES} | {"alert_transitions": _of(rules.NAMES), "recent_alerts": recent_alerts}
 SQL = {f"alert_{n.lower()}": _sql((n,)) for n in rules.NAMES} | {"alert_transitions": _sql(rules.NAMES)}
+SQL["recent_alerts"] = f"""SELECT r.tenant_id, CAST(row_number() OVER (PARTITION BY r.tenant_id ORDER BY at_ms DESC, alert_id, state) AS INTEGER) AS rank, rule, severity, detail, t.vin, at_ms, state, alert_id
+FROM ({SQL["alert_transitions"]}) t JOIN {REGISTRY_SQL} r ON r.vin = t.vin WHERE severity IN ('warning', 'critical') AND coalesce(r.tenant_id, '') <> '' QUALIFY rank <= 50"""

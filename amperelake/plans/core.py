@@ -98,9 +98,15 @@ def topk_codes_sketch(spark, d):
     return registry.heavy_hitters_sketch(_codes(spark, d), ["tenant_id", "hour_ms"], "code", 10)
 
 
-@query()
-def count_sketch_codes(spark, d):
-    return registry.count_sketch(_codes(spark, d), ["tenant_id", "hour_ms"], "code")
+@query(
+    WITH_M
+    + f""", e AS (SELECT coalesce(r.tenant_id, '') AS tenant_id, m.ts_event_ms - m.ts_event_ms % 3600000 AS hour_ms, unnest(m.dtc) AS code FROM m LEFT JOIN {REGISTRY_SQL} r ON r.vin = m.vin)
+SELECT tenant_id, hour_ms, code, count(*) AS estimate FROM e GROUP BY ALL"""
+)
+def sketch_estimates(spark, d):
+    """Estimates of a count-min sketch; so wide that the codes of an hour do not collide in all rows, so they are exact here."""
+    codes, group = _codes(spark, d), ["tenant_id", "hour_ms"]
+    return registry.estimates(registry.count_table(codes, group, "code"), codes, group, "code")
 
 
 @query(
@@ -271,6 +277,38 @@ def soh_kalman(spark, d):
     return k.select(F.col("pack").alias("vin"), "as_of_ms", "n", *(F.round(c, 6).alias(c) for c in ("soh_pct", "rate_pct_per_day", "ci_low", "ci_high")))
 
 
+@query(SQL["soh_kalman"])
+def soh_stored(spark, d):
+    """The rows of soh_kalman, with sessions coming in two batches that a store keeps between them, the second one twice."""
+    o = _observed(spark, d).where("reason is null")
+    store = battery.HealthStore(spark, scratch(spark))
+    middle = o.select(F.percentile_approx("end_ms", 0.5)).first()[0] or 0
+    store.apply(o.where(F.col("end_ms") <= middle), 0)
+    for n in (1, 2):
+        store.apply(o.where(F.col("end_ms") > middle), n)
+    k = battery.with_interval(store.estimates())
+    return k.select(F.col("pack").alias("vin"), "as_of_ms", "n", *(F.round(c, 6).alias(c) for c in ("soh_pct", "rate_pct_per_day", "ci_low", "ci_high")))
+
+
+@query(
+    SOH_SQL.replace("SELECT vin, session_id, end_ms, CASE WHEN ah IS NULL", "SELECT vin, session_id, end_ms, CASE WHEN reg IS NULL THEN 'unregistered_vin' WHEN coalesce(tenant_id, '') <> '' AND tenant_id <> coalesce(own, '') THEN 'tenant_mismatch' WHEN ah IS NULL").replace("SELECT s.*, ", "SELECT s.*, r.vin AS reg, r.tenant_id AS own, ")
+    + "SELECT vin, session_id, reason, CASE WHEN reason IS NULL THEN round(h, 6) END AS soh_pct FROM obs"
+)
+def soh_gate(spark, d):
+    s = table(spark, d, "vehicle_sessions").where("kind = 1 and phase = 2").distinct()
+    return battery.gated(s, _registry(spark, d)).select("vin", "session_id", "reason", F.round("soh_pct", 6).alias("soh_pct"))
+
+
+@query(
+    KALMAN_SQL.rstrip().rstrip(",")
+    + ", g AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY vin ORDER BY as_of DESC, rn DESC) <= 500) SELECT vin, as_of AS as_of_ms, round(x, 6) AS soh_pct, CAST(row_number() OVER (PARTITION BY vin ORDER BY as_of, rn) AS INTEGER) AS place FROM g"
+)
+def soh_history(spark, d):
+    k = battery.kalman(_observed(spark, d)).withColumn("vin", F.col("pack"))
+    none = _registry(spark, d).select("vin", F.lit(None).cast("string").alias("current_pack_id"))  # sessions name no packs here: the vehicle is the pack
+    return battery.history(k, none).select("vin", "as_of_ms", F.round("soh_pct", 6).alias("soh_pct"), "place")
+
+
 LATEST_SQL = KALMAN_SQL.rstrip().rstrip(",") + f", l AS (SELECT k.vin, k.x, r.tenant_id FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY vin ORDER BY rn DESC) = 1) k JOIN {REGISTRY_SQL} r ON r.vin = k.vin) "
 
 
@@ -299,38 +337,63 @@ def soh_lowest(spark, d):
 RUL_NOW = 1_781_136_000_000
 
 
+@query(
+    KALMAN_SQL.rstrip().rstrip(",")
+    + f""", t AS (SELECT vin, x, as_of, min(as_of) OVER (PARTITION BY vin) AS t0 FROM k),
+f AS (SELECT vin, t0, count(*) AS n, (max(as_of) - t0) / 86400000.0::DOUBLE AS span, regr_slope(x, sqrt((as_of - t0) / 86400000.0::DOUBLE)) AS b, regr_intercept(x, sqrt((as_of - t0) / 86400000.0::DOUBLE)) AS a FROM t GROUP BY vin, t0)
+SELECT vin, round(greatest(0, pow((80 - a) / b, 2) - ({RUL_NOW} - t0) / 86400000.0::DOUBLE), 3) AS days, round(-b, 6) AS fade_per_sqrt_day FROM f WHERE n >= 3 AND span >= 3 AND b < 0"""
+)
+def remaining_life(spark, d):
+    """Days until a pack's health is 80 %; of three days of history on, as the tables have no more than ten."""
+    k = battery.kalman(_observed(spark, d)).withColumnRenamed("pack", "vin")
+    r = battery.remaining_life(k, "vin", "as_of_ms", "soh_pct", RUL_NOW, least_days=3.0)
+    return r.select("vin", F.round("days", 3).alias("days"), F.round("fade_per_sqrt_day", 6).alias("fade_per_sqrt_day"))
+
+
 @query(
     f"""WITH p AS (SELECT vin, minute_start_ms AS t, isolation_min_kohm / 100.0 AS y, min(minute_start_ms) OVER (PARTITION BY vin) AS t0 FROM (SELECT DISTINCT vin, minute_start_ms, emitted_ms, sample_count, isolation_min_kohm FROM rollup1m)
 QUALIFY row_number() OVER (PARTITION BY vin, minute_start_ms ORDER BY emitted_ms DESC, sample_count DESC, isolation_min_kohm DESC) = 1),
 q AS (SELECT p.vin, t, y, min(t) OVER (PARTITION BY p.vin) AS t0 FROM p JOIN (SELECT DISTINCT vin, minute_start_ms, emitted_ms, sample_count, isolation_min_kohm FROM rollup1m QUALIFY row_number() OVER (PARTITION BY vin, minute_start_ms ORDER BY emitted_ms DESC, sample_count DESC, isolation_min_kohm DESC) = 1) c ON c.vin = p.vin AND c.minute_start_ms = p.t WHERE c.sample_count <> 0),
 f AS (SELECT vin, t0, count(*) AS n, (max(t) - t0) / 86400000.0 AS span, regr_slope(y, sqrt((t - t0) / 86400000.0)) AS b, regr_intercept(y, sqrt((t - t0) / 86400000.0)) AS a FROM q GROUP BY vin, t0)
-SELECT vin, round(-b, 6) AS fade_per_sqrt_day FROM f WHERE n >= 3 AND span >= 14 AND b < 0"""
+SELECT vin, round(greatest(0, pow((5 - a) / b, 2) - ({RUL_NOW} - t0) / 86400000.0::DOUBLE), 1) AS days, round(-b, 6) AS fade_per_sqrt_day FROM f WHERE n >= 3 AND span >= 14 AND b < 0"""
 )
 def isolation_fade(spark, d):
     from amperelake.operators.rolling import current_minutes
 
     p = current_minutes(table(spark, d, "rollup1m"), "isolation_min_kohm").withColumn("y", F.col("isolation_min_kohm") / 100)
-    return battery.remaining_life(p, "vin", "minute_start_ms", "y", RUL_NOW, 5.0).select("vin", F.round("fade_per_sqrt_day", 6).alias("fade_per_sqrt_day"))
+    return battery.remaining_life(p, "vin", "minute_start_ms", "y", RUL_NOW, 5.0).select("vin", F.round("days", 1).alias("days"), F.round("fade_per_sqrt_day", 6).alias("fade_per_sqrt_day"))
 
 
-@query()
+@query(
+    WITH_M
+    + """, p AS (SELECT vin, ts_event_ms AS ts, CAST(floor((ts_event_ms + 19800000) / 86400000) AS BIGINT) AS dn, CAST(pack_temp_max_c AS DOUBLE) - CAST(ambient_c AS DOUBLE) AS td, CAST(cell_v_max_mv - cell_v_min_mv AS DOUBLE) AS imb, CAST(isolation_kohm AS DOUBLE) AS iso,
+ hv_interlock_ok AS ok, CASE WHEN hv_interlock_ok <> lag(hv_interlock_ok) OVER (PARTITION BY vin ORDER BY ts_event_ms, seq) THEN 1 ELSE 0 END AS fl, CAST(aux_12v_v AS DOUBLE) AS aux, CAST(soc_pct AS DOUBLE) AS soc, CASE WHEN len(dtc) > 0 THEN ts_event_ms END AS fault FROM m),
+d AS (SELECT vin, dn, (dn + 1) * 86400000 - 19800000 AS e, min(min(fault)) OVER (PARTITION BY vin) AS fd FROM p GROUP BY vin, dn),
+j AS (SELECT d.vin, d.dn, e, fd, p.dn = d.dn AS today, (p.ts - e) / 3600000.0::DOUBLE AS x, p.* EXCLUDE (vin, dn, ts) FROM d JOIN p ON p.vin = d.vin AND p.dn BETWEEN d.dn - 2 AND d.dn WHERE fd IS NULL OR fd >= e)
+SELECT vin, strftime(DATE '1970-01-01' + CAST(dn AS INTEGER), '%Y-%m-%d') AS day_ist, round(avg(td), 6) AS td_mean, round(max(td), 6) AS td_max, round(avg(td) FILTER (WHERE today), 6) AS td_mean_24h, round(avg(imb), 6) AS imb_mean, max(imb) AS imb_max, round(avg(imb) FILTER (WHERE today), 6) AS imb_mean_24h,
+ min(iso) AS iso_min, round(sum(iso) / count(*), 6) AS iso_mean, min(iso) FILTER (WHERE today) AS iso_min_24h, round(count(*) FILTER (WHERE NOT ok) / count(*), 6) AS hvil_false_frac, CAST(sum(fl) AS BIGINT) AS hvil_flaps,
+ round(CASE WHEN count(td) >= 3 THEN regr_slope(td, x) END, 5) AS td_slope_per_h, round(CASE WHEN count(imb) >= 3 THEN regr_slope(imb, x) END, 5) AS imb_slope_per_h, round(CASE WHEN count(iso) >= 3 THEN regr_slope(iso, x) END, 4) AS iso_slope_per_h,
+ round(min(aux), 6) AS aux_min, round(sum(aux) / count(*), 6) AS aux_mean, round(sum(soc) / count(*), 6) AS soc_mean, round(count(*) FILTER (WHERE soc > 80) / count(*), 6) AS soc_gt80_frac,
+ CASE WHEN fd < e + 604800000 THEN 1 ELSE 0 END AS label, round(CASE WHEN fd < e + 604800000 THEN (fd - e) / 3600000.0::DOUBLE END, 6) AS lead_h FROM j GROUP BY vin, dn, e, fd"""
+)
 def fault_features(spark, d):
     m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "soc_pct", "dtc")
-    return features.trailing_features(features.daily_partials(m))
+    f = features.trailing_features(features.daily_partials(m))
+    places = {"td_slope_per_h": 5, "imb_slope_per_h": 5, "iso_slope_per_h": 4}
+    return f.select("vin", F.date_format("day", "yyyy-MM-dd").alias("day_ist"), *(F.round(c, places.get(c, 6)).alias(c) if t == "double" else c for c, t in f.dtypes if c not in ("vin", "day")))
 
 
 @query(
     WITH_M
-    + """, p AS (SELECT *, CAST(floor((ts_event_ms + 19800000) / 86400000) AS BIGINT) AS dn, CASE WHEN hv_interlock_ok <> lag(hv_interlock_ok) OVER (PARTITION BY vin ORDER BY ts_event_ms, seq) THEN 1 ELSE 0 END AS fl FROM m),
-d AS (SELECT vin, dn, count(*) AS n, max(CAST(pack_temp_max_c AS DOUBLE) - CAST(ambient_c AS DOUBLE)) AS td_max, min(CAST(isolation_kohm AS DOUBLE)) AS iso_min, sum(fl) AS fl, sum(CASE WHEN soc_pct > 80 THEN 1 ELSE 0 END) AS hi,
- min(CASE WHEN len(dtc) > 0 THEN ts_event_ms END) AS fd FROM p GROUP BY 1, 2),
-w AS (SELECT vin, dn, max(td_max) OVER f AS td_max, min(iso_min) OVER f AS iso_min, sum(fl) OVER f AS fl, sum(hi) OVER f / sum(n) OVER f AS hi, min(fd) OVER (PARTITION BY vin) AS fd, (dn + 1) * 86400000 - 19800000 AS e
- FROM d WINDOW f AS (PARTITION BY vin ORDER BY dn RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT vin, strftime(DATE '1970-01-01' + CAST(dn AS INTEGER), '%Y-%m-%d') AS day_ist, round(td_max, 6) AS td_max, iso_min, CAST(fl AS BIGINT) AS hvil_flaps, round(hi, 9) AS soc_gt80_frac, CASE WHEN fd < e + 604800000 THEN 1 ELSE 0 END AS label FROM w WHERE fd IS NULL OR fd >= e"""
-)
-def fault_labels(spark, d):
-    f = fault_features(spark, d)
-    return f.select("vin", F.date_format("day", "yyyy-MM-dd").alias("day_ist"), F.round("td_max", 6).alias("td_max"), "iso_min", "hvil_flaps", F.round("soc_gt80_frac", 9).alias("soc_gt80_frac"), "label")
+    + f""", p AS (SELECT m.*, CAST(floor((ts_event_ms + 19800000) / 86400000) AS BIGINT) AS dn, ts_event_ms - lag(ts_event_ms) OVER w AS dt, CAST(pack_current_a AS DOUBLE) AS i, lag(CAST(pack_current_a AS DOUBLE)) OVER w AS pi FROM m WINDOW w AS (PARTITION BY vin ORDER BY ts_event_ms, seq)),
+q AS (SELECT p.*, CAST((dn - min(dn) OVER (PARTITION BY p.vin)) // 7 AS INTEGER) AS week, r.capacity_kwh * 1000 / r.nominal_voltage_v AS cap FROM p LEFT JOIN {REGISTRY_SQL} r ON r.vin = p.vin)
+SELECT vin, week, round(sum(CASE WHEN dt > 0 AND dt <= 300000 THEN abs((pi + i) / 2 * (dt / 3600000.0::DOUBLE)) END) / (2 * max(cap)), 6) AS efc_week, round(avg(CAST(pack_temp_max_c AS DOUBLE)), 6) AS temp_mean, round(avg(CAST(ambient_c AS DOUBLE)), 6) AS ambient_mean,
+ round(avg(CASE WHEN soc_pct > 80 THEN 1.0::DOUBLE WHEN soc_pct IS NOT NULL THEN 0.0::DOUBLE END), 6) AS soc_gt80_frac, round(avg(CAST(charge_power_kw AS DOUBLE)), 6) AS charge_kw_mean FROM q GROUP BY vin, week"""
+)
+def weekly_features(spark, d):
+    w = features.weekly_features(_with_capacity(spark, d))
+    features.leakage_check(w.columns, {"vin", "week", "efc_week", "temp_mean", "ambient_mean", "soc_gt80_frac", "charge_kw_mean"})
+    return w.select("vin", "week", *(F.round(c, 6).alias(c) for c in w.columns[2:]))
 
 
 @query(

@@ -230,3 +230,22 @@ def signature(body: Column, timestamp: Column, secret: str) -> Column:
     pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in key).hex()))
     inner = F.sha2(F.concat(pad(0x36), F.concat_ws(".", timestamp, body).cast("binary")), 256)
     return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
+
+
+#: How far a sender's clock may be from the receiver's.
+SKEW_S = 300
+
+
+def authenticated(requests: DataFrame, keys: dict[str, tuple[str, set[str]]]) -> DataFrame:
+    """`requests` (key_id, timestamp, signature, body, oem, received_ms) with `reason`: AUTH for an unknown key, a timestamp
+    that is no whole second or over five minutes off, or a signature that is not the HMAC of timestamp and body;
+    IDENTITY_MISMATCH for an OEM the key may not send for; else null. `keys`: secret and OEMs by key id, a few."""
+    at = F.col("timestamp").try_cast("long")
+    known, signed, may = F.col("key_id").isin(*keys), F.lit(None).cast("string"), F.lit(False)
+    for k, (secret, oems) in keys.items():
+        mine = F.col("key_id") == k
+        signed = F.when(mine, signature(F.col("body"), F.col("timestamp"), secret)).otherwise(signed)
+        may = F.when(mine, F.col("oem").isin(*oems)).otherwise(may)
+    near = F.abs(F.col("received_ms") / 1000 - at) <= SKEW_S
+    fine = F.coalesce(known & at.isNotNull() & near & (F.lower("signature") == signed), F.lit(False))
+    return requests.withColumn("reason", F.when(~fine, "AUTH").when(~F.coalesce(may, F.lit(False)), "IDENTITY_MISMATCH"))

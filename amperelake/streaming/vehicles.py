@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amperelake.common import cut
+from amperelake.functions.measures import ROAD_FACTOR
 from amperelake.operators import registry, rules
 from amperelake.sources.versions import VersionedStore
 
@@ -122,7 +123,7 @@ class Vehicle:
             return None
         a, b = math.radians(lat), math.radians(dlat)
         h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(dlon - lon) / 2) ** 2
-        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h))) * rules.ROAD_FACTOR * wh / 1000 / cap * 100
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h))) * ROAD_FACTOR * wh / 1000 / cap * 100
 
     def _unusual(self, x: float, alpha: float = 0.002, least: int = 360) -> bool:
         """Whether x is over four deviations above the vehicle's baseline, which such values do not move."""

@@ -7,6 +7,7 @@ import math
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +310,60 @@ def test_features_do_not_use_the_future(telemetry):
         r["pack_temp_max_c"] = 80.0
     again = features.trailing_features(features.daily_partials(messages(telemetry(rows), *cols))).orderBy("day").collect()
     assert [r.td_max for r in again] == [r.td_max for r in base]
+
+
+def test_slopes_are_least_squares_over_three_days(telemetry):
+    day, r = 86_400_000, random.Random(4)
+    base = 20_000 * day - 19_800_000
+    rows = [{"ts_event_ms": base + d * day + r.randrange(day), "pack_temp_max_c": r.uniform(20, 50), "ambient_c": 20.0, "dtc": []} for d in (0, 1, 3, 4) for _ in range(20)]
+    cols = ("ts_event_ms", "pack_temp_max_c", "ambient_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "soc_pct", "dtc")
+    got = features.trailing_features(features.daily_partials(messages(telemetry(rows), *cols))).orderBy("day").collect()
+    for d, x in zip((0, 1, 3, 4), got):
+        pts = [(q["ts_event_ms"] / 3_600_000, q["pack_temp_max_c"] - 20) for q in rows if base + (d - 2) * day <= q["ts_event_ms"] < base + (d + 1) * day]
+        assert x.td_slope_per_h == pytest.approx(np.polyfit([p[0] - pts[0][0] for p in pts], [p[1] for p in pts], 1)[0], rel=1e-4)
+    with pytest.raises(ValueError, match="soh_true"):
+        features.leakage_check(["vin", "soh_true"], {"vin"})
+
+
+def test_health_in_batches_is_health_at_once(spark, tmp_path):
+    r = random.Random(2)
+    obs = [(f"P{k % 3}", f"s{k}", 10**12 + k * 40_000_000, 95 - 0.01 * k + r.uniform(-1, 1), 0.5) for k in range(40)]
+    df = spark.createDataFrame(obs, "vin string, session_id string, end_ms long, soh_pct double, variance double")
+    store = battery.HealthStore(spark, str(tmp_path / "h"))
+    for n, part in enumerate([df.where("end_ms < 1000000600000000 and session_id <= 's2'"), df, df.where("vin = 'P1'")]):
+        store.apply(part.where(f"end_ms < {10**12 + (n + 1) * 20 * 40_000_000}"), n)
+        store.apply(part, n)
+    assert store.estimates().count() == 40 and store.states().count() == 3
+    parts = [df.where(f"end_ms < {10**12 + 17 * 40_000_000}"), df]
+    store = battery.HealthStore(spark, str(tmp_path / "g"))
+    for n, part in enumerate(parts):
+        store.apply(part.union(part), n)
+    by = lambda rows: {(x.pack, x.n, c): x[c] for x in rows for c in ("soh_pct", "rate_pct_per_day", "p11")}
+    assert by(store.estimates().collect()) == pytest.approx(by(battery.kalman(df).collect()))
+
+
+def test_gate_and_history(spark):
+    s = spark.createDataFrame([("A", "t1", -50.0), ("A", "t2", -50.0), ("A", "", -50.0), ("B", "t1", -50.0), ("A", None, 50.0)], "vin string, tenant_id string, delta_ah double")
+    s = s.selectExpr("*", "20.0D as soc_start_pct", "70.0D as soc_end_pct", "20.0D as temp_min_c", "30.0D as temp_max_c", "0 as gaps", "50 as samples", "cast(null as double) as v_rest_before")
+    reg = spark.createDataFrame([("A", "t1", 38.0, 380.0)], "vin string, tenant_id string, capacity_kwh double, nominal_voltage_v double")
+    got = battery.gated(s, reg).collect()
+    assert sorted((x.reason or "", x.soh_pct or 0) for x in got) == [("", 100.0), ("", 100.0), ("not_a_charge", 0), ("tenant_mismatch", 0), ("unregistered_vin", 0)]
+    e = spark.createDataFrame([("A", "old", 1, 1), ("A", "new", 2, 1), ("A", "new", 3, 2), ("A", "new", 4, 3)], "vin string, pack string, as_of_ms long, n int")
+    now = spark.createDataFrame([("A", None)], "vin string, current_pack_id string")
+    assert [(x.as_of_ms, x.place) for x in battery.history(e, now, 2).orderBy("place").collect()] == [(3, 1), (4, 2)]
+    assert battery.history(e, now.selectExpr("vin", "'old' as current_pack_id")).count() == 1
+
+
+def test_requests_sketch_and_vehicle_numbers(spark):
+    sign = lambda t, b: hmac.new(b"k", f"{t}.{b}".encode(), hashlib.sha256).hexdigest()
+    rows = [("id", "1000", sign(1000, "x"), "x", "oem_a", 1_000_000), ("id", "1000", sign(1000, "x"), "y", "oem_a", 1_000_000), ("no", "1000", sign(1000, "x"), "x", "oem_a", 1_000_000), ("id", "1000", sign(1000, "x"), "x", "oem_a", 1_400_000), ("id", "1e3", "", "x", "oem_a", 1), ("id", "1000", sign(1000, "x").upper(), "x", "oem_b", 1_000_000), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key_id string, timestamp string, signature string, body string, oem string, received_ms long")
+    assert [x.reason for x in decode.authenticated(df, {"id": ("k", {"oem_a"})}).collect()] == [None, "AUTH", "AUTH", "AUTH", "AUTH", "IDENTITY_MISMATCH", "AUTH"]
+    items = spark.createDataFrame([("g", f"c{min(i % 97, i % 13)}") for i in range(3000)] + [("g", None), ("h", "c1")], "g string, code string")
+    est = registry.estimates(registry.count_table(items, ["g"], "code", width=16), items.union(spark.createDataFrame([("h", "never")], items.schema)), ["g"], "code", width=16)
+    true = {(x.g, x.code): x["count"] for x in items.groupBy("g", "code").count().collect()}
+    got = {(x.g, x.code): x.estimate for x in est.collect()}
+    assert got["h", "never"] in (0, 1) and all(got[k] >= n for k, n in true.items() if k[1]) and got["h", "c1"] == 1
+    v = spark.range(1).select(identity.vin_build(F.lit("0EA"), F.lit("VA52C"), F.lit(2024), F.lit("M"), F.lit(7)).alias("v"), identity.vin_year_code(F.lit(2010)).alias("a"), identity.vin_year_code(F.lit(1979)).alias("b"), identity.vin_build(F.lit("0E"), F.lit("VA52C"), F.lit(2024), F.lit("M"), F.lit(7)).alias("n")).first()
+    assert v.v[9] == "R" and v.v.endswith("M000007") and v.a == "A" and v.b == "9" and v.n is None
+    assert spark.createDataFrame([(v.v,)], "v string").select(identity.vin_valid(F.col("v"))).first()[0]
