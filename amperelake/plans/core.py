@@ -586,7 +586,7 @@ def decoded(spark, d):
 SELECT raw_id, f[2] AS vin, CAST(f[3] AS BIGINT) AS ts_event_ms, CAST(f[4] AS BIGINT) AS seq, CAST(f[9] AS DOUBLE) AS odo_km, round(CAST(CAST(f[10] AS FLOAT) AS DOUBLE), 6) AS soc_pct, f[18] = '1' AS hv_interlock_ok FROM c WHERE len(f) = 23"""
 )
 def decoded_c(spark, d):
-    out = decode.decode_c(table(spark, d, "oem_raw").where("oem = 'oem_c'")).where("reason is null")
+    out = decode.decode(table(spark, d, "oem_raw").where("oem = 'oem_c'")).where("reason is null")
     return out.select("raw_id", "vin", "ts_event_ms", "seq", "odo_km", F.round(F.col("soc_pct").cast("double"), 6).alias("soc_pct"), "hv_interlock_ok")
 
 
@@ -596,7 +596,7 @@ SELECT raw_id, b->>'$.vin' AS vin, epoch_ms(CAST(b->>'$.ts' AS TIMESTAMPTZ)) AS
 CAST(b->>'$.pos.lat' AS DOUBLE) AS lat FROM j WHERE json_type(b->'$.odo_km') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND json_type(b->'$.soc_pct') IN ('DOUBLE', 'UBIGINT', 'BIGINT')"""
 )
 def decoded_a(spark, d):
-    out = decode.decode_a(table(spark, d, "oem_raw").where("oem = 'oem_a'")).where("reason is null")
+    out = decode.decode(table(spark, d, "oem_raw").where("oem = 'oem_a'")).where("reason is null")
     return out.select("raw_id", "vin", "ts_event_ms", "seq", "odo_km", "hv_interlock_ok", "lat")
 
 

@@ -1,17 +1,13 @@
-"""Payloads of three wire formats decoded into canonical columns, or a reason why not.
-
-Decoders are functions DataFrame -> DataFrame kept in a registry by OEM; a new format is one more entry. Each keeps the
-input columns and adds the canonical ones and `reason` (null where decoding went well).
-"""
+"""Payloads of three wire formats decoded into canonical columns, or a reason why not."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amperelake.functions.identity import dtcs_of_hex
 from amperelake.functions.measures import KM_PER_MILE
 
 # Names of events and charge states on the wire, and the one schema version known.
@@ -52,164 +48,154 @@ TEXTS = {"vin", "evt", "charge_state"}
 WHOLE = {"seq", "cell_v_min_mv", "cell_v_max_mv", "schema_version"}
 
 
-def records(raw: DataFrame, body: str = "body", batch: bool = True) -> DataFrame:
-    """One row per record of each body: `record` (variant) and `record_no`; a JSON array is a batch of its elements.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
 
-    `body_reason` is OVERSIZE for bodies over 256 KiB or 500 records, DECODE for bodies that are no JSON; such rows stay
-    as one row with a null record.
+@dataclass(frozen=True)
+class Format:
+    """One wire format: whether a body is JSON or lines, and the SQL of an array of one struct (canonical columns and
+    `reason`) for a record `_r` (its `json` or its `line`) of a body with `_reason`.
+
+    The SQL binds what is used several times by lambdas, so it is computed once for a record, and only for records of the
+    format; it is text, as building it call by call would take longer than running it.
     """
-    v = raw.withColumn("_v", F.try_parse_json(body))
-    kind = F.schema_of_variant("_v")
-    many = F.when(kind.startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>")) if batch else F.lit(None).cast("array<variant>")
-    v = v.withColumn("_many", many)
-    reason = F.when((F.octet_length(body) > MAX_BODY) | (F.size("_many") > MAX_RECORDS), "OVERSIZE").when(F.col("_v").isNull(), "DECODE")
-    v = v.withColumn("body_reason", reason)
-    list_ = F.when(F.col("body_reason").isNotNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.coalesce("_many", F.array("_v")))
-    return v.select("*", F.posexplode_outer(list_).alias("record_no", "record")).drop("_v", "_many")
 
+    rows: str
+    sql: str
 
-def _kind(path: str) -> Column:
-    """JSON kind of a path of `record`: null (absent or JSON null), or the variant's type."""
-    k = F.schema_of_variant(F.try_variant_get("record", f"$.{path}", "variant"))
-    return F.when(k != "VOID", k)
 
+def _nested(paths: dict[str, str], kind: Callable[[str], str]) -> str:
+    """The type of a struct with a leaf per path."""
+    tree: dict = {}
+    for c, p in paths.items():
+        *up, leaf = p.split(".")
+        at = tree
+        for u in up:
+            at = at.setdefault(u, {})
+        at[leaf] = kind(c)
+    text = lambda t: "struct<" + ", ".join(f"`{k}`: {text(v) if isinstance(v, dict) else v}" for k, v in t.items()) + ">"
+    return text(tree)
 
-def _number(k: Column) -> Column:
-    return (k == "BIGINT") | (k == "DOUBLE") | (k == "FLOAT") | k.startswith("DECIMAL")
 
+def _names(table: dict[str, int], value: str) -> str:
+    return f"try_element_at(map({', '.join(f'{k!r}, {v}' for k, v in table.items())}), {value})"
 
-def _json(raw: DataFrame, paths: dict[str, str], unit: Callable[[str, Column], Column], clock: Callable[[Column], Column], seconds: bool) -> DataFrame:
-    r = records(raw)
-    keep = [c for c in r.columns if c not in NAMES]
-    got = [F.schema_of_variant("record").alias("_top")]
-    kind_of = {c: f"_k_{c}" for c in paths}
-    for c, p in paths.items():
-        t = "string" if c in TEXTS or (c == "ts_event_ms" and not seconds) else "boolean" if c == "hv_interlock_ok" else "array<string>" if c == "dtc" else "long" if c in WHOLE or c == "ts_event_ms" else "double"
-        got += [_kind(p).alias(kind_of[c]), F.try_variant_get("record", f"$.{p}", t).alias(f"_v_{c}")]
-    holder = paths["lat"].split(".")[0]
-    got.append(_kind(holder).alias("_holder"))
-    r = _once(r.select(*keep, F.struct(*got).alias("_x")), "_x", keep)
-    top = F.col("_top")
-    bad, absent, value = F.lit(False), F.lit(False), {}
-    for c in paths:
-        k, v = F.col(kind_of[c]), F.col(f"_v_{c}")
-        if c in TEXTS or (c == "ts_event_ms" and not seconds):
-            ok = k == "STRING"
-        elif c == "hv_interlock_ok":
-            ok = k == "BOOLEAN"
-        elif c == "dtc":
-            ok, v = k.startswith("ARRAY"), F.coalesce(v, F.array().cast("array<string>"))
-        elif c in WHOLE or c == "ts_event_ms":
-            ok = (k == "BIGINT") & ((v >= 0) | F.lit(c == "ts_event_ms"))
-        else:
-            ok = _number(k)
-        value[c] = v
-        bad = bad | (k.isNotNull() & ~F.coalesce(ok, F.lit(False)))
-        if c not in OPTIONAL:
-            absent = absent | k.isNull()
-    names = lambda table, c: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[value[c]]
-    evt, charge = names(EVENTS, "evt"), names(CHARGES, "charge_state")
-    ts = clock(value["ts_event_ms"])
-    partial = F.lit(False)
-    for g in GROUPS.values():
-        has = [value[c].isNotNull() for c in g]
-        n = sum((h.cast("int") for h in has), F.lit(0))
-        partial = partial | ((n > 0) & (n < len(g)))
-    partial = partial | (F.col("_holder").isNotNull() & value["lat"].isNull() & value["lon"].isNull() & value["speed_kmh"].isNull())
-    vk = F.col(kind_of["schema_version"])
-    reason = (
-        F.when(F.col("body_reason").isNotNull(), F.col("body_reason"))
-        .when(~top.startswith("OBJECT"), "SCHEMA")
-        .when(vk.isNull() | (vk != "BIGINT") | (value["schema_version"] < 0), "SCHEMA")
-        .when(value["schema_version"] != SCHEMA, "UNKNOWN_SCHEMA_VERSION")
-        .when(bad | absent | evt.isNull() | charge.isNull() | ts.isNull() | partial, "SCHEMA")
-    )
-    out = {c: unit(c, value[c]) for c in paths} | {"evt": evt, "charge_state": charge, "ts_event_ms": ts}
-    scratch = ["record", "body_reason", "_top", "_holder", *kind_of.values(), *(f"_v_{c}" for c in paths)]
-    return _shaped(r, out, reason, scratch)
 
+def _either(parts: list[str]) -> str:
+    return "(" + " OR ".join(parts) + ")"
 
-def _shaped(df: DataFrame, values: dict[str, Column], reason: Column, scratch: list[str] = ()) -> DataFrame:
-    keep = [c for c in df.columns if c not in NAMES and c != "reason" and c not in scratch]
-    typed = [values[n].cast(t).alias(n) for n, t in (c.split(" ") for c in CANONICAL)]
-    out = _once(df.select(*keep, F.struct(*typed, reason.alias("reason")).alias("_y")), "_y", keep)
-    return out.select(*keep, *(F.when(F.col("reason").isNull(), F.col(n)).alias(n) for n in NAMES), "reason")
 
+def _partial(has: Callable[[str], str]) -> str:
+    """Whether a group of sensors is there in part only."""
+    return _either([f"(({' + '.join(f'int({has(c)})' for c in g)}) NOT IN (0, {len(g)}))" for g in GROUPS.values()])
 
-def _once(df: DataFrame, struct: str, keep: list[str]) -> DataFrame:
-    """The fields of a struct as columns, computed once: later filters and projections are not moved into them."""
-    return df.select(*keep, F.inline(F.array(struct)))
 
+def _row(values: dict[str, str], reason: str) -> str:
+    """The struct of a record: canonical columns where there is no reason, else nulls, and the reason."""
+    cols = ", ".join(f"'{n}', CAST({values[n]} AS {t})" for n, t in (c.split(" ") for c in CANONICAL))
+    blank = ", ".join(f"'{n}', CAST(NULL AS {t})" for n, t in (c.split(" ") for c in CANONICAL))
+    return f"transform(array({reason}), why -> CASE WHEN why IS NULL THEN named_struct({cols}, 'reason', why) ELSE named_struct({blank}, 'reason', why) END)"
 
-def decode_a(raw: DataFrame) -> DataFrame:
-    """Nested JSON in metric units, ISO-8601 times."""
 
-    return _json(raw, PATHS_A, lambda c, v: v, lambda text: F.unix_millis(F.try_to_timestamp(text)), seconds=False)
+def json_format(paths: dict[str, str], unit: Callable[[str, str], str], clock: Callable[[str], str], seconds: bool) -> Format:
+    """A nested JSON format. Each leaf is taken twice, as it is (for its kind) and typed; a leaf is absent if it is not there
+    or a JSON null, and of a wrong kind if it is there with another kind than its column's."""
+    text = {*TEXTS, *(() if seconds else ("ts_event_ms",))}
+    whole = {*WHOLE, *(("ts_event_ms",) if seconds else ())}
 
+    def typed(c: str) -> str:
+        return "string" if c in text else "boolean" if c == "hv_interlock_ok" else "array<string>" if c == "dtc" else "bigint" if c in whole else "double"
 
-def decode_b(raw: DataFrame) -> DataFrame:
-    """Nested JSON with miles, °F, a ratio for the charge level and epoch seconds; temperatures in single precision."""
+    k, v = (lambda c: f"x.k.{c}"), (lambda c: f"x.t.{paths[c]}")
 
-    def unit(c: str, v: Column) -> Column:
-        if c in ("pack_temp_min_c", "pack_temp_max_c", "ambient_c"):
-            return ((v.cast("float") - F.lit(32.0).cast("float")).cast("float") * F.lit(5.0).cast("float")).cast("float") / F.lit(9.0).cast("float")
-        if c in ("odo_km", "speed_kmh"):
-            return v * KM_PER_MILE
-        return v * 100 if c == "soc_pct" else v
+    def fine(c: str) -> str:
+        if c in text:
+            return f"{k(c)} = 'STRING'"
+        if c == "hv_interlock_ok":
+            return f"{k(c)} = 'BOOLEAN'"
+        if c == "dtc":
+            return f"startswith({k(c)}, 'ARRAY')"
+        if c in whole:
+            return f"{k(c)} = 'BIGINT' AND {v(c)} IS NOT NULL" + ("" if c == "ts_event_ms" else f" AND {v(c)} >= 0")
+        return f"({k(c)} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({k(c)}, 'DECIMAL'))"
 
-    return _json(raw, PATHS_B, unit, lambda s: s * 1000, seconds=True)
+    bad = _either([f"({k(c)} IS NOT NULL AND NOT coalesce({fine(c)}, false))" for c in paths] + [f"{k(c)} IS NULL" for c in paths if c not in OPTIONAL])
+    evt, charge, ts = _names(EVENTS, v("evt")), _names(CHARGES, v("charge_state")), clock(v("ts_event_ms"))
+    gps = " AND ".join(f"{v(c)} IS NULL" for c in GROUPS["gps"])
+    version = k("schema_version")
+    reason = (
+        f"CASE WHEN _reason IS NOT NULL THEN _reason WHEN x.top IS NULL OR NOT x.top THEN 'SCHEMA' WHEN {version} IS NULL OR {version} <> 'BIGINT' OR coalesce({v('schema_version')} < 0, true) THEN 'SCHEMA' "
+        f"WHEN {v('schema_version')} <> {SCHEMA} THEN 'UNKNOWN_SCHEMA_VERSION' WHEN {bad} OR {evt} IS NULL OR {charge} IS NULL OR {ts} IS NULL OR {_partial(lambda c: f'{v(c)} IS NOT NULL')} OR (x.holder IS NOT NULL AND {gps}) THEN 'SCHEMA' END"
+    )
+    values = {c: unit(c, v(c)) for c in paths} | {"evt": evt, "charge_state": charge, "ts_event_ms": ts, "dtc": f"coalesce({v('dtc')}, array())"}
+    kinds = ", ".join(f"'{c}', nullif(schema_of_variant(w.v.{p}), 'VOID')" for c, p in paths.items())
+    holder = paths["lat"].split(".")[0]
+    both = f"named_struct('v', try_variant_get(_r.json, '$', '{_nested(paths, lambda c: 'variant')}'), 't', try_variant_get(_r.json, '$', '{_nested(paths, typed)}'), 'holder', nullif(schema_of_variant(try_variant_get(_r.json, '$.{holder}', 'variant')), 'VOID'))"
+    got = f"transform(array({both}), w -> named_struct('k', named_struct({kinds}), 't', w.t, 'top', w.v IS NOT NULL, 'holder', w.holder))"
+    return Format("json", f"flatten(transform({got}, x -> {_row(values, reason)}))")
 
 
-def decode_c(raw: DataFrame) -> DataFrame:
-    """Text lines of 23 fields; a batch is one line per record, carriage returns at the end are dropped."""
-    lines = F.split(F.regexp_replace("body", r"\n+$", ""), "\n")
-    r = raw.select("*", F.posexplode_outer(lines).alias("record_no", "_line")).withColumn("_p", F.split(F.regexp_replace("_line", r"\r+$", ""), ";", -1))
-    at = {c: F.coalesce(F.try_element_at("_p", F.lit(i + 1)), F.lit("")) for c, i in PLACES_C.items()}
-    value, bad = {}, F.lit(False)
+def lines_format(places: dict[str, int]) -> Format:
+    """A format of text lines with fields between semicolons; carriage returns at the end are dropped."""
+    at = lambda c: f"coalesce(try_element_at(p, {places[c] + 1}), '')"
+    values, bad = {"vin": at("vin"), "hv_interlock_ok": f"{at('hv_interlock_ok')} = '1'", "dtc": "codes"}, []
     for n, t in (c.split(" ") for c in CANONICAL):
-        if n in ("vin", "dtc", "hv_interlock_ok"):
+        if n in values:
             continue
         whole = t in ("int", "long")
-        v = at[n].try_cast("long") if whole else at[n].try_cast("double")
-        form = r"^[0-9]+$" if n in WHOLE else r"^[+-]?[0-9]+$" if whole else r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-        value[n] = v
-        fine = at[n].rlike(form) & v.isNotNull()
-        bad = bad | (~fine & (at[n] != "")) if n in OPTIONAL else bad | ~fine
-    partial = F.lit(False)
-    for g in GROUPS.values():
-        n = sum(((at[c] != "").cast("int") for c in g), F.lit(0))
-        partial = partial | ((n > 0) & (n < len(g)))
-    words = at["dtc"]
+        values[n] = f"try_cast({at(n)} AS {'bigint' if whole else 'double'})"
+        form = "^[0-9]+$" if n in WHOLE else "^[+-]?[0-9]+$" if whole else NUMBER
+        fine = f"({at(n)} RLIKE '{form}' AND {values[n]} IS NOT NULL)"
+        bad.append(f"(NOT {fine} AND {at(n)} <> '')" if n in OPTIONAL else f"NOT {fine}")
+    partial = _partial(lambda c: f"{at(c)} <> ''")
     reason = (
-        F.when(F.octet_length("body") > MAX_BODY, "OVERSIZE")
-        .when(F.size(lines) > MAX_RECORDS, "OVERSIZE")
-        .when(F.col("_line").isNull() | (F.size("_p") != len(PLACES_C)), "DECODE")
-        .when(~at["schema_version"].rlike(r"^[0-9]+$"), "SCHEMA")
-        .when(value["schema_version"] != SCHEMA, "UNKNOWN_SCHEMA_VERSION")
-        .when(~at["hv_interlock_ok"].isin("0", "1") | partial | bad, "SCHEMA")
-        .when(~words.rlike(r"^([0-9A-Fa-f]{4})*$"), "DTC_FORMAT")
+        f"CASE WHEN _reason IS NOT NULL THEN _reason WHEN _r.line IS NULL OR size(p) <> {len(places)} THEN 'DECODE' WHEN NOT {at('schema_version')} RLIKE '^[0-9]+$' THEN 'SCHEMA' "
+        f"WHEN coalesce({values['schema_version']}, -1) <> {SCHEMA} THEN 'UNKNOWN_SCHEMA_VERSION' WHEN {at('hv_interlock_ok')} NOT IN ('0', '1') OR {partial} OR {_either(bad)} THEN 'SCHEMA' WHEN NOT {at('dtc')} RLIKE '^([0-9A-Fa-f]{{4}})*$' THEN 'DTC_FORMAT' END"
     )
-    out = value | {"vin": at["vin"], "hv_interlock_ok": at["hv_interlock_ok"] == "1", "dtc": dtcs_of_hex(words)}
-    return _shaped(r, out, reason, ["_line", "_p"])
+    word = "CAST(conv(substring(h, i * 4 + 1, 4), 16, 10) AS int)"
+    code = f"transform(array({word}), n -> concat(substring('PCBU', (shiftright(n, 14) & 3) + 1, 1), CAST(shiftright(n, 12) & 3 AS string), lpad(conv(CAST(n & 4095 AS string), 10, 16), 3, '0')))[0]"
+    codes = f"CASE WHEN h RLIKE '^([0-9A-Fa-f]{{4}})+$' THEN transform(sequence(0, CAST(length(h) DIV 4 AS int) - 1), i -> {code}) ELSE CAST(array() AS array<string>) END"
+    inner = f"transform(array({at('dtc')}), h -> {codes})"
+    return Format("lines", f"flatten(transform(array(split(regexp_replace(_r.line, '\\\\r+$', ''), ';', -1)), p -> flatten(transform({inner}, codes -> {_row(values, reason)}))))")
+
+
+def _imperial(c: str, v: str) -> str:
+    """Miles, °F (in single precision) and a ratio for the charge level."""
+    if c in ("pack_temp_min_c", "pack_temp_max_c", "ambient_c"):
+        return f"CAST(CAST(CAST({v} AS float) - 32.0F AS float) * 5.0F AS float) / 9.0F"
+    return f"{v} * {KM_PER_MILE}D" if c in ("odo_km", "speed_kmh") else f"{v} * 100" if c == "soc_pct" else v
 
 
-DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"oem_a": decode_a, "oem_b": decode_b, "oem_c": decode_c}
+#: The registry of formats by OEM; a new format is one more entry.
+FORMATS: dict[str, Format] = {
+    "oem_a": json_format(PATHS_A, lambda c, v: v, lambda text: f"unix_millis(try_to_timestamp({text}))", seconds=False),
+    "oem_b": json_format(PATHS_B, _imperial, lambda s: f"{s} * 1000", seconds=True),
+    "oem_c": lines_format(PLACES_C),
+}
 
 
-def decode(raw: DataFrame, oem: str = "oem") -> DataFrame:
-    """All records of `raw` (`oem`, `body`, ...) through the decoder of their OEM; unknown OEMs get UNKNOWN_OEM.
+def decode(raw: DataFrame, formats: dict[str, Format] | None = None) -> DataFrame:
+    """All records of `raw` (`oem`, `body`, ...) in the format of their OEM: the columns of `raw`, `record_no`, the canonical
+    columns, and `reason` (null where decoding went well). A JSON array is a batch of its elements, a text of its lines.
 
-    Columns of `raw` with canonical names are replaced. Null and empty bodies are DECODE; repeated bodies give repeated rows; an empty table gives none.
+    One scan whatever the number of formats: bodies are taken apart once, and each record goes through its own format.
+    Reasons for whole bodies: OVERSIZE over 256 KiB or 500 records, DECODE for what is no JSON, UNKNOWN_OEM; such bodies
+    are one row. Columns of `raw` with canonical names are replaced. Null and empty bodies are DECODE; repeated bodies
+    give repeated rows; an empty table gives none.
     """
-    raw = raw.drop("record", "record_no", "reason", "body_reason")
-    out = None
-    for name, f in DECODERS.items():
-        part = f(raw.where(F.col(oem) == name))
-        out = part if out is None else out.unionByName(part)
-    other = raw.where(F.col(oem).isNull() | ~F.col(oem).isin(*DECODERS))
-    nothing = {n: F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in CANONICAL)}
-    other = _shaped(other.withColumn("record_no", F.lit(0)), nothing, F.lit("UNKNOWN_OEM"))
-    return out.unionByName(other)
+    formats = FORMATS if formats is None else formats
+    keep = [c for c in raw.columns if c not in (*NAMES, "record", "record_no", "reason", "body_reason", "_v", "_many", "_lines", "_reason", "_r")]
+    kinds = {k: [o for o, f in formats.items() if f.rows == k] for k in ("json", "lines")}
+    of = {k: f"oem IN ({', '.join(map(repr, os))})" if os else "false" for k, os in kinds.items()}
+    none = "array(named_struct('json', CAST(NULL AS variant), 'line', CAST(NULL AS string)))"
+    r = raw.select(*keep).withColumns({"_v": F.expr(f"CASE WHEN {of['json']} THEN try_parse_json(body) END"), "_lines": F.expr(rf"CASE WHEN {of['lines']} THEN split(regexp_replace(body, '\\n+$', ''), '\\n') END")})
+    r = r.withColumn("_many", F.expr("CASE WHEN startswith(schema_of_variant(_v), 'ARRAY') THEN try_variant_get(_v, '$', 'array<variant>') END"))
+    r = r.withColumn("_reason", F.expr(f"CASE WHEN oem IS NULL OR NOT ({of['json']} OR {of['lines']}) THEN 'UNKNOWN_OEM' WHEN octet_length(body) > {MAX_BODY} OR size(_many) > {MAX_RECORDS} OR size(_lines) > {MAX_RECORDS} THEN 'OVERSIZE' WHEN {of['json']} AND _v IS NULL THEN 'DECODE' END"))
+    records = f"CASE WHEN _reason IS NOT NULL THEN {none} WHEN _many IS NOT NULL THEN transform(_many, v -> named_struct('json', v, 'line', CAST(NULL AS string))) WHEN _lines IS NOT NULL THEN transform(_lines, l -> named_struct('json', CAST(NULL AS variant), 'line', l)) ELSE array(named_struct('json', _v, 'line', CAST(NULL AS string))) END"
+    r = r.select(*keep, "_reason", F.expr(f"posexplode_outer({records}) AS (record_no, _r)"))
+    nothing = _row({n: "NULL" for n in NAMES}, "_reason")
+    cases = " ".join(f"WHEN oem = {o!r} THEN {f.sql}" for o, f in formats.items())
+    return r.select(*keep, "record_no", F.expr(f"inline(CASE {cases} ELSE {nothing} END)"))
 
 
 def topic_parts(topic: Column) -> tuple[Column, Column, Column]:
