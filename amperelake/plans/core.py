@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from amperelake.common import cut, messages, scratch, table
 from amperelake.functions import identity, measures
 from amperelake.operators import battery, features, folds, registry, rollup, slots, usage, validate, windows
+from amperelake.plans import wire_sql
 from amperelake.plans.problems import MESSAGES_SQL
 from amperelake.sources import decode, files
 
 PLACES = 12
-MAKERS = {"0EA": "oem_a", "0EB": "oem_b", "0EC": "oem_c"}
+MAKERS = wire_sql.MAKERS
 QUERIES, SQL = {}, {}
 ALL = ("ts_event_ms", "ts_ingest_ms", "oem", "lat", "lon", "speed_kmh", "odo_km", "soc_pct", "pack_voltage_v", "pack_current_a", "pack_temp_min_c", "pack_temp_max_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "ambient_c", "charge_state", "charge_power_kw", "dtc", "evt", "schema_version")
 WITH_M = f"WITH m AS {MESSAGES_SQL} "
@@ -576,28 +577,26 @@ def lag_quantiles(spark, d):
     return features.quantiles_of_buckets(m.groupBy("oem", bound.alias("bound")).agg(F.count(F.lit(1)).alias("n")), ["oem"], "bound", "n")
 
 
-@query()
+@query(wire_sql.decoded())
 def decoded(spark, d):
-    return decode.decode(table(spark, d, "oem_raw")).drop("body")
+    return _plain(decode.decode(table(spark, d, "oem_raw")))
 
 
-@query(
-    """WITH c AS (SELECT raw_id, string_split(body, ';') AS f FROM oem_raw WHERE oem = 'oem_c')
-SELECT raw_id, f[2] AS vin, CAST(f[3] AS BIGINT) AS ts_event_ms, CAST(f[4] AS BIGINT) AS seq, CAST(f[9] AS DOUBLE) AS odo_km, round(CAST(CAST(f[10] AS FLOAT) AS DOUBLE), 6) AS soc_pct, f[18] = '1' AS hv_interlock_ok FROM c WHERE len(f) = 23"""
-)
-def decoded_c(spark, d):
-    out = decode.decode(table(spark, d, "oem_raw").where("oem = 'oem_c'")).where("reason is null")
-    return out.select("raw_id", "vin", "ts_event_ms", "seq", "odo_km", F.round(F.col("soc_pct").cast("double"), 6).alias("soc_pct"), "hv_interlock_ok")
+def _plain(out: DataFrame) -> DataFrame:
+    """Decoded records with doubles for floats and the codes as text."""
+    kinds = {c: F.round(F.col(c).cast("double"), 6).alias(c) for c, t in out.dtypes if t in ("float", "double")} | {"dtc": F.array_join("dtc", " ").alias("dtc")}
+    return out.select(*(kinds.get(c, c) for c in out.columns if c not in ("body", "schema_version")))
 
 
-@query(
-    """WITH j AS (SELECT raw_id, CAST(body AS JSON) AS b FROM oem_raw WHERE oem = 'oem_a' AND json_valid(body))
-SELECT raw_id, b->>'$.vin' AS vin, epoch_ms(CAST(b->>'$.ts' AS TIMESTAMPTZ)) AS ts_event_ms, CAST(b->>'$.seq' AS BIGINT) AS seq, CAST(b->>'$.odo_km' AS DOUBLE) AS odo_km, CAST(b->>'$.pack.hv_interlock_ok' AS BOOLEAN) AS hv_interlock_ok,
-CAST(b->>'$.pos.lat' AS DOUBLE) AS lat FROM j WHERE json_type(b->'$.odo_km') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND json_type(b->'$.soc_pct') IN ('DOUBLE', 'UBIGINT', 'BIGINT')"""
-)
-def decoded_a(spark, d):
-    out = decode.decode(table(spark, d, "oem_raw").where("oem = 'oem_a'")).where("reason is null")
-    return out.select("raw_id", "vin", "ts_event_ms", "seq", "odo_km", "hv_interlock_ok", "lat")
+def _of_oem(name):
+    def f(spark, d):
+        return _plain(decode.decode(table(spark, d, "oem_raw").where(F.col("oem") == name)))
+
+    QUERIES[f"decoded_{name[-1]}"], SQL[f"decoded_{name[-1]}"] = f, f"SELECT * FROM ({wire_sql.decoded()}) WHERE oem = '{name}'"
+
+
+for _name in decode.FORMATS:
+    _of_oem(_name)
 
 
 def _routed(spark, d):
@@ -605,22 +604,19 @@ def _routed(spark, d):
     return validate.route(raw, validate.chain(MAKERS, "received_ms", "topic_vin"))
 
 
-@query()
+@query(f"SELECT oem, coalesce(reason, 'ACCEPTED') AS reason, count(*) AS n FROM ({wire_sql.routed()}) GROUP BY ALL")
 def routed_reasons(spark, d):
     return _routed(spark, d).groupBy("oem", F.coalesce("reason", F.lit("ACCEPTED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"SELECT coalesce(nullif(vin, ''), nullif(topic_vin, ''), 'unknown') AS key, reason, oem, body, 'x-dlq-reason=' || reason || ' x-error= x-oem=' || oem || ' x-received-ms=' || received_ms AS headers FROM ({wire_sql.routed()}) WHERE reason IS NOT NULL")
 def dead_letters(spark, d):
-    return validate.dead_letters(_routed(spark, d))
+    out = validate.dead_letters(_routed(spark, d))
+    heads = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), " ")
+    return out.select("key", "reason", "oem", F.decode("body", "UTF-8").alias("body"), heads.alias("headers"))
 
 
-@query(
-    """SELECT log_offset, CASE WHEN schema_version <> 1 THEN 'UNKNOWN_SCHEMA_VERSION' WHEN len(list_filter(dtc, lambda c: NOT regexp_matches(c, '^[PCBU][0-3][0-9A-F]{3}$'))) > 0 THEN 'DTC_FORMAT'
-WHEN soc_pct NOT BETWEEN 0 AND 100 OR pack_voltage_v NOT BETWEEN 0 AND 1000 OR pack_current_a NOT BETWEEN -1000 AND 1000 OR isolation_kohm NOT BETWEEN 0 AND 100000 OR aux_12v_v NOT BETWEEN 0 AND 20 OR ambient_c NOT BETWEEN -40 AND 60
- OR charge_power_kw NOT BETWEEN 0 AND 400 OR coalesce(speed_kmh NOT BETWEEN 0 AND 250, false) OR coalesce(pack_temp_min_c > pack_temp_max_c, false) OR coalesce(cell_v_min_mv > cell_v_max_mv, false)
- OR ts_event_ms > ts_ingest_ms + 86400000 THEN 'RANGE' END AS reason FROM telemetry"""
-)
+@query(wire_sql.checked("telemetry", "ts_ingest_ms", None, ["log_offset"]))
 def telemetry_reasons(spark, d):
     return validate.route(table(spark, d, "telemetry"), validate.chain(MAKERS)).select("log_offset", "reason")
 
