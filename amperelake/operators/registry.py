@@ -59,14 +59,10 @@ def heavy_hitters(items: DataFrame, group: list[str], item: str, k: int = 10) ->
 
 
 def heavy_hitters_sketch(items: DataFrame, group: list[str], item: str, k: int = 10, tracked: int = 1000) -> DataFrame:
-    """As `heavy_hitters`, from a mergeable sketch of at most `tracked` items per group."""
-    top = items.where(F.col(item).isNotNull()).groupBy(*group).agg(F.expr(f"approx_top_k({item}, {k}, {tracked})").alias("_top"))
-    return top.select(*group, F.posexplode("_top").alias("_p", "_t")).select(*group, F.col("_t.item").alias(item), F.col("_t.count").alias("n"), (F.col("_p") + 1).alias("rank"))
-
-
-def count_sketch(items: DataFrame, group: list[str], item: str, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> DataFrame:
-    """A count-min sketch (bytes) of `item` per group: width ceil(e / eps), mergeable."""
-    return items.where(F.col(item).isNotNull()).groupBy(*group).agg(F.count_min_sketch(item, F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+    """As `heavy_hitters`, from a mergeable sketch of at most `tracked` items per group; exact where a group has no more."""
+    top = items.where(F.col(item).isNotNull()).groupBy(*group).agg(F.expr(f"approx_top_k({item}, {tracked}, {tracked})").alias("_top"))
+    counts = top.select(*group, F.explode("_top").alias("_t")).select(*group, F.col("_t.item").alias(item), F.col("_t.count").alias("n"))
+    return top_by_group(counts, group, [F.desc("n"), F.asc(item)], k)
 
 
 SKETCH_DEPTH, SKETCH_WIDTH = 5, 2719

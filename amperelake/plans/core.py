@@ -94,7 +94,7 @@ def _codes(spark, d):
     return e.select("tenant_id", measures.hour_start(F.col("ts_event_ms")).alias("hour_ms"), F.explode("dtc").alias("code"))
 
 
-@query()
+@query(SQL["topk_codes"])
 def topk_codes_sketch(spark, d):
     return registry.heavy_hitters_sketch(_codes(spark, d), ["tenant_id", "hour_ms"], "code", 10)
 
@@ -646,7 +646,11 @@ def stored_days(spark, d):
     return spark.read.parquet(path).groupBy("vin", F.col("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    WITH_M
+    + """, l AS (SELECT vin, arg_max({'t': ts_event_ms, 's': soc_pct, 'v': speed_kmh, 'a': lat, 'o': lon, 'c': charge_state}, (ts_event_ms, seq)) AS r FROM m GROUP BY vin)
+SELECT vin, '{"vin":"' || vin || '"' || coalesce(',"ts_event_ms":' || r.t, '') || coalesce(',"soc_pct":' || r.s, '') || coalesce(',"speed_kmh":' || r.v, '') || coalesce(',"lat":' || r.a, '') || coalesce(',"lon":' || r.o, '') || coalesce(',"charge_state":' || r.c, '') || '}' AS delta FROM l"""
+)
 def live_deltas(spark, d):
     return files.delta_json(rollup.latest_state(_m(spark, d, "ts_event_ms", "soc_pct", "speed_kmh", "lat", "lon", "odo_km", "charge_state")), ("ts_event_ms", "soc_pct", "speed_kmh", "lat", "lon", "charge_state"))
 

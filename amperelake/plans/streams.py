@@ -37,7 +37,9 @@ def _watched(spark, d):
 
 
 def stream_vehicles(spark, d):
-    return _watched(spark, d)
+    """Messages per vehicle and minute: those the minute was put out with, and those that came late for it."""
+    t = _watched(spark, d).where("tag in ('minute', 'late')")
+    return t.groupBy("vin", F.col("at_ms").alias("minute_start_ms")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("messages"))
 
 
 def stream_alerts(spark, d):
@@ -50,5 +52,6 @@ QUERIES = {f.__name__: f for f in (stream_messages, stream_minutes, stream_vehic
 SQL = {
     "stream_messages": f"SELECT vin, seq FROM {MESSAGES_SQL}",
     "stream_minutes": problems.SQL["p4_minutes"],
+    "stream_vehicles": f"SELECT vin, ts_event_ms - ts_event_ms % 60000 AS minute_start_ms, count(*) AS messages FROM {MESSAGES_SQL} GROUP BY ALL",
     "stream_alerts": f"SELECT * EXCLUDE (alert_id) FROM ({alerts.SQL['alert_transitions']})",
 }
