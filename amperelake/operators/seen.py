@@ -86,17 +86,19 @@ def encode(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _combine(batches: Iterator) -> Iterator:
-    """Adds `first`: false for rows whose bit has an earlier row in the same Arrow batch, which are surplus whatever comes.
-    So what a message delivered very often sends through the shuffle is one row per Arrow batch."""
+    """Adds `first`: false for rows whose bit has an earlier row in the same Arrow batch, which are surplus whatever comes
+    (null where there is no bit). So what a message delivered very often sends through the shuffle is one row per Arrow batch."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for b in batches:
-        vin, high, low, log = (b.column(c).to_numpy(zero_copy_only=False) for c in ("vin_id", "high", "low", "log_offset"))
-        order = np.lexsort((log, low, high, vin))
-        v, h, p = vin[order], high[order], low[order]
+        none = pc.is_null(b.column("high")).to_numpy(zero_copy_only=False)
+        vin, high, low, log = (pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in ("vin_id", "high", "low", "log_offset"))
+        order = np.lexsort((log, low, high, vin, none))
+        v, h, p, n = vin[order], high[order], low[order], none[order]
         first = np.empty(len(order), bool)
-        first[order] = np.append(True, (v[1:] != v[:-1]) | (h[1:] != h[:-1]) | (p[1:] != p[:-1]))[: len(order)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first)], names=[*b.schema.names, "first"])
+        first[order] = np.append(True, (v[1:] != v[:-1]) | (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (n[1:] != n[:-1]))[: len(order)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, mask=none)], names=[*b.schema.names, "first"])
 
 
 class _Shard:
@@ -161,6 +163,24 @@ class Arrivals:
         self.surplus, self.kept, self.state = surplus, kept, state
 
 
+def arrived(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows encoded, and combined where they are read, as a table that is cut off: it is read several times."""
+    enc = encode(rows.select("vin", "seq", "log_offset"), ids)
+    return cut(enc.mapInArrow(_combine, "vin_id long, high long, low int, log_offset long, first boolean"))
+
+
+def decided(combined: DataFrame, seen: DataFrame | None = None) -> Arrivals:
+    """The outcome of what `arrived`, against the bitmaps `seen`."""
+    arrive = combined.where("first").select("vin_id", "high", F.lit(1).alias("kind"), "low", "log_offset", F.lit(None).cast("binary").alias("bits"))
+    if seen is not None:
+        arrive = arrive.unionByName(seen.select("vin_id", "high", F.lit(0).alias("kind"), F.lit(0).alias("low"), F.lit(0).cast("long").alias("log_offset"), "bits"))
+    out = cut(arrive.repartition("vin_id", "high").sortWithinPartitions("vin_id", "high", "kind", "log_offset").mapInArrow(_decide, DECIDED))
+    of = lambda k: out.where(F.col("kind") == k)
+    surplus = of(SURPLUS).select("log_offset").unionByName(combined.where("not first").select("log_offset"))
+    kept = of(KEPT).select("log_offset").unionByName(combined.where("first is null").select("log_offset"))
+    return Arrivals(surplus, kept, of(BITMAP).select("vin_id", "high", "bits"))
+
+
 def select_arrivals(rows: DataFrame, ids: DataFrame, seen: DataFrame | None = None) -> Arrivals:
     """Of the arrivals of each bit that is not set in `seen` the one with the smallest `log_offset` is kept; all others,
     and those of bits that are set, are surplus.
@@ -169,19 +189,9 @@ def select_arrivals(rows: DataFrame, ids: DataFrame, seen: DataFrame | None = No
     in one pass in order of offset, which tests and sets bits. Neither a hot vehicle nor a hot message is gathered: the
     one has many shards, the other one row per Arrow batch. Rows with a null `seq` identify nothing and are kept. Columns
     other than vin, seq and log_offset are ignored. `log_offset` tells rows apart; of exact repeats with one offset one
-    is kept. The three results come from one table that is cut off, so they agree whatever is computed again.
+    is kept. The three results come from tables that are cut off, so they agree whatever is computed again.
     """
-    enc = encode(rows.select("vin", "seq", "log_offset"), ids)
-    identified = enc.where("high is not null").mapInArrow(_combine, "vin_id long, high long, low int, log_offset long, first boolean")
-    combined = cut(identified)
-    arrive = combined.where("first").select("vin_id", "high", F.lit(1).alias("kind"), "low", "log_offset", F.lit(None).cast("binary").alias("bits"))
-    if seen is not None:
-        arrive = arrive.unionByName(seen.select("vin_id", "high", F.lit(0).alias("kind"), F.lit(0).alias("low"), F.lit(0).cast("long").alias("log_offset"), "bits"))
-    decided = cut(arrive.repartition("vin_id", "high").sortWithinPartitions("vin_id", "high", "kind", "log_offset").mapInArrow(_decide, DECIDED))
-    of = lambda k: decided.where(F.col("kind") == k)
-    surplus = of(SURPLUS).select("log_offset").unionByName(combined.where("not first").select("log_offset"))
-    kept = of(KEPT).select("log_offset").unionByName(enc.where("high is null").select("log_offset"))
-    return Arrivals(surplus, kept, of(BITMAP).select("vin_id", "high", "bits"))
+    return decided(arrived(rows, ids), seen)
 
 
 def kept_rows(batch: DataFrame, kept: DataFrame) -> DataFrame:
@@ -226,11 +236,11 @@ class SeenStore(VersionedStore):
         new_ids(batch, known).write.parquet(f"{self.path}/{words}")
         ids = self.tables({"dictionary": [*(m["dictionary"] if m else []), words], "groups": {}})[0]
         group = F.pmod(F.xxhash64("vin_id", "high"), F.lit(GROUPS)).cast("int").alias("group")
-        seen = None
+        combined, seen = arrived(batch, ids), None
         if m is not None:
-            touched = [r.group for r in encode(batch, ids).where("high is not null").select(group).distinct().collect()]  # at most GROUPS
+            touched = [r.group for r in combined.where("first").select(group).distinct().collect()]  # at most GROUPS
             _, seen = self.tables(m, touched)
-        got = select_arrivals(batch, ids, seen)
+        got = decided(combined, seen)
         got.kept.write.parquet(f"{self.path}/results/{name}/kept")
         got.surplus.write.parquet(f"{self.path}/results/{name}/surplus")
         grown = got.state.withColumn("group", group)
