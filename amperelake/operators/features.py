@@ -20,8 +20,7 @@ def daily_partials(messages: DataFrame) -> DataFrame:
     x = F.pmod(F.col("ts_event_ms") + 19_800_000, F.lit(86_400_000)) / 3_600_000.0  # hour of the local day
 
     def line(y, name):
-        on = lambda e: F.when(y.isNotNull(), e)
-        return [F.count(y).alias(f"{name}_ln"), F.sum(on(x)).alias(f"{name}_lx"), F.sum(y).alias(f"{name}_ly"), F.sum(on(x * x)).alias(f"{name}_lxx"), F.sum(x * y).alias(f"{name}_lxy")]
+        return [F.regr_count(y, x).alias(f"{name}_ln"), F.regr_avgx(y, x).alias(f"{name}_lx"), F.regr_avgy(y, x).alias(f"{name}_ly"), F.regr_sxx(y, x).alias(f"{name}_lxx"), F.regr_sxy(y, x).alias(f"{name}_lxy")]
 
     return r.groupBy("vin", local_day("ts_event_ms").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,16 +36,18 @@ def daily_partials(messages: DataFrame) -> DataFrame:
 
 
 def _slope(name: str, w) -> Column:
-    """Least-squares slope per hour over the frame's days (at most a few), from their sums about the current day."""
+    """Least-squares slope per hour over the frame's days (at most a few), from their counts, means and centred sums."""
     parts = F.collect_list(F.struct("_d", *(F.coalesce(f"{name}_{k}", F.lit(0.0)).cast("double").alias(k) for k in ("ln", "lx", "ly", "lxx", "lxy")))).over(w)
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy")))
 
     def add(a, e):
-        off = (e["_d"] - F.col("_d")) * 24.0
-        return F.struct((a["n"] + e["ln"]).alias("n"), (a["x"] + e["lx"] + off * e["ln"]).alias("x"), (a["y"] + e["ly"]).alias("y"), (a["xx"] + e["lxx"] + 2 * off * e["lx"] + off * off * e["ln"]).alias("xx"), (a["xy"] + e["lxy"] + off * e["ly"]).alias("xy"))
+        n = a["n"] + e["ln"]
+        dx, dy = e["lx"] + (e["_d"] - F.col("_d")) * 24.0 - a["x"], e["ly"] - a["y"]
+        share = F.coalesce(F.try_divide(e["ln"], n), F.lit(0.0))
+        both = a["n"] * share
+        return F.struct(n.alias("n"), (a["x"] + dx * share).alias("x"), (a["y"] + dy * share).alias("y"), (a["xx"] + e["lxx"] + dx * dx * both).alias("xx"), (a["xy"] + e["lxy"] + dx * dy * both).alias("xy"))
 
-    done = lambda a: F.when(a["n"] >= 3, F.try_divide(a["n"] * a["xy"] - a["x"] * a["y"], a["n"] * a["xx"] - a["x"] * a["x"]))
-    return F.aggregate(parts, zero, add, done)
+    return F.aggregate(parts, zero, add, lambda a: F.when(a["n"] >= 3, F.try_divide(a["xy"], a["xx"])))
 
 
 def trailing_features(daily: DataFrame, days: int = 3, horizon_days: int = 7) -> DataFrame:

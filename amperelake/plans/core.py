@@ -373,14 +373,14 @@ d AS (SELECT vin, dn, (dn + 1) * 86400000 - 19800000 AS e, min(min(fault)) OVER
 j AS (SELECT d.vin, d.dn, e, fd, p.dn = d.dn AS today, (p.ts - e) / 3600000.0::DOUBLE AS x, p.* EXCLUDE (vin, dn, ts) FROM d JOIN p ON p.vin = d.vin AND p.dn BETWEEN d.dn - 2 AND d.dn WHERE fd IS NULL OR fd >= e)
 SELECT vin, strftime(DATE '1970-01-01' + CAST(dn AS INTEGER), '%Y-%m-%d') AS day_ist, round(avg(td), 6) AS td_mean, round(max(td), 6) AS td_max, round(avg(td) FILTER (WHERE today), 6) AS td_mean_24h, round(avg(imb), 6) AS imb_mean, max(imb) AS imb_max, round(avg(imb) FILTER (WHERE today), 6) AS imb_mean_24h,
  min(iso) AS iso_min, round(sum(iso) / count(*), 6) AS iso_mean, min(iso) FILTER (WHERE today) AS iso_min_24h, round(count(*) FILTER (WHERE NOT ok) / count(*), 6) AS hvil_false_frac, CAST(sum(fl) AS BIGINT) AS hvil_flaps,
- round(CASE WHEN count(td) >= 3 THEN regr_slope(td, x) END, 5) AS td_slope_per_h, round(CASE WHEN count(imb) >= 3 THEN regr_slope(imb, x) END, 5) AS imb_slope_per_h, round(CASE WHEN count(iso) >= 3 THEN regr_slope(iso, x) END, 4) AS iso_slope_per_h,
+ round(CASE WHEN count(td) >= 3 THEN regr_slope(td, x) END, 4) AS td_slope_per_h, round(CASE WHEN count(imb) >= 3 THEN regr_slope(imb, x) END, 4) AS imb_slope_per_h, round(CASE WHEN count(iso) >= 3 THEN regr_slope(iso, x) END, 3) AS iso_slope_per_h,
  round(min(aux), 6) AS aux_min, round(sum(aux) / count(*), 6) AS aux_mean, round(sum(soc) / count(*), 6) AS soc_mean, round(count(*) FILTER (WHERE soc > 80) / count(*), 6) AS soc_gt80_frac,
  CASE WHEN fd < e + 604800000 THEN 1 ELSE 0 END AS label, round(CASE WHEN fd < e + 604800000 THEN (fd - e) / 3600000.0::DOUBLE END, 6) AS lead_h FROM j GROUP BY vin, dn, e, fd"""
 )
 def fault_features(spark, d):
     m = _m(spark, d, "ts_event_ms", "pack_temp_max_c", "ambient_c", "cell_v_min_mv", "cell_v_max_mv", "isolation_kohm", "hv_interlock_ok", "aux_12v_v", "soc_pct", "dtc")
     f = features.trailing_features(features.daily_partials(m))
-    places = {"td_slope_per_h": 5, "imb_slope_per_h": 5, "iso_slope_per_h": 4}
+    places = {"td_slope_per_h": 4, "imb_slope_per_h": 4, "iso_slope_per_h": 3}
     return f.select("vin", F.date_format("day", "yyyy-MM-dd").alias("day_ist"), *(F.round(c, places.get(c, 6)).alias(c) if t == "double" else c for c, t in f.dtypes if c not in ("vin", "day")))
 
 
