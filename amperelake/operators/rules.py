@@ -103,6 +103,8 @@ def samples(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None = N
         name, severity, hold, clear = DELTA
         x = messages.select("vin", "ts_event_ms", F.col("log_offset").alias("seq"), (F.col("pack_temp_max_c").cast("double") - F.col("ambient_c").cast("double")).alias("delta"))
         b = folds.ewma_baseline(x, "delta").select("vin", F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit("").alias("detail"), "ts_event_ms", F.col("seq").alias("log_offset"), F.col("breach").alias("on"), F.lit(hold * 1000).alias("hold_ms"), F.lit(clear * 1000).alias("clear_ms"))
+        b = cut(b)
+        b = b.join(maybe_broadcast(cut(b.where("on").select("vin").distinct())), "vin", "left_semi").select(*SAMPLES)
         out = b if out is None else out.unionByName(b)
     if DTC[0] in rules:
         name, hold, clear = DTC
@@ -112,12 +114,21 @@ def samples(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None = N
         else:
             codes = codes.withColumn("_s", F.lit(None).cast("string"))
         codes = maybe_broadcast(cut(codes.groupBy("vin").agg(F.sort_array(F.collect_list(F.struct("code", F.coalesce("_s", F.lit("warning")).alias("severity")))).alias("_codes"))))
-        c = messages.select("vin", "ts_event_ms", "log_offset", "dtc").join(codes, "vin").withColumn("c", F.explode("_codes"))
+        c = _while_any_code(messages.select("vin", "ts_event_ms", "log_offset", "dtc").join(codes, "vin"), clear * 1000).withColumn("c", F.explode("_codes"))
         c = c.select("vin", F.lit(name).alias("rule"), "c.severity", F.col("c.code").alias("detail"), "ts_event_ms", "log_offset", F.coalesce(F.array_contains("dtc", F.col("c.code")), F.lit(False)).alias("on"), F.lit(hold * 1000).alias("hold_ms"), F.lit(clear * 1000).alias("clear_ms"))
         out = c if out is None else out.unionByName(c)
     return out
 
 
+def _while_any_code(messages: DataFrame, clear_ms: int) -> DataFrame:
+    """The messages at which some code may turn on or off: those with a code, the first one without, and those after it up
+    to the first that is `clear_ms` later. All others would only say of every code of the vehicle that it is still off."""
+    any_ = F.coalesce(F.size("dtc") > 0, F.lit(False))
+    m = windows.previous(messages.withColumn("_any", any_), ["_any", "ts_event_ms"], tie="log_offset")
+    m = windows.carried(m, F.when(~F.col("_any") & F.coalesce("prev__any", F.lit(False)), F.col("ts_event_ms")), "_off", tie="log_offset")
+    return m.where(F.col("_any") | F.coalesce("prev__any", F.lit(False)) | (F.col("prev_ts_event_ms") < F.col("_off") + clear_ms)).drop("_any", "prev__any", "prev_ts_event_ms", "_off")
+
+
 def silences(messages: DataFrame, reg: DataFrame, silent_ms: int = STALE[2] * 1000) -> DataFrame:
     """Spells in which a vehicle on duty was not heard of for more than `silent_ms` on the gateway's clock: vin, start_ms
     (from when on it was silent too long and on duty), end_ms (heard of again, or off duty).
