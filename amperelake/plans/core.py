@@ -674,3 +674,92 @@ def depot_fleet(spark, d):
 def unended_sessions(spark, d):
     s = table(spark, d, "vehicle_sessions")
     return s.where("phase = 1").join(s.where("phase = 2").select("session_id").distinct(), "session_id", "left_anti").select("session_id", "vin", "start_ms")
+
+
+OCV = [(0.0, 3.0), (10.0, 3.45), (50.0, 3.68), (90.0, 4.02), (100.0, 4.18)]
+_OCV_SQL = "CASE WHEN soc <= 0 THEN 3.0::DOUBLE " + " ".join(f"WHEN soc < {x1} THEN {y0} + (soc - {x0}) * (({y1}::DOUBLE - {y0}::DOUBLE) / ({x1} - {x0}))" for (x0, y0), (x1, y1) in zip(OCV, OCV[1:])) + f" ELSE {OCV[-1][1]} END"
+
+
+@query(
+    WITH_M
+    + f""", x AS (SELECT vin, seq, ts_event_ms AS ts, CAST(soc_pct AS DOUBLE) AS soc, CAST(pack_voltage_v AS DOUBLE) AS v, CAST(charge_power_kw AS DOUBLE) AS kw, CAST(isolation_kohm AS DOUBLE) AS iso FROM m)
+SELECT x.vin, seq, CAST((ts + 19800000) // 86400000 + 3 AS BIGINT) % 7 AS weekday, round_even(soc * 10, 0)::BIGINT AS tenths, round({_OCV_SQL}, 6) AS ocv_v, round((v - sqrt(greatest(v * v - 4 * 0.1::DOUBLE * kw * 1000, 0))) / (2 * 0.1::DOUBLE), 6) AS amp, CASE WHEN v > 1 THEN round(iso * 1000 / v, 6) END AS ohm_per_volt,
+ round(greatest(0, least(1, (ts - 1780000000000) / 1000000000.0::DOUBLE)), 9) AS progress, CASE WHEN r.capacity_kwh > 0 THEN round(25.0::DOUBLE * r.wh_per_km / 1000 / r.capacity_kwh * 100, 6) END AS reach_pct FROM x LEFT JOIN {REGISTRY_SQL} r ON r.vin = x.vin"""
+)
+def battery_measures(spark, d):
+    """Weekday, half-even rounding, open-circuit voltage, current for a power, isolation per volt, progress and reach of each message."""
+    e = registry.enrich(_m(spark, d, "ts_event_ms", "soc_pct", "pack_voltage_v", "charge_power_kw", "isolation_kohm"), _registry(spark, d), "vin", ("capacity_kwh", "wh_per_km"))
+    c = lambda n: F.col(n).cast("double")
+    return e.select(
+        "vin", "seq", measures.local_weekday(F.col("ts_event_ms")).cast("long").alias("weekday"), measures.half_even(c("soc_pct") * 10).alias("tenths"), F.round(measures.interpolate(c("soc_pct"), OCV), 6).alias("ocv_v"),
+        F.round(measures.current_for_power(c("pack_voltage_v"), F.lit(0.1), c("charge_power_kw") * 1000), 6).alias("amp"), F.round(measures.ohm_per_volt(c("isolation_kohm"), c("pack_voltage_v")), 6).alias("ohm_per_volt"),
+        F.round(measures.progress(F.lit(1_780_000_000_000), F.lit(1_781_000_000_000), F.col("ts_event_ms")), 9).alias("progress"), F.round(measures.share_to_reach(F.lit(25.0), F.col("wh_per_km"), F.col("capacity_kwh")), 6).alias("reach_pct"),
+    )
+
+
+@query("SELECT vin, log_offset, CAST(row_number() OVER (PARTITION BY vin ORDER BY log_offset DESC) AS INTEGER) AS rank FROM telemetry QUALIFY rank <= 100")
+def telemetry_tail(spark, d):
+    """The last 100 rows of each vehicle's log; ranks are limited before the shuffle, so a hot vehicle is not gathered."""
+    return registry.top_by_group(table(spark, d, "telemetry").select("vin", "log_offset"), ["vin"], [F.desc("log_offset")], 100)
+
+
+@query(
+    KALMAN_SQL.rstrip().rstrip(",")
+    + """, b AS (SELECT vin, min(as_of) AS lo, max(as_of) AS hi FROM k GROUP BY vin),
+e AS (SELECT vin, unnest(generate_series((lo + 19800000) // 86400000 + 1, (hi + 19800000) // 86400000 + 1)) * 86400000 - 19800000 AS at_ms FROM b)
+SELECT e.vin, at_ms, round(k.x, 6) AS soh_pct FROM e ASOF JOIN (SELECT vin, as_of, arg_max(x, rn) AS x FROM k GROUP BY vin, as_of) k ON k.vin = e.vin AND e.at_ms >= k.as_of"""
+)
+def soh_snapshot(spark, d):
+    """Each vehicle's state of health at every local midnight from its first estimate to the one after its last."""
+    k = battery.kalman(_observed(spark, d)).withColumnRenamed("pack", "vin")
+    day = lambda ms: F.floor((ms + 19_800_000) / 86_400_000)
+    at = k.groupBy("vin").agg(F.min("as_of_ms").alias("lo"), F.max("as_of_ms").alias("hi")).select("vin", F.explode(F.sequence(day(F.col("lo")) + 1, day(F.col("hi")) + 1)).alias("day"))
+    at = at.select("vin", (F.col("day") * 86_400_000 - 19_800_000).alias("at_ms"))
+    last = k.groupBy("vin", "as_of_ms").agg(F.max_by("soh_pct", "n").alias("soh_pct"))
+    return registry.as_of(at, last, "vin", "at_ms", "as_of_ms", ["soh_pct"]).select("vin", "at_ms", F.round("soh_pct", 6).alias("soh_pct"))
+
+
+@query(f"SELECT f.vin, day_ist, label, part FROM ({SQL['fault_features']}) f JOIN ({SQL['vehicle_split']}) s ON s.vin = f.vin")
+def fault_split(spark, d):
+    """Feature rows with the part their vehicle belongs to; no vehicle is in two parts."""
+    return fault_features(spark, d).select("vin", "day_ist", "label").join(vehicle_split(spark, d), "vin")
+
+
+STAYS_FROM = 1_781_060_000_000
+
+
+@query(
+    f"""WITH r AS (SELECT vin, depart_min_ist AS d, return_min_ist AS r, here FROM (SELECT *, CASE WHEN depart_min_ist <= return_min_ist THEN NOT ({(STAYS_FROM + 19_800_000) // 60_000 % 1440} >= depart_min_ist AND {(STAYS_FROM + 19_800_000) // 60_000 % 1440} < return_min_ist) ELSE {(STAYS_FROM + 19_800_000) // 60_000 % 1440} >= return_min_ist AND {(STAYS_FROM + 19_800_000) // 60_000 % 1440} < depart_min_ist END AS here FROM {REGISTRY_SQL})),
+e AS (SELECT vin, here, (CASE k WHEN 'D' THEN d ELSE r END - {(STAYS_FROM + 19_800_000) // 60_000 % 1440} + 1440) % 1440 + 1440 * n AS t, k FROM r, (SELECT unnest(['D', 'R']) AS k), (SELECT unnest([0, 1, 2]) AS n)),
+p AS (SELECT *, lead(t) OVER (PARTITION BY vin ORDER BY t, k) AS z, min(CASE WHEN k = 'D' THEN t END) OVER (PARTITION BY vin) AS first FROM e),
+s AS (SELECT vin, t AS a, z FROM p WHERE k = 'R' AND (NOT here OR t >= first) UNION ALL SELECT DISTINCT vin, 0, first FROM p WHERE here)
+SELECT * FROM (SELECT vin, CAST(ceil(a / 15) AS INTEGER) AS plug_slot, CAST(CASE WHEN z < 2160 THEN z // 15 ELSE 144 END AS INTEGER) AS depart_slot, coalesce(z < 2160, false) AS has_departure FROM s WHERE a < 2160) WHERE plug_slot < 96 AND depart_slot > plug_slot"""
+)
+def depot_stays(spark, d):
+    """When vehicles stand at their depots by their duty, from one instant on; those off duty then are there."""
+    v = slots.on_shift(_registry(spark, d).withColumn("at", F.lit(STAYS_FROM)), "at").withColumn("at_depot", ~F.col("on_duty"))
+    return slots.stays(v.select("vin", "depart_min_ist", "return_min_ist", "at_depot"), STAYS_FROM)
+
+
+@query(
+    f"""WITH {SLOTS_SQL.replace("SELECT DISTINCT r.depot_id AS site", "SELECT r.depot_id AS site, abs(delta_kwh) / ((end_ms - start_ms) / 3600000.0::DOUBLE) AS kw").split("y AS (")[0].rstrip().rstrip(",")},
+p AS (SELECT site, member, slot, sum(kw) AS kw FROM x GROUP BY ALL),
+t AS (SELECT r.depot_id AS site, r.vin AS member, r.capacity_kwh AS usable, min(slot) AS plug, max(slot) + 1 - 2 AS depart FROM p JOIN {REGISTRY_SQL} r ON r.vin = p.member AND r.depot_id = p.site GROUP BY ALL),
+q AS (SELECT p.*, usable, plug, depart, 20 + sum(0.95::DOUBLE * kw * 0.25 / usable * 100) OVER (PARTITION BY p.site, p.member ORDER BY slot ROWS UNBOUNDED PRECEDING) AS soc FROM p JOIN t ON t.site = p.site AND t.member = p.member),
+l AS (SELECT site, slot, sum(kw) AS kw, count(*) FILTER (WHERE kw > 1e-9) AS n FROM x GROUP BY ALL)
+SELECT site, member, slot, violation FROM (
+SELECT site, member, slot, 'LEVEL' AS violation FROM q WHERE NOT (abs(soc - 100) <= 1e-6 AND kw <= 50 + 1e-6) AND NOT (abs(kw) <= 1e-6 OR abs(kw - 7.4) <= 1e-6 OR abs(kw - 50) <= 1e-6)
+UNION ALL SELECT site, member, slot, 'OUTSIDE_WINDOW' FROM q WHERE kw > 1e-6 AND NOT (slot >= plug AND slot < depart)
+UNION ALL SELECT site, member, slot, 'SOC_RANGE' FROM q WHERE soc > 100 + 1e-6 OR soc < -1e-6
+UNION ALL SELECT t.site, t.member, t.depart, 'DEPARTURE' FROM t LEFT JOIN (SELECT site, member, arg_max(soc, slot) AS soc FROM q WHERE slot < depart GROUP BY ALL) a ON a.site = t.site AND a.member = t.member WHERE coalesce(a.soc, 20) < 80 - 1e-6
+UNION ALL SELECT site, NULL, slot, 'SITE_CAP' FROM l WHERE kw > 60 + 1e-6 UNION ALL SELECT site, NULL, slot, 'CONNECTORS' FROM l WHERE n > 3)"""
+)
+def plan_check(spark, d):
+    """What past charging would break as a plan: from 20 % on, levels of 0, 7.4 and 50 kW, out of the plug two slots early, to
+    reach 80 %, at sites of 60 kW and three connectors."""
+    power = _charging_slots(spark, d).select(F.col("depot_id").alias("site"), F.col("vin").alias("member"), (F.col("slot_start") / 900_000).cast("int").alias("slot"), "kw")
+    cap = _registry(spark, d).select(F.col("depot_id").alias("site"), F.col("vin").alias("member"), F.col("capacity_kwh").alias("usable_kwh"))
+    tasks = power.groupBy("site", "member").agg(F.min("slot").alias("plug_slot"), (F.max("slot") - 1).alias("depart_slot")).join(cap, ["site", "member"])
+    fixed = {"soc0_pct": F.lit(20.0), "eta": F.lit(0.95), "cap_pct": F.lit(100.0), "required_pct": F.lit(80.0), "levels_kw": F.array(F.lit(0.0), F.lit(7.4), F.lit(50.0))}
+    limits = power.select("site").distinct().withColumns({"cap_kw": F.lit(60.0), "connectors": F.lit(3)})
+    return slots.plan_violations(power, tasks.withColumns(fixed), limits)
