@@ -9,7 +9,7 @@ from amperelake.operators.prefix import blocked_running
 
 GAP_MS = 900_000
 PAUSE_MS = 300_000
-BLOCK_MS = 6 * 3_600_000
+BLOCK_MS = 3_600_000
 
 
 def sweep_sessions(events: DataFrame, key: str = "vin", ts: str = "ts_event_ms", gap_ms: int = GAP_MS, pause_ms: int = PAUSE_MS, block_ms: int = BLOCK_MS) -> DataFrame:

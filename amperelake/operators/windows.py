@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from amperelake.operators.prefix import blocked_running
 
-BLOCK_MS = 6 * 3_600_000
+BLOCK_MS = 3_600_000
 
 
 def with_block(df: DataFrame, ts: str = "ts_event_ms", block_ms: int = BLOCK_MS) -> DataFrame:
