@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from amperelake.common import cut
 from amperelake.operators.rolling import local_day
 from amperelake.operators.windows import previous
 
@@ -79,7 +80,7 @@ def charging_health(messages: DataFrame, least_soc: float = 20.0) -> DataFrame:
     `least_soc` of charge in Ah over the rise, as a share of nominal `cap_ah`; null where there is none."""
     from amperelake.operators.windows import running, trapezoid
 
-    r = trapezoid(messages)
+    r = cut(trapezoid(messages).select("vin", "ts_event_ms", "seq", "soc_pct", "charge_state", "cap_ah", "step_ah"))  # each carry over blocks reads its input twice
     r = r.withColumn("_c", (F.col("charge_state").isin(2, 3)).cast("int"))
     r = previous(r, ["_c"])
     r = running(r, {"_island": (F.coalesce(F.col("prev__c"), F.lit(-1)) != F.col("_c")).cast("int")})

@@ -103,7 +103,7 @@ def samples(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None = N
         name, severity, hold, clear = DELTA
         x = messages.select("vin", "ts_event_ms", F.col("log_offset").alias("seq"), (F.col("pack_temp_max_c").cast("double") - F.col("ambient_c").cast("double")).alias("delta"))
         b = folds.ewma_baseline(x, "delta").select("vin", F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit("").alias("detail"), "ts_event_ms", F.col("seq").alias("log_offset"), F.col("breach").alias("on"), F.lit(hold * 1000).alias("hold_ms"), F.lit(clear * 1000).alias("clear_ms"))
-        b = cut(b)
+        b = cut(b)  # folded once
         b = b.join(maybe_broadcast(cut(b.where("on").select("vin").distinct())), "vin", "left_semi").select(*SAMPLES)
         out = b if out is None else out.unionByName(b)
     if DTC[0] in rules:
@@ -114,7 +114,7 @@ def samples(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None = N
         else:
             codes = codes.withColumn("_s", F.lit(None).cast("string"))
         codes = maybe_broadcast(cut(codes.groupBy("vin").agg(F.sort_array(F.collect_list(F.struct("code", F.coalesce("_s", F.lit("warning")).alias("severity")))).alias("_codes"))))
-        c = _while_any_code(messages.select("vin", "ts_event_ms", "log_offset", "dtc").join(codes, "vin"), clear * 1000).withColumn("c", F.explode("_codes"))
+        c = _while_any_code(cut(messages.select("vin", "ts_event_ms", "log_offset", "dtc").join(codes, "vin")), clear * 1000).withColumn("c", F.explode("_codes"))
         c = c.select("vin", F.lit(name).alias("rule"), "c.severity", F.col("c.code").alias("detail"), "ts_event_ms", "log_offset", F.coalesce(F.array_contains("dtc", F.col("c.code")), F.lit(False)).alias("on"), F.lit(hold * 1000).alias("hold_ms"), F.lit(clear * 1000).alias("clear_ms"))
         out = c if out is None else out.unionByName(c)
     return out
@@ -158,7 +158,7 @@ def transitions(messages: DataFrame, reg: DataFrame, catalogue: DataFrame | None
     """
     parts = []
     if set(rules) - {STALE[0]}:
-        s = samples(cut(in_order(messages)), reg, catalogue, rules)
+        s = cut(samples(cut(in_order(messages)), reg, catalogue, rules))  # `held` reads them several times
         key = F.concat_ws("|", "vin", "rule", "severity", "detail").alias("key")
         t = windows.held(s.select(key, "ts_event_ms", "log_offset", "on", "hold_ms", "clear_ms"), F.col("on"), F.col("hold_ms"), F.col("clear_ms"), tie="log_offset", key="key").withColumn("k", F.split("key", r"\|", -1))
         parts.append(t.select(F.col("k")[1].alias("rule"), F.col("k")[2].alias("severity"), F.col("k")[3].alias("detail"), F.col("k")[0].alias("vin"), "at_ms", "state", "start_ms"))

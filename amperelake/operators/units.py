@@ -15,7 +15,7 @@ from amperelake.operators.prefix import blocked_running
 #: A posterior under this leaves the unit of a reading uncertain.
 SURE = 0.9
 EM_ROUNDS = 60
-BLOCK_S = 6 * 3600
+BLOCK_S = 3600
 
 
 @dataclass(frozen=True)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amperelake.common import cut
 from amperelake.operators import windows
 from amperelake.operators.prefix import blocked_running
 
@@ -63,6 +64,7 @@ def states(messages: DataFrame) -> DataFrame:
     d = lambda c: F.col(c).cast("double").alias(c)
     m = windows.monotonic(messages.where("vin is not null and ts_event_ms is not null and log_offset is not null").dropna(subset=list(NEEDED)))
     m = m.select("vin", "log_offset", "ts_event_ms", "evt", "charge_state", *(d(c) for c in (*NEEDED[:-1], "speed_kmh", "pack_temp_min_c", "pack_temp_max_c", "cap_ah")))
+    m = cut(m)  # each carry over blocks reads its input twice
     amp, off = F.col("pack_current_a"), F.coalesce(F.col("evt") == IGN_OFF, F.lit(False))
     into = (F.col("charge_state") != IDLE) & (amp < 0)
     plug = lambda e: F.coalesce(F.col("evt") == e, F.lit(False))
@@ -92,8 +94,9 @@ def states(messages: DataFrame) -> DataFrame:
     }).drop("_block", "_prev", "_last", "_rest", "_set", "_rested", "sets_charge", "switch", "switches")
     schema = ", ".join(f"{c} {t}" for c, t in m.dtypes) + ", driving boolean"
     m = m.repartition("vin", "stretch").sortWithinPartitions("vin", "stretch", "ts_event_ms", "log_offset").mapInArrow(_stretch_states, schema)
+    m = cut(m.drop("moving", "sets", "stretch"))
     m = windows.previous(m, ["driving"], tie="log_offset").withColumn("was_driving", F.coalesce("prev_driving", F.lit(False)))
-    return m.drop("prev_driving", "moving", "sets", "stretch")
+    return m.drop("prev_driving")
 
 
 def vehicle_sessions(messages: DataFrame) -> DataFrame:

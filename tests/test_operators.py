@@ -366,3 +366,25 @@ def test_requests_sketch_and_vehicle_numbers(spark):
     v = spark.range(1).select(identity.vin_build(F.lit("0EA"), F.lit("VA52C"), F.lit(2024), F.lit("M"), F.lit(7)).alias("v"), identity.vin_year_code(F.lit(2010)).alias("a"), identity.vin_year_code(F.lit(1979)).alias("b"), identity.vin_build(F.lit("0E"), F.lit("VA52C"), F.lit(2024), F.lit("M"), F.lit(7)).alias("n")).first()
     assert v.v[9] == "R" and v.v.endswith("M000007") and v.a == "A" and v.b == "9" and v.n is None
     assert spark.createDataFrame([(v.v,)], "v string").select(identity.vin_valid(F.col("v"))).first()[0]
+
+
+def test_what_a_plan_breaks(spark):
+    power = [("s", "a", 0, 7.0), ("s", "a", 1, 7.0), ("s", "b", 1, 5.0), ("s", "b", 5, 7.0), ("s", "c", 2, 3.0)]
+    task = lambda m, **k: {"site": "s", "member": m, "soc0_pct": 50.0, "usable_kwh": 10.0, "eta": 1.0, "cap_pct": 100.0, "required_pct": 60.0, "plug_slot": 0, "depart_slot": 4, "levels_kw": [0.0, 7.0]} | k
+    tasks = [task("a"), task("b"), task("c", soc0_pct=95.0, cap_pct=96.0, levels_kw=[3.0]), task("d", required_pct=50.1)]
+    p = spark.createDataFrame(power, "site string, member string, slot int, kw double")
+    t = spark.createDataFrame([tuple(x.values()) for x in tasks], "site string, member string, soc0_pct double, usable_kwh double, eta double, cap_pct double, required_pct double, plug_slot int, depart_slot int, levels_kw array<double>")
+    lim = spark.createDataFrame([("s", 10.0, 1)], "site string, cap_kw double, connectors int")
+    got = sorted(tuple(x) for x in slots.plan_violations(p, t, lim).fillna("", ["member"]).collect())
+    want = [("s", "", 1, "CONNECTORS"), ("s", "", 1, "SITE_CAP"), ("s", "b", 1, "LEVEL"), ("s", "b", 5, "OUTSIDE_WINDOW"), ("s", "c", 2, "SOC_RANGE"), ("s", "d", 4, "DEPARTURE")]
+    assert got == want
+    assert slots.plan_violations(p.limit(0), t.limit(0)).count() == 0
+
+
+def test_stays_follow_duty(spark):
+    start = 1_781_060_000_000
+    now = (start + 19_800_000) // 60_000 % 1440
+    v = [("in", (now + 100) % 1440, (now + 500) % 1440, True), ("out", (now + 700) % 1440, (now + 61) % 1440, False), (None, None, None, True)]
+    df = spark.createDataFrame(v, "vin string, depart_min_ist int, return_min_ist int, at_depot boolean")
+    got = sorted(map(tuple, slots.stays(df, start).collect()))
+    assert got == [("in", 0, 6, True), ("in", 34, 102, True), ("out", 5, 46, True)]
