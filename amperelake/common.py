@@ -56,9 +56,19 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone; the folder is left to who owns it
+        pass
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is removed when this program ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
