@@ -763,3 +763,49 @@ def plan_check(spark, d):
     fixed = {"soc0_pct": F.lit(20.0), "eta": F.lit(0.95), "cap_pct": F.lit(100.0), "required_pct": F.lit(80.0), "levels_kw": F.array(F.lit(0.0), F.lit(7.4), F.lit(50.0))}
     limits = power.select("site").distinct().withColumns({"cap_kw": F.lit(60.0), "connectors": F.lit(3)})
     return slots.plan_violations(power, tasks.withColumns(fixed), limits)
+
+
+@query("SELECT * FROM vehicle_model")
+def models_by_csv(spark, d):
+    """The models written as a reference file with a header and read back with its schema."""
+    path = scratch(spark)
+    files.write_csv(table(spark, d, "vehicle_model"), path)
+    return files.read_csv(spark, path, "vehicle_models")
+
+
+@query("WITH c AS (SELECT unnest(dtc) AS code FROM telemetry) SELECT code, CASE WHEN code[1] = 'P' THEN 'critical' WHEN code[1] = 'B' THEN 'info' ELSE 'warning' END AS severity, count(*) AS n FROM c GROUP BY ALL")
+def code_severity(spark, d):
+    """Codes with the severity of a catalogue file (spelled its own way); the default where it has none."""
+    codes, path = table(spark, d, "telemetry").select(F.explode("dtc").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), scratch(spark)
+    known = codes.where("code like 'P%' or code like 'B%'").select(F.concat(F.lit(" "), F.lower("code")).alias("code"), F.lit("x").alias("system"), F.when(F.col("code").startswith("P"), "CRITICAL").otherwise("Info").alias("severity"), *(F.lit("x").alias(c) for c in ("description", "sim_fault", "runbook_id", "source_status")))
+    files.write_csv(known, path)
+    return files.with_severity(codes, files.read_csv(spark, path, "dtc_catalogue")).select("code", "severity", "n")
+
+
+@query(
+    """WITH t AS (SELECT raw_id, CASE raw_id % 4 WHEN 0 THEN 'v1/' || oem || '/' || topic_vin || '/telemetry' WHEN 1 THEN 'v1/' || oem WHEN 2 THEN 'v2/' || oem || '/' || topic_vin ELSE 'v1//' || topic_vin END AS topic FROM oem_raw), p AS (SELECT *, string_split(topic, '/') AS p FROM t),
+o AS (SELECT *, p[1] = 'v1' AND len(p) >= 3 AND p[2] <> '' AND coalesce(p[3], '') <> '' AS ok FROM p) SELECT raw_id, CASE WHEN ok THEN p[2] ELSE 'unknown-topic:' || topic END AS oem, CASE WHEN ok THEN p[3] END AS vin, ok FROM o"""
+)
+def topics(spark, d):
+    """Well-formed and malformed topics taken apart."""
+    one = "CASE raw_id % 4 WHEN 0 THEN 'v1/' || oem || '/' || topic_vin || '/telemetry' WHEN 1 THEN 'v1/' || oem WHEN 2 THEN 'v2/' || oem || '/' || topic_vin ELSE 'v1//' || topic_vin END"
+    t = table(spark, d, "oem_raw").select("raw_id", F.expr(one).alias("topic"))
+    oem, vin, ok = decode.topic_parts(F.col("topic"))
+    return t.select("raw_id", oem.alias("oem"), vin.alias("vin"), ok.alias("ok"))
+
+
+SECRET = "a key for tests"
+_PADS = [bytes(b ^ x for b in SECRET.encode().ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query(f"SELECT raw_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(CAST(received_ms // 1000 AS VARCHAR) || '.' || body)))) AS signature FROM oem_raw")
+def signatures(spark, d):
+    """The signature a sender of each body must present."""
+    ts = F.floor(F.col("received_ms") / 1000).cast("string")
+    return table(spark, d, "oem_raw").select("raw_id", decode.signature(F.col("body"), ts, SECRET).alias("signature"))
+
+
+@query(CURVE_SQL + "SELECT score AS threshold, round(tp / k, 9) AS precision, round(tp / p, 9) AS recall FROM c WHERE tp / k >= 0.05 ORDER BY tp / p DESC, score DESC LIMIT 1")
+def operating_point(spark, d):
+    o = features.operating_point(_curve(spark, d), 0.05)
+    return o.where("threshold is not null").select("threshold", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
