@@ -559,10 +559,16 @@ def vehicle_sets(spark, d):
     return a.unionByName(b).unionByName(c)
 
 
-@query("SELECT oem, count(*) AS received, count(DISTINCT (vin, seq)) AS messages, count(*) - count(DISTINCT (vin, seq)) AS surplus FROM telemetry GROUP BY oem")
+@query(
+    f"""WITH c AS ({wire_sql.checked("telemetry", "ts_ingest_ms", None, ["oem", "vin", "seq"])}), g AS (SELECT oem, vin, seq, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS fine FROM c GROUP BY ALL)
+SELECT oem, CAST(sum(n) AS BIGINT) AS received, CAST(count(*) FILTER (WHERE fine > 0) AS BIGINT) AS accepted, CAST(sum(n - fine) AS BIGINT) AS rejected, CAST(sum(greatest(fine - 1, 0)) AS BIGINT) AS repeated, 0::BIGINT AS unaccounted FROM g GROUP BY oem"""
+)
 def accounting(spark, d):
-    per = table(spark, d, "telemetry").groupBy("oem", "vin", "seq").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("oem").agg(F.sum("n").alias("received"), F.count(F.lit(1)).alias("messages"), (F.sum("n") - F.count(F.lit(1))).alias("surplus"))
+    """Per OEM what was received, and that all of it was accepted, rejected or a repeat; `unaccounted` is what is left, 0."""
+    rows = validate.route(table(spark, d, "telemetry"), validate.chain(MAKERS))
+    per = rows.groupBy("oem", "vin", "seq").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("reason").isNull(), 1)).alias("fine"))
+    total = per.groupBy("oem").agg(F.sum("n").alias("received"), F.sum((F.col("fine") > 0).cast("long")).alias("accepted"), F.sum(F.col("n") - F.col("fine")).alias("rejected"), F.sum(F.greatest(F.col("fine") - 1, F.lit(0))).alias("repeated"))
+    return total.withColumn("unaccounted", F.col("received") - F.col("accepted") - F.col("rejected") - F.col("repeated"))
 
 
 @query(
